@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import mixing, overlap, sampling, termcounts, tokens, topn
+from topicloom.llm import mixing, overlap, sampling, sentences, termcounts, tokens, topn
 from topicloom.session import table
 
 
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": on(topn.found, "sentence_topic", "doc_topic"),
         "p3_found": on(overlap.found, "train", "test"),
         "p3_report": on(overlap.report, "train", "test"),
+        "p4_found": on(sentences.found, "preprocessed_document"),
+        "p4_units": on(sentences.sentence_units, "preprocessed_document"),
         "p5_sample": on(sampling.reservoir_sample, "reference_stream"),
         "p6_found": on(termcounts.found, "preprocessed_document"),
         "p6_ngrams": on(lambda d: termcounts.marked_terms(d, max_n=3), "preprocessed_document"),
