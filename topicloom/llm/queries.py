@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import mixing, overlap, sampling, sentences, termcounts, tokens, topn
+from topicloom.llm import mixing, overlap, quoting, sampling, sentences, termcounts, tokens, topn
 from topicloom.session import table
 
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         "p1_found": on(topn.found, "sentence_topic", "doc_topic"),
+        "p2_found": on(quoting.found, "train"),
+        "p2_new_text": on(quoting.new_text, "train"),
         "p3_found": on(overlap.found, "train", "test"),
         "p3_report": on(overlap.report, "train", "test"),
         "p4_found": on(sentences.found, "preprocessed_document"),
