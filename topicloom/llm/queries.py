@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.llm import mixing, overlap, quoting, sampling, sentences, termcounts, tokens, topn
+from topicloom.llm import abuse, mixing, overlap, quoting, sampling, sentences, termcounts, tokens, topn
 from topicloom.session import table
 
 
@@ -28,6 +28,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_vocabulary": on(termcounts.against_vocabulary, "preprocessed_document", "gaussian_lda_vocab"),
         "p7_ids": on(tokens.ids, "documents"),
         "p8_mix": on(lambda d, m: mixing.mix(d, m)[0], "documents", "mix_targets"),
+        "p9_found": on(abuse.found, "documents"),
+        "p9_rates": on(abuse.rates, "documents"),
+        "p9_scores": on(lambda d: abuse.scored(d).select("doc_id", "source", "score"), "documents"),
         "p8_report": on(lambda d, m: mixing.mix(d, m)[1], "documents", "mix_targets"),
     }
 
