@@ -1 +1,152 @@
-QUERIES = {}
+"""Queries that train models or run streams; SQL states only the parts that are closed forms."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from topicloom.functions.numeric import r6 as R
+from topicloom.models import clustering, gibbs, words
+from topicloom.operators import corpus, topics
+from topicloom.plans.base import SENTS, SENT_TOPIC, Base, r6
+from topicloom.session import cut, shared_dir
+from topicloom.sources import writers
+from topicloom.streaming import cooccurrence
+
+K = 10
+TARGET_WORDS = ["adapter", "router", "server", "kernel", "orbit", "probe", "vaccine", "remedy", "market", "winter"]
+
+
+def _units(b: Base):
+    """The vectors as units of small documents: eight neighbouring ids are a document."""
+    return b.vectors().select(F.floor(F.col("vec_id") / 8).cast("long").alias("doc_id"), F.col("vec_id").alias("unit"), "vec")
+
+
+def _gibbs(kind: str, rounds: int):
+    def run(b: Base):
+        model, state = gibbs.train(cut(_units(b), "units"), "doc_id", "unit", "vec", K, kind, rounds)
+        return state.select("doc_id", F.explode(F.arrays_zip("units", "z")).alias("c")).select("doc_id", F.col("c.units").alias("unit"), F.col("c.z").alias("topic_id"))
+
+    return run
+
+
+def _vmf_parameters(b: Base):
+    model, _ = gibbs.train(cut(_units(b), "units"), "doc_id", "unit", "vec", K, "vmf", 3)
+    return gibbs.parameters(model, b.spark).select("topic_id", "n", "alpha", "kappa")
+
+
+def _cluster(kind: str):
+    def run(b: Base):
+        v = cut(b.vectors(), "vectors")
+        return clustering.predict(v, "vec_id", "vec", clustering.fit(v, "vec_id", "vec", K, kind), kind)
+
+    return run
+
+
+def _senclu(b: Base):
+    return clustering.senclu(cut(_units(b), "units"), "doc_id", "unit", "vec", K)[1]
+
+
+def _sentence_words(b: Base):
+    kept = corpus.restrict(corpus.sentence_tokens(b.sentences()), b.vocab())
+    return kept.groupBy("doc_id", "sent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("words"))
+
+
+def _doc_words(b: Base):
+    return b.docs().select("doc_id", corpus.usable("document_tokens").alias("words")).where(F.size("words") > 0)
+
+
+def _mvtm(b: Base):
+    """Words as vectors of their own training, one direction model over them: OOV words are dropped by the join."""
+    docs = cut(_doc_words(b), "doc-words")
+    vecs = words.word2vec(docs, size=16)
+    toks = docs.select("doc_id", F.posexplode("words").alias("unit", "word")).join(vecs, "word")
+    from topicloom.functions.numeric import unit_safe
+
+    units = toks.select("doc_id", F.col("unit").cast("long").alias("unit"), unit_safe(F.col("vec")).alias("vec"))
+    _, state = gibbs.train(units, "doc_id", "unit", "vec", 8, "vmf", 2, 2, 1)
+    return state.select("doc_id", F.explode("z").alias("topic_id")).groupBy("doc_id", "topic_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _classify(b: Base):
+    from topicloom.operators import sampling
+
+    rows = b.vectors().select("vec_id", "vec", F.col("topic_id").cast("string").alias("label"))
+    split = cut(sampling.stratified_split(rows, "label", "vec_id"), "split")
+    guesses = words.logistic(split.where("split = 'train'"), split.where("split = 'test'"), "vec", "label", "vec_id")
+    return topics.confusion_metrics(guesses, "truth", "guess")
+
+
+def _limited_classify(b: Base):
+    from topicloom.operators import sampling
+
+    rows = b.vectors().select("vec_id", "vec", F.col("topic_id").cast("string").alias("label"))
+    split = cut(sampling.stratified_split(rows, "label", "vec_id"), "split")
+    out = None
+    for ratio in (0.25, 0.5):
+        small = sampling.limited_train(split.where("split = 'train'").drop("split"), "label", "vec_id", ratio)
+        one = topics.confusion_metrics(words.logistic(small, split.where("split = 'test'"), "vec", "label", "vec_id"), "truth", "guess").withColumn("ratio", F.lit(ratio))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _stream(b: Base):
+    """The stream reads the documents in several files; batch and stream must agree."""
+    base = f"{shared_dir(b.spark).rstrip('/')}/topicloom/stream-{uuid.uuid4().hex[:10]}"
+    docs = b.docs().select("doc_id", "document_tokens")
+    docs.repartition(4, "doc_id").write.parquet(f"{base}/in")
+    name = f"pairs_{uuid.uuid4().hex[:10]}"
+    return cooccurrence.stream_pairs(b.spark, f"{base}/in", docs.schema, TARGET_WORDS, name, f"{base}/checkpoint")
+
+
+_LIST = ", ".join(f"'{w}'" for w in TARGET_WORDS)
+STREAM_SQL = f"""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(list_filter(document_tokens, lambda t: t IS NOT NULL AND trim(t) <> ''), lambda t: lower(trim(t))), lambda t: t IN ({_LIST})))) AS ws
+ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY prepared_at DESC NULLS LAST) AS rn FROM preprocessed_document) WHERE rn = 1), e AS (SELECT doc_id, unnest(ws) AS w FROM d)
+SELECT w AS w1, '' AS w2, count(*) AS c FROM e GROUP BY w UNION ALL SELECT a.w, b.w, count(*) FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.w < b.w GROUP BY ALL"""
+
+
+def _usif(b: Base):
+    return words.usif_weights(cut(corpus.sentence_tokens(b.sentences()), "sentence-tokens")).select("term", "cnt", R("probability").alias("probability"), R("weight").alias("weight"))
+
+
+USIF_SQL = f"""WITH {SENTS}, t AS (SELECT doc_id, sent_id, lower(trim(t)) AS term FROM (SELECT doc_id, sent_id, unnest(tokens) AS t FROM sents) WHERE t IS NOT NULL AND trim(t) <> ''),
+w AS (SELECT term, count(*) AS cnt FROM t GROUP BY term), k AS (SELECT sum(cnt)::DOUBLE AS n, count(*)::DOUBLE AS v FROM w), l AS (SELECT avg(c) AS len FROM (SELECT count(*) AS c FROM t GROUP BY doc_id, sent_id)),
+p AS (SELECT term, cnt, cnt / n AS p, v, len FROM w, k, l), h AS (SELECT avg(CASE WHEN p > 1.0 - pow(1.0 - 1.0 / v, len) THEN 1.0::DOUBLE ELSE 0.0 END) AS h FROM p), a AS (SELECT CASE WHEN h > 0 THEN (1.0 - h) / (h * v / 2) ELSE 1.0 END AS a FROM h, k)
+SELECT term, cnt, {r6('p')} AS probability, {r6('a / (p + a / 2)')} AS weight FROM p, a"""
+
+
+def _usif_sentences(b: Base):
+    toks = cut(corpus.sentence_tokens(b.sentences()), "sentence-tokens")
+    vecs = words.word2vec(cut(_doc_words(b), "doc-words"), size=16)
+    return words.usif_vectors(toks, words.usif_weights(toks), vecs)
+
+
+def _jsonl_round_trip(b: Base):
+    path = f"{shared_dir(b.spark).rstrip('/')}/topicloom/jsonl-{uuid.uuid4().hex[:10]}"
+    writers.jsonl(topics.from_counts(topics.assignments(b.sentence_topic())).select("data_run", "doc_id", "topic_id", "n"), path)
+    return b.spark.read.schema("data_run STRING, doc_id LONG, n LONG, topic_id INT").json(path)
+
+
+QUERIES = {
+    "vmf_sentence_topics": (_gibbs("vmf", 4), None),
+    "vmf_topic_parameters": (_vmf_parameters, None),
+    "gaussian_sentence_topics": (_gibbs("gaussian", 2), None),
+    "word_vector_topics": (_mvtm, None),
+    "spherical_kmeans": (_cluster("skmeans"), None),
+    "direction_mixture": (_cluster("movmf"), None),
+    "diagonal_gaussian_mixture": (_cluster("gmm"), None),
+    "spark_kmeans": (lambda b: clustering.spark_kmeans(cut(b.vectors(), "vectors"), "vec_id", "vec", K), None),
+    "sentence_cluster_topics": (_senclu, None),
+    "sentence_lda": (lambda b: words.sentence_lda(_sentence_words(b), K, 3)[0], None),
+    "online_lda": (lambda b: words.online_lda(cut(_doc_words(b), "doc-words"), K)[0], None),
+    "logistic_classification": (_classify, None),
+    "limited_classification": (_limited_classify, None),
+    "streaming_cooccurrence": (_stream, lambda: STREAM_SQL),
+    "usif_word_weights": (_usif, lambda: USIF_SQL),
+    "usif_sentence_vectors": (_usif_sentences, None),
+    "jsonl_round_trip": (
+        _jsonl_round_trip,
+        lambda: f"WITH {SENT_TOPIC}, asg AS (SELECT data_run, doc_id, sent_id, topic_id FROM (SELECT *, row_number() OVER (PARTITION BY data_run, doc_id, sent_id ORDER BY p DESC, topic_id) AS r FROM st) WHERE r = 1) SELECT data_run, doc_id, topic_id, count(*) AS n FROM asg GROUP BY ALL",
+    ),
+}
