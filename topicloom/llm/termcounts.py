@@ -79,7 +79,7 @@ def interval_counts(text: np.ndarray, record: np.ndarray, breaks: np.ndarray, ma
         fresh = (lcp < n)[keep]
         fresh[0] = True
         group = np.cumsum(fresh) - 1
-        if n > 1:  # suffixes equal to depth n stand together, but longer ties may put starts out of order
+        if max_n > 1:  # suffixes equal to depth n stand together, but what follows may put starts out of order
             by = np.lexsort((at, group))
             at = at[by]
         again = np.zeros(len(at), bool)
