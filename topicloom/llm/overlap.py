@@ -8,6 +8,7 @@ import unicodedata
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicloom.session import cut, spread
 
@@ -66,19 +67,25 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return mixed
 
 
-def rare_prefix(shingles: np.ndarray, counters: np.ndarray, length: int) -> np.ndarray:
-    """Positions of the rarest shingles that more edits would be needed to destroy than any partner allows.
+def rare_prefix(shingles: np.ndarray, counters: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+    """(positions of the rarest shingles that more edits would be needed to destroy than a partner allows, how many of them serve shorter partners).
 
     Shingles are ordered by their counter, then by hash: one order for all texts. An edit destroys the
     shingles that cover one word, so the fewest edits that destroy a set of positions is the number of
-    disjoint windows that cover it. The prefix is the shortest whose number exceeds the edits allowed
-    with the longest possible partner; it ends with all places of its last shingle. Two texts within the
-    limit always share a shingle of their prefixes, at places no further apart than the edits.
+    disjoint windows that cover it. The prefix is the shortest whose number exceeds the edits allowed;
+    it ends with all places of its last shingle. The edits are a share of the longer text, so a text
+    needs its full prefix only against longer partners, and a shorter one against the others. Two
+    texts within the limit always share a shingle of these prefixes, at places no further apart than
+    the edits.
     """
     if not len(shingles):
-        return np.empty(0, np.int64)
-    allowed = length * EDITS // (PER_WORDS - EDITS)  # the longest partner has length * 100/80 words
+        return np.empty(0, np.int64), 0
     order = np.lexsort((shingles, counters[shingles >> np.uint64(64 - COUNTER_BITS)]))
+    full = _shortest(order, shingles, length * EDITS // (PER_WORDS - EDITS))  # the longest partner has length * 100/80 words
+    return order[:full], _shortest(order, shingles, length * EDITS // PER_WORDS)
+
+
+def _shortest(order: np.ndarray, shingles: np.ndarray, allowed: int) -> int:
 
     def needed(count: int) -> int:
         edits, reach = 0, -1
@@ -93,7 +100,7 @@ def rare_prefix(shingles: np.ndarray, counters: np.ndarray, length: int) -> np.n
         low, high = (low, middle) if needed(middle) > allowed else (middle + 1, high)
     while low < len(order) and shingles[order[low]] == shingles[order[low - 1]]:
         low += 1
-    return order[:low]
+    return low
 
 
 def word_distance(a: list, b: list, most: int) -> int:
@@ -140,11 +147,11 @@ def _distinct_texts(rows: DataFrame, side: str, keep: list[str]) -> DataFrame:
                     words = reader_words(text)
                     ok = len(words) >= MIN_WORDS
                     joined.append(" ".join(words) if ok else None)
-                    prints.append(xxhash.xxh3_128_hexdigest(joined[-1]) if ok else None)
-                columns = [*batch.columns[:-1], pa.array([side] * len(batch), pa.string()), pa.array(prints, pa.string()), pa.array(joined, pa.string())]
+                    prints.append(xxhash.xxh3_128_digest(joined[-1]) if ok else None)
+                columns = [*batch.columns[:-1], pa.array([side] * len(batch), pa.string()), pa.array(prints, pa.binary()), pa.array(joined, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "side", "fingerprint", "words"]).filter(pa.array([j is not None for j in joined]))
 
-    schema = rows.select(*keep).schema.add("side", "string").add("fingerprint", "string").add("words", "string")
+    schema = rows.select(*keep).schema.add("side", "string").add("fingerprint", T.BinaryType()).add("words", "string")
     return spread(rows.select(*keep, "data")).mapInArrow(run, schema)
 
 
@@ -168,7 +175,7 @@ def _shingle_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, counters) -> DataFrame:
-    """(side, fingerprint, length, shingle, place) of the rare prefix of every text."""
+    """(fingerprint, length, shingle, place, rarest) of the rare prefix of every text; rarest marks the part that serves partners no longer than the text."""
 
     def run(batches):
         import pyarrow as pa
@@ -178,14 +185,15 @@ def _prefixes(texts: DataFrame, counters) -> DataFrame:
             for fingerprint, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = word_hashes(words.split(" "))
                 shingles = shingle_hashes(hashes)
-                places = rare_prefix(shingles, counters.value, len(hashes))
-                out.append((np.full(len(places), len(hashes), np.int32), shingles[places].view(np.int64), places.astype(np.int32), [fingerprint] * len(places)))
+                places, few = rare_prefix(shingles, counters.value, len(hashes))
+                out.append((np.full(len(places), len(hashes), np.int32), shingles[places].view(np.int64), places.astype(np.int32), np.arange(len(places)) < few, [fingerprint] * len(places)))
             if out:
-                lengths, shingle, place = (np.concatenate([o[i] for o in out]) for i in range(3))
-                names = [f for o in out for f in o[3]]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(lengths), pa.array(shingle), pa.array(place)], names=["fingerprint", "length", "shingle", "place"])
+                lengths, shingle, place, rarest = (np.concatenate([o[i] for o in out]) for i in range(4))
+                names = [f for o in out for f in o[4]]
+                columns = [pa.array(names, pa.binary()), pa.array(lengths), pa.array(shingle), pa.array(place), pa.array(rarest)]
+                yield pa.RecordBatch.from_arrays(columns, names=["fingerprint", "length", "shingle", "place", "rarest"])
 
-    return texts.select("fingerprint", "words").mapInArrow(run, "fingerprint STRING, length INT, shingle LONG, place INT")
+    return texts.select("fingerprint", "words").mapInArrow(run, "fingerprint BINARY, length INT, shingle LONG, place INT, rarest BOOLEAN")
 
 
 def _verified(candidates: DataFrame) -> DataFrame:
@@ -201,7 +209,7 @@ def _verified(candidates: DataFrame) -> DataFrame:
                 keep.append(word_distance(x, y, most) <= most)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return candidates.mapInArrow(run, "train_print STRING, test_print STRING")
+    return candidates.mapInArrow(run, "train_print BINARY, test_print BINARY")
 
 
 def overlapping_texts(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -213,17 +221,19 @@ def overlapping_texts(train: DataFrame, test: DataFrame) -> tuple[DataFrame, Dat
     """
     spark = train.sparkSession
     rows = _distinct_texts(train, "train", ["row_id"]).unionByName(_distinct_texts(test, "test", ["row_id", "split", "source"]), allowMissingColumns=True)
-    members = cut(rows.dropDuplicates(["side", "row_id", "fingerprint"]), "members")
-    texts = cut(members.groupBy("side", "fingerprint").agg(F.first("words").alias("words")), "texts")
+    rows = cut(rows, "rows")
+    members = rows.drop("words").dropDuplicates(["side", "row_id", "fingerprint"])
+    texts = cut(rows.groupBy("side", "fingerprint").agg(F.first("words").alias("words")), "texts")
     counters = spark.sparkContext.broadcast(_shingle_counts(texts))  # 4 MB
     ours, theirs = (texts.where(F.col("side") == s).select("fingerprint", "words") for s in ("train", "test"))
-    probe = _prefixes(ours, counters).toDF("train_print", "train_length", "shingle", "train_place")
-    index = _prefixes(theirs, counters).toDF("test_print", "test_length", "shingle", "test_place")
+    probe = _prefixes(ours, counters).toDF("train_print", "train_length", "shingle", "train_place", "train_rarest")
+    index = _prefixes(theirs, counters).toDF("test_print", "test_length", "shingle", "test_place", "test_rarest")
     most = F.floor(F.greatest("train_length", "test_length") * F.lit(EDITS) / F.lit(PER_WORDS))
     near = (F.abs(F.col("train_length") - F.col("test_length")) <= most) & (F.abs(F.col("train_place") - F.col("test_place")) <= most)
-    pairs = probe.join(index, "shingle").where(near).select("train_print", "test_print").distinct()
+    longer = F.when(F.col("train_length") >= F.col("test_length"), F.col("train_rarest")).otherwise(F.col("test_rarest"))
+    pairs = probe.join(index, "shingle").where(longer & near).select("train_print", "test_print").distinct()
     pairs = pairs.join(ours.toDF("train_print", "a"), "train_print").join(theirs.toDF("test_print", "b"), "test_print")
-    return _verified(pairs.select("train_print", "test_print", "a", "b")), members.drop("words")
+    return _verified(pairs.select("train_print", "test_print", "a", "b")), members
 
 
 def found(train: DataFrame, test: DataFrame) -> DataFrame:
