@@ -128,7 +128,55 @@ def _jsonl_round_trip(b: Base):
     return b.spark.read.schema("data_run STRING, doc_id LONG, n LONG, topic_id INT").json(path)
 
 
+def _topic_count_grid(b: Base):
+    """Log perplexity of mixtures of directions over a grid of topic counts; one small fit for each."""
+    v = cut(b.vectors(), "vectors")
+    rows = []
+    for k in (2, 5, 10, 20):
+        p = clustering.fit(v, "vec_id", "vec", k, "movmf", 5)
+        rows.append((k, len(p["history"]), -float(p["history"][-1]), -float(p["history"][-1]) > 709.0))
+    return b.spark.createDataFrame(rows, "topics INT, rounds INT, log_perplexity DOUBLE, overflow BOOLEAN")
+
+
+def _prepared_dataset(b: Base):
+    """Cleaned documents, those without a kept sentence dropped, split by label and written as CSV with a manifest; read back."""
+    from topicloom.operators import sampling
+    from topicloom.sources import readers
+
+    judged = cut(corpus.judged_sentences(b.sentences(), unicode=False), "judged")
+    texts = corpus.prepared_texts(judged).join(b.labels(), "doc_id")
+    split = cut(sampling.stratified_split(texts, "label", "doc_id"), "split")
+    base = f"{shared_dir(b.spark).rstrip('/')}/topicloom/prepared-{uuid.uuid4().hex[:10]}"
+    stats = corpus.quality_stats(judged).first().asDict()
+    out = None
+    for part in ("train", "test"):
+        writers.csv_dataset(split.where(F.col("split") == part).select("doc_id", F.col("text").alias("data"), F.col("label").alias("target_str")), f"{base}/{part}", {"split": part, "stats": stats})
+        one = readers.csv_corpus(b.spark, f"{base}/{part}", "data", "target_str").select(F.lit(part).alias("split"), "text", "label")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _feature_importance(b: Base):
+    """The dimensions of largest and smallest weight for each class of a multinomial classifier."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = b.vectors().select(F.col("topic_id").cast("double").alias("label"), array_to_vector(F.col("vec")).alias("features"))
+    m = LogisticRegression(family="multinomial", maxIter=20, regParam=1e-3).fit(rows).coefficientMatrix.toArray()
+    out = [(int(c), int(d), float(m[c, d]), rank + 1) for c in range(m.shape[0]) for rank, d in enumerate(sorted(range(m.shape[1]), key=lambda d, c=c: -m[c, d])[:5])]
+    return b.spark.createDataFrame(out, "class INT, dimension INT, weight DOUBLE, rank INT")
+
+
+def _soft_inference(b: Base):
+    model, _ = gibbs.train(cut(_units(b), "units"), "doc_id", "unit", "vec", K, "vmf", 2)
+    return gibbs.infer(_units(b), "doc_id", "unit", "vec", model)
+
+
 QUERIES = {
+    "topic_count_grid": (_topic_count_grid, None),
+    "prepared_dataset": (_prepared_dataset, None),
+    "feature_importance": (_feature_importance, None),
+    "vmf_soft_inference": (_soft_inference, None),
     "vmf_sentence_topics": (_gibbs("vmf", 4), None),
     "vmf_topic_parameters": (_vmf_parameters, None),
     "gaussian_sentence_topics": (_gibbs("gaussian", 2), None),

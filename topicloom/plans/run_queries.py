@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import text as X
 from topicloom.functions.numeric import r6 as R
+from topicloom.functions.numeric import sigfigs
 from topicloom.operators import runs as O
-from topicloom.plans.base import RUNS, THETA, Base, r6
+from topicloom.plans.base import RUNS, SENT_TOPIC, SENTS, THETA, Base, r6
 from topicloom.sources import readers, writers
 
 AXES = ["model", "dataset", "category"]
@@ -72,6 +73,23 @@ CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE CAST('0.' || (user_id % 4 + 1) AS DOUBLE
         lambda b: b.runs().select("model", "category", "iteration").distinct().select("model", "category", "iteration", F.format_string("it%02d__k%03d__%s__", "iteration", F.lit(20), "category").alias("condition"), F.substring(F.sha1(F.concat_ws("|", "model", "category")), 1, 8).alias("fp")),
         lambda: f"WITH {RUNS} SELECT DISTINCT model, category, iteration, format('it{{:02d}}__k020__{{}}__', iteration, category) AS condition, substr(sha1(concat_ws('|', model, category)), 1, 8) AS fp FROM runs",
     ),
+    "experiment_summary": (
+        lambda b: b.runs().groupBy("model", "dataset").agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("category").alias("categories"), F.min("started_at").alias("first_start"), F.max("started_at").alias("last_start"), R(F.max("metric")).alias("best")),
+        lambda: f"WITH {RUNS} SELECT model, dataset, count(*) AS runs, count(DISTINCT category) AS categories, min(started_at) AS first_start, max(started_at) AS last_start, {r6('max(metric)')} AS best FROM runs GROUP BY ALL",
+    ),
+    "incomplete_runs": (
+        lambda b: _coverage(b).where(F.col("status").isin("missing", "partial")).groupBy("model", "dataset").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("expected_count") - F.col("run_count")).alias("lacking")),
+        lambda: f"""WITH {RUNS}, {GRID}, h AS (SELECT model, dataset, iteration, count(*) AS run_count FROM runs GROUP BY ALL), j AS (SELECT *, coalesce(run_count, 0) AS rc FROM grid LEFT JOIN h USING (model, dataset, iteration))
+SELECT model, dataset, count(*) AS cells, sum(expected_count - rc)::BIGINT AS lacking FROM j WHERE rc < expected_count GROUP BY ALL""",
+    ),
+    "significant_digits": (
+        lambda b: O.mean_std(b.runs(), ["model"], "metric").select("model", sigfigs("mean").alias("mean")),
+        lambda: f"WITH {RUNS} SELECT model, CAST(printf('%.4g', avg(metric)) AS DOUBLE) AS mean FROM runs GROUP BY model",
+    ),
+    "aligned_sentences": (
+        lambda b: b.sentence_topic().select("data_run", "doc_id", "sent_id").distinct().join(b.sentences().select("doc_id", "sent_id", F.size("tokens").alias("n_tokens")), ["doc_id", "sent_id"], "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0))),
+        lambda: f"WITH {SENTS}, {SENT_TOPIC} SELECT DISTINCT data_run, doc_id, sent_id, CAST(coalesce(len(tokens), 0) AS INTEGER) AS n_tokens FROM st LEFT JOIN sents USING (doc_id, sent_id)",
+    ),
     "latex_summary": (
         lambda b: writers.latex_rows(O.mean_std(b.runs(), ["dataset", "model"], "metric").select("dataset", X.latex(F.col("model")).alias("model"), F.floor("mean").cast("string").alias("mean")), ["dataset", "model", "mean"], ["dataset", "model"]),
         lambda: f"WITH {RUNS} SELECT dataset, model, dataset || ' & ' || model || ' & ' || CAST(floor(avg(metric))::BIGINT AS VARCHAR) || ' \\\\' AS latex FROM runs GROUP BY dataset, model",
