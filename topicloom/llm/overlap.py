@@ -168,9 +168,9 @@ def _shingle_counts(texts: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["counter", "n"])
 
-    counts = texts.select("words").mapInArrow(run, "counter LONG, n LONG").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    counts = texts.select("words").mapInArrow(run, "counter LONG, n LONG").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(1 << COUNTER_BITS, np.uint32)
-    total[counts["counter"].to_numpy(np.int64)] = np.minimum(counts["n"].to_numpy(np.int64), 2**32 - 1)
+    total[counts["counter"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 2**32 - 1)
     return total
 
 
