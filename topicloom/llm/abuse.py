@@ -342,19 +342,19 @@ def fit(units: DataFrame) -> tuple[LabelModel, np.ndarray]:
     The sample is drawn by hash: up to VOTED_SAMPLE sentences with votes, SILENT_SAMPLE without.
     """
     said = units.where("sentence is not null")
-    patterns = said.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    masks, counts = patterns["mask"].to_numpy(np.int64), patterns["n"].to_numpy(np.int64)
+    patterns = said.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    masks, counts = patterns["mask"].to_numpy(), patterns["n"].to_numpy()
     order = np.argsort(masks)
     model = LabelModel(masks[order], counts[order])
     draw = F.xxhash64(F.lit(9), "sentence")
     cap = F.substring("sentence", 1, 2000)  # of the training sample only
-    sample = [said.where(c).select("mask", "hidden", cap.alias("s")).orderBy(draw, "s").limit(n).toPandas() for c, n in (("mask <> 0", VOTED_SAMPLE), ("mask = 0", SILENT_SAMPLE))]
+    sample = [said.where(c).select("mask", "hidden", cap.alias("s")).orderBy(draw, "s").limit(n).toArrow() for c, n in (("mask <> 0", VOTED_SAMPLE), ("mask = 0", SILENT_SAMPLE))]
     rows, labels, weights = [], [], []
     for part in sample:
-        mask = part["mask"].to_numpy(np.int64)
+        mask = part["mask"].to_numpy()
         if len(mask):
             spoke = ((mask[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
-            rows += [features(s, int(m), int(h)) for s, m, h in zip(part["s"], mask, part["hidden"], strict=True)]
+            rows += [features(s, int(m), int(h)) for s, m, h in zip(part["s"].to_pylist(), mask, part["hidden"].to_pylist(), strict=True)]
             labels.append(model.posterior(spoke))
             weights.append(np.ones(len(mask)) / len(mask))
     size = len(VOTERS) + 1 + BUCKETS
