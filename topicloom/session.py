@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -84,14 +85,21 @@ def _release_at_exit() -> None:
 
 
 def spread(df: DataFrame, *keys) -> DataFrame:
-    """Deals the rows of a scan of fewer splits than cores to all cores, for steps that compute much per row.
+    """Deals rows to all cores before a step that computes much per row, if there are too few partitions for them.
 
-    A scan that gives every core a split is left alone, so large inputs are never shuffled for this.
+    A scan of as many splits as cores is left alone, and so is the result of a shuffle that is large
+    enough for adaptive execution to keep a partition for every core; large inputs are never shuffled
+    for this. The plan is looked at, not run.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(2 * cores, *keys)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if re.search(r"^[\s:+|-]*(?:Aggregate|Join|Window|Distinct|Deduplicate|Repartition|Sort)", plan.toString(), re.M):
+        per_core = spark._jsparkSession.sessionState().conf().getConf(spark._jvm.org.apache.spark.sql.internal.SQLConf.ADVISORY_PARTITION_SIZE_IN_BYTES())
+        small = int(str(plan.stats().sizeInBytes())) < cores * int(per_core)
+    else:
+        small = df.rdd.getNumPartitions() < cores
+    return df.repartition(2 * cores, *keys) if small else df
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
