@@ -61,18 +61,26 @@ _ODD = re.compile(r"[^\s\"“”„«»(),;:?¿¡.。！？、，]*(?:(?<=[^\W_]
 _MAYBE_SPACED = re.compile(r"(?<![^\W_])[^\s]([ .\-_*·/|~])[^\s]\1[^\s](?![^\W_])").search
 _MAYBE_ODD = re.compile(r"[^\W\d_][*$@!+|€#%&0-9]|[*$@!€0-9][^\W\d_]|([^\W\d_])\1\1").search
 _MIXED = re.compile(r"(?=\w*[A-Za-z])(?=\w*[Ͱ-ӿ])\w+")
-_QUOTE_MARK = re.compile(r"^[ \t]*(?:[A-Za-z]{0,3}>|[>|]|: )+[ \t]?", re.M)
+_QUOTE_MARK = re.compile(r"(?:(?<=\n)|\A)[ \t]*(?:[A-Za-z]{0,3}>|[>|]|: )+[ \t]?")
+_MAYBE_QUOTED = re.compile(r"(?:\n|\A)[ \t]*[A-Za-z]{0,3}[>|:]").search
+
+
+@lru_cache(maxsize=1)
+def _invisible():
+    import regex
+
+    return regex.compile(r"\p{Cf}+").sub
 
 
 def plain(text: str) -> str:
     """A text with widths, invisible characters, look-alike letters and quotation marks at line starts undone."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+        text = _invisible()("", text)
         text = _MIXED.sub(lambda m: m.group().translate(LOOKALIKES), text)
-    if any(c in text for c in ">|:"):
+    if _MAYBE_QUOTED(text):
         text = _QUOTE_MARK.sub("", text)
-    return re.sub(r"(?<=[A-Za-z])!(?=[A-Za-z*$@0-9])", "i", text)
+    return re.sub(r"(?<=[A-Za-z])!(?=[A-Za-z*$@0-9])", "i", text) if "!" in text else text
 
 
 @lru_cache(maxsize=200_000)
@@ -135,7 +143,7 @@ def unmasked(sentence: str) -> tuple[str, int]:
     text = _SPACED.sub(join, sentence) if _MAYBE_SPACED(sentence) else sentence
     if _MAYBE_ODD(text):
         text = _ODD.sub(clear, text)
-    return re.sub(r"\s+", " ", text.casefold()), hidden
+    return " ".join(text.casefold().split()), hidden
 
 
 def _any(words) -> str:
@@ -178,8 +186,8 @@ VOTERS: list[tuple[str, int, float, list[str]]] = [
 ]
 _COMPILED = [[re.compile(p) for p in patterns] for *_, patterns in VOTERS]
 
-#: Words of which a sentence must hold one before a voter's patterns are tried; "*" with a script stands for any word of it.
-CUES: dict[str, set[str] | str] = {
+#: Words of which a sentence must hold one before a voter's patterns are tried.
+CUES: dict[str, set[str]] = {
     "insult_you": {*INSULTS, *SLURRING, *"piece bag sack stupid dumb pathetic worthless useless garbage trash braindead retarded filthy lying damn fucking".split()},
     "insult_named": {*INSULTS, "village"},
     "rude_order": set("kiss hell shut lost go fuck screw damn yours piss drop asked absolute cry crawl stfu".split()),
@@ -195,20 +203,23 @@ CUES: dict[str, set[str] | str] = {
     "solicitation": set("nudes nude horny sex hot naked signup questions hardcore porn dressed".split()),
     "german": set("du fresse maul klappe ungeziefer abschaum untermenschen ratten gehören geile nackte nackt dich".split()),
     "romance": set("tu sale espèce ferme vais vermine chasse tue vire salopes salope soir eres matar voy cállate pedazo son hay chicas calientes".split()),
-    "slavic": "[Ѐ-ӿ]",
-    "semitic_indic": "[؀-ۿऀ-ॿ]",
-    "east_asian": "[฀-๿぀-ヿ㐀-鿿]",
-    "reported": r"[Ѐ-ӿ぀-ヿ㐀-鿿]|\b(?:words?|terms?|expressions?|phrases?|calling|lead|leads|removed|deleted|hid|reported|apologi[sz]ed|hate|historians?|called|court|jury|judge|police|prosecutors?|witness|had|named|chorus|play|wort|mot|palabra|sperrliste|liste|lista)\b",
-    "quotation": "[\"“«「『']",
-    "stage_or_art": r"\b(?:act|scene|comic|assassin|nude|aktkurs|nacktes|estatua|роман|novel|play|film|opera|painting|statue)\b",
-    "technical": r"[Ѐ-ӿ぀-ヿ㐀-鿿]|\b(?:kill|hung|slave|dumb|dummy|screw|dust|shoot|filter|proceso|processus)\b",
+    "reported": set("word words term terms expression expressions phrase phrases calling lead leads removed deleted hid reported apologised apologized apologises apologizes hate historian historians called court jury judge police prosecutor prosecutors witness witnesses had named chorus play wort mot palabra sperrliste liste lista".split()),
+    "quotation": set("wrote written said says shouted called read reads named titled word words threatened".split()) | {*INSULTS},
+    "stage_or_art": set("act scene comic assassin nude aktkurs nacktes estatua роман novel play film opera painting statue".split()),
+    "technical": set("kill hung slave dumb dummy screw dust shoot filter proceso processus".split()),
     "medical": set("breast sexual sex suicide cáncer cancer naked hotline".split()) | {"brustkrebsvorsorge"},
-    "zoological": r"[぀-ヿ㐀-鿿]|\b(?:pupp|breeder|crowed|ass|jars|kept|strips|adult|herd)",
+    "zoological": set("puppy puppies breeder crowed ass jars kept strips adult herd".split()),
     "swearing_at_nobody": set("shit damn crap fuck hell mistake wrong".split()),
     "praise_or_fans": set("sick hardcore killer".split()),
     "neutral_group": set("language festival".split()),
 }
-_CUED = [re.compile(c) if isinstance(c, str) else frozenset(c) for c in (CUES[v[0]] for v in VOTERS)]
+#: Scripts in which a voter is tried whatever the words.
+SCRIPTS = {"slavic": "[Ѐ-ӿ]", "semitic_indic": "[؀-ۿऀ-ॿ]", "east_asian": "[฀-๿぀-ヿ㐀-鿿]", "reported": "[Ѐ-ӿ぀-ヿ㐀-鿿]", "technical": "[Ѐ-ӿ぀-ヿ㐀-鿿]", "zoological": "[぀-ヿ㐀-鿿]", "quotation": "[«「『]", "stage_or_art": "[Ѐ-ӿ]"}
+_CUED: dict[str, int] = {}
+for _bit, (_name, *_) in enumerate(VOTERS):
+    for _w in CUES.get(_name, ()):
+        _CUED[_w] = _CUED.get(_w, 0) | 1 << _bit
+_SCRIPTED = [(re.compile(SCRIPTS[v[0]]).search, 1 << i) for i, v in enumerate(VOTERS) if v[0] in SCRIPTS]
 SIGNS = np.array([v[1] for v in VOTERS], dtype=np.int64)
 GUESSES = np.array([v[2] for v in VOTERS])
 
@@ -221,12 +232,18 @@ THRESHOLD = 0.5
 
 def votes(text: str) -> int:
     """Bit mask of the voters that speak on a sentence that unmasked() made plain."""
-    words, mask = set(_RUNS(text)), 0
-    for bit, (cue, patterns) in enumerate(zip(_CUED, _COMPILED, strict=True)):
-        if (words.isdisjoint(cue) if isinstance(cue, frozenset) else not cue.search(text)):
-            continue
-        if any(p.search(text) for p in patterns):
-            mask |= 1 << bit
+    tried = mask = 0
+    for word in _RUNS(text):
+        tried |= _CUED.get(word, 0)
+    if not text.isascii():
+        for found, bit in _SCRIPTED:
+            if found(text):
+                tried |= bit
+    while tried:
+        bit = tried & -tried
+        tried ^= bit
+        if any(p.search(text) for p in _COMPILED[bit.bit_length() - 1]):
+            mask |= bit
     return mask
 
 

@@ -46,6 +46,7 @@ _PAUSE = "…‥"
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "【": "】", "〈": "〉", "《": "》", "［": "］", "｢": "｣", "〔": "〕"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
 _BRACKETS = set("([{（【［〔")
+_PAIRED = re.compile("[" + re.escape("".join({*_OPEN, *_CLOSE, *"„\"＂'‘’"})) + "]")
 _EMOJI = "[\U0001f000-\U0001faff☀-➿⭐⭕⌚⌛❤]"
 _FACE = re.compile(rf"(?:{_EMOJI}[️‍\U0001f3fb-\U0001f3ff]*)+|(?<!\S)(?:[:;=][-'^o]?[)(DPp\]\[|/\\*]|\^_\^|<3|xD|XD)(?!\w)")
 _ENDS = re.compile(rf"[{re.escape(TERMINATORS)}{_PAUSE}]+")
@@ -64,8 +65,8 @@ def _pairs(text: str, start: int, end: int) -> dict[int, int]:
     pairs: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
     low_open = False
-    for i in range(start, end):
-        c = text[i]
+    for m in _PAIRED.finditer(text, start, end):
+        i, c = m.start(), m.group()
         before = text[i - 1] if i > start else " "
         after = text[i + 1] if i + 1 < end else " "
         if c == "„":
