@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topicloom.functions.numeric import EPS, cosine, r6
+from topicloom.session import cut
 
 AXES = ["data_run", "topic_id"]
 
@@ -84,18 +85,18 @@ def window_total(toks: DataFrame, window: int | None) -> DataFrame:
 
 def cooccurrence(toks: DataFrame, tops: DataFrame, window: int | None) -> tuple[DataFrame, DataFrame]:
     """((term, c), (w1, w2, c)): windows with each target word, and with both words of each pair that stands in some topic."""
-    occ = occurrences(toks, tops, window)
+    occ = cut(occurrences(toks, tops, window), "occurrences")
     singles = occ.groupBy("term").agg(F.sum(F.size("wins").cast("long")).alias("c"))
     wanted = word_pairs(tops).select("w1", "w2").distinct()
     left = occ.select("doc_id", F.col("term").alias("w1"), F.col("wins").alias("a")).join(wanted, "w1")
     right = occ.select("doc_id", F.col("term").alias("w2"), F.col("wins").alias("b"))
     both = left.join(right, ["doc_id", "w2"])
     pairs = both.groupBy("w1", "w2").agg(F.sum(F.size(F.array_intersect("a", "b")).cast("long")).alias("c"))
-    return singles, pairs.where("c > 0")
+    return cut(singles, "singles"), cut(pairs.where("c > 0"), "pairs")
 
 
-def _counted_pairs(toks: DataFrame, tops: DataFrame, window: int | None) -> DataFrame:
-    singles, pairs = cooccurrence(toks, tops, window)
+def _counted_pairs(toks: DataFrame, tops: DataFrame, window: int | None, counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    singles, pairs = counts or cooccurrence(toks, tops, window)
     zero = F.lit(0).cast("long")
     rows = word_pairs(tops)
     rows = rows.join(singles.select(F.col("term").alias("w1"), F.col("c").alias("ci")), "w1", "left")
@@ -131,8 +132,8 @@ def coherence(toks: DataFrame, tops: DataFrame, measure: str, window: int | None
 
 def coherence_cv(toks: DataFrame, tops: DataFrame, window: int = 110, min_frequency: int = 0) -> DataFrame:
     """(data_run, topic_id, coherence) by vectors: each word's NPMI with all top words against the sum of all those vectors, mean cosine."""
-    pairs = _counted_pairs(toks, tops, window)
-    singles, _ = cooccurrence(toks, tops, window)
+    counts = cooccurrence(toks, tops, window)
+    pairs, singles = _counted_pairs(toks, tops, window, counts), counts[0]
     own = tops.select(*AXES, F.col("term").alias("w1"), F.col("term").alias("w2"))
     own = own.join(singles.select(F.col("term").alias("w1"), F.col("c").alias("ci")), "w1", "left").withColumn("ci", F.coalesce("ci", F.lit(0).cast("long")))
     own = own.withColumn("cj", F.col("ci")).withColumn("cij", F.col("ci")).crossJoin(F.broadcast(window_total(toks, window)))  # one row

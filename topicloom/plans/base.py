@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.operators import corpus, topics, topicwords
-from topicloom.session import table
+from topicloom.session import cut, table
 
 TOP_N = 10
 
@@ -15,22 +15,30 @@ class Base:
     """The usual starting frames over one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._made = spark, sf_dir, {}
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
 
-    def docs(self) -> DataFrame:
-        return corpus.documents(self.table("preprocessed_document"))
+    def once(self, name: str, make) -> DataFrame:
+        """A frame that several steps of a query read: written once, read back after."""
+        if name not in self._made:
+            self._made[name] = cut(make(), name)
+        return self._made[name]
+
+    def docs(self, *columns: str) -> DataFrame:
+        """The latest row of every document; only the columns named are carried through the aggregation."""
+        rows = self.table("preprocessed_document")
+        return corpus.documents(rows.select("doc_id", "prepared_at", *columns) if columns else rows)
 
     def tokens(self) -> DataFrame:
-        return corpus.tokens(self.docs())
+        return self.once("tokens", lambda: corpus.tokens(self.docs("document_tokens")))
 
     def sentences(self) -> DataFrame:
-        return corpus.sentences(self.docs())
+        return corpus.sentences(self.docs("sentences_raw", "sentences_tokenized"))
 
     def vocab(self) -> DataFrame:
-        return corpus.vocabulary(self.tokens())
+        return self.once("vocabulary", lambda: corpus.vocabulary(self.tokens()))
 
     def theta(self) -> DataFrame:
         return topics.valid_latest(self.table("doc_topic"), ["data_run", "doc_id", "topic_id"], "theta")
@@ -41,7 +49,7 @@ class Base:
 
     def labels(self) -> DataFrame:
         """(doc_id, label): the source of each document, trimmed, in lower case."""
-        return self.docs().select("doc_id", F.lower(F.trim("source")).alias("label")).where("label <> ''")
+        return self.docs("source").select("doc_id", F.lower(F.trim("source")).alias("label")).where("label <> ''")
 
     def bow(self) -> DataFrame:
         return corpus.bag_of_words(corpus.restrict(self.tokens(), self.vocab()), ["doc_id"])

@@ -68,7 +68,7 @@ def _csv_corpus(b: Base):
 
 
 def _modelable(b: Base):
-    return corpus.selection(b.docs())
+    return corpus.selection(b.docs("sentences_raw", "sentences_tokenized", "document_tokens"))
 
 
 def _restricted_sentences(b: Base):
@@ -195,7 +195,7 @@ SELECT row_id, label FROM r WHERE i <= greatest(1, floor(0.25::DOUBLE * n + 1e-9
 regexp_replace(lower(label), '[^a-z0-9]', '', 'g') AS selector, CASE WHEN starts_with(label, 'comp') THEN label ELSE 'comp' || label END AS prefixed FROM tr WHERE label IS NOT NULL""",
     ),
     "document_availability": (
-        lambda b: b.docs().select("doc_id", F.coalesce(F.size(corpus.usable("document_tokens")) > 0, F.lit(False)).alias("has_tokens"), (F.coalesce(F.trim("raw_text"), F.lit("")) != "").alias("has_text"), (F.size(F.coalesce("sentences_raw", F.array().cast("array<string>"))) > 0).alias("has_sentences")),
+        lambda b: b.docs("document_tokens", "raw_text", "sentences_raw").select("doc_id", F.coalesce(F.size(corpus.usable("document_tokens")) > 0, F.lit(False)).alias("has_tokens"), (F.coalesce(F.trim("raw_text"), F.lit("")) != "").alias("has_text"), (F.size(F.coalesce("sentences_raw", F.array().cast("array<string>"))) > 0).alias("has_sentences")),
         lambda: f"WITH {DOCS} SELECT doc_id, coalesce(len(list_filter(document_tokens, lambda t: t IS NOT NULL AND trim(t) <> '')) > 0, false) AS has_tokens, trim(coalesce(raw_text, '')) <> '' AS has_text, coalesce(len(sentences_raw), 0) > 0 AS has_sentences FROM docs",
     ),
     "whitespace_vocabulary": (

@@ -54,7 +54,7 @@ def _sentence_words(b: Base):
 
 
 def _doc_words(b: Base):
-    return b.docs().select("doc_id", corpus.usable("document_tokens").alias("words")).where(F.size("words") > 0)
+    return b.docs("document_tokens").select("doc_id", corpus.usable("document_tokens").alias("words")).where(F.size("words") > 0)
 
 
 def _mvtm(b: Base):
@@ -94,7 +94,7 @@ def _limited_classify(b: Base):
 def _stream(b: Base):
     """The stream reads the documents in several files; batch and stream must agree."""
     base = f"{shared_dir(b.spark).rstrip('/')}/topicloom/stream-{uuid.uuid4().hex[:10]}"
-    docs = b.docs().select("doc_id", "document_tokens")
+    docs = b.docs("document_tokens").select("doc_id", "document_tokens")
     docs.repartition(4, "doc_id").write.parquet(f"{base}/in")
     name = f"pairs_{uuid.uuid4().hex[:10]}"
     return cooccurrence.stream_pairs(b.spark, f"{base}/in", docs.schema, TARGET_WORDS, name, f"{base}/checkpoint")

@@ -14,7 +14,7 @@ ST = f"WITH {SENT_TOPIC}"
 
 def _coherence(measure: str, window: int | None = None):
     def run(b: Base):
-        toks, tops = cut(b.tokens(), "tokens"), cut(b.top_words(), "top-words")
+        toks, tops = b.tokens(), cut(b.top_words(), "top-words")
         found = topicwords.coherence_cv(toks, tops, window) if measure == "c_v" else topicwords.coherence(toks, tops, measure, window)
         return found.select("data_run", "topic_id", R("coherence").alias("coherence"))
 
@@ -118,13 +118,13 @@ SELECT * FROM (SELECT data_run, label, docs, topic_id, {r6('m')} AS mean_weight,
 
 
 def _window_counts(b: Base):
-    singles, pairs = topicwords.cooccurrence(cut(b.tokens(), "tokens"), cut(b.top_words(), "top-words"), 10)
+    singles, pairs = topicwords.cooccurrence(b.tokens(), cut(b.top_words(), "top-words"), 10)
     one = singles.select(F.col("term").alias("w1"), F.lit("").alias("w2"), "c")
     return one.unionByName(pairs.select("w1", "w2", "c"))
 
 
 def _doc_counts(b: Base):
-    singles, pairs = topicwords.cooccurrence(cut(b.tokens(), "tokens"), cut(b.top_words(), "top-words"), None)
+    singles, pairs = topicwords.cooccurrence(b.tokens(), cut(b.top_words(), "top-words"), None)
     return singles.select(F.col("term").alias("w1"), F.lit("").alias("w2"), "c").unionByName(pairs.select("w1", "w2", "c"))
 
 
