@@ -105,7 +105,7 @@ def decoded(token: str) -> str | None:
     for form in sorted(forms):
         if "*" in form or "#" in form or "%" in form:
             pattern = re.compile("".join("." if c in "*#%" else re.escape(c) for c in form))
-            if sum(c not in "*#%" for c in form) >= max(1, len(form) // 3):
+            if sum(c not in "*#%" for c in form) >= max(1, min(2, len(form) // 3)):
                 for w in _BY_SIZE.get(len(form), []):
                     if pattern.fullmatch(w):
                         return w
@@ -122,6 +122,8 @@ def unmasked(sentence: str) -> tuple[str, int]:
     def join(m):
         nonlocal hidden
         word = "".join(c for i, c in enumerate(m.group(1)) if i % 2 == 0)
+        if m.group(2) == "*" and "*" in word:
+            return m.group()  # a masked word, not a spaced one
         for a, b in ((0, 0), (1, 0), (0, 1), (1, 1)):  # a neighbouring "a" or "I" is no part of it
             part = word[a : len(word) - b].casefold()
             clear = part if part in _KNOWN and len(part) > 2 else decoded(part) if len(part) > 2 else None
