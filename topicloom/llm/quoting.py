@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from topicloom.session import cut, spread
 
-#: Words per shingle, and the share of a line's words that must lie in inherited runs.
-SHINGLE, SIMILARITY = 5, 0.8
-#: Shortest run of words that counts in an alignment: phrases of five words are shared by chance.
+#: Words per shingle; lines of fewer words must repeat a whole quoted line. The part of a line's words, in 1 / 100, that must align in order.
+SHINGLE, SIMILARITY = 5, 80
+#: Runs of so many words are no chance phrases, wherever they stand.
 RUN = 8
 
 _MARK = re.compile(r"^\s*(?:(?:[A-Za-z]{1,3}>|[>|＞»]|:(?=\s|:))\s?)+")
@@ -338,23 +338,18 @@ def analyse(text: str | None) -> Message:
     gone |= _furniture(lines, gone)
     out.inherited = {i + 1 for i in gone if lines[i].strip()}
     out.keys = _thread_keys(lines, intro, quoted)
-    if out.keys:
-        for a, b in _runs(sorted(quoted)):
-            span = " ".join(w for i in range(a, b) for w in words_of(lines[i][len(_mark(lines[i])) :]))
-            if span.count(" ") + 1 >= SHINGLE:
-                out.quoted.append(span)
-        _repeated(lines, out)
+    for a, b in _runs(sorted(quoted)):
+        span = "\n".join(x for i in range(a, b) if (x := " ".join(words_of(lines[i][len(_mark(lines[i])) :]))))
+        if span:
+            out.quoted.append(span)
+    for span in out.quoted:
+        out.inherited |= aligned_lines(_left(lines, out), span)
     return out
 
 
-def _repeated(lines: list[str], out: Message) -> None:
-    """Adds the unmarked lines that repeat what the same text quotes."""
-    left = [(i, x) for i, x in enumerate(lines, 1) if i not in out.inherited and len(words_of(x)) >= SHINGLE]
-    hashes = {i: set(rolling_hashes(words_of(x))) for i, x in left}
-    for span in out.quoted:
-        known = set(rolling_hashes(span.split(" ")))
-        if any(known & h for h in hashes.values()):
-            out.inherited |= aligned_lines([(i, x) for i, x in left if i not in out.inherited], span)
+def _left(lines: list[str], message: Message) -> list[tuple[int, str]]:
+    """The lines that may still be new, by number from 1."""
+    return [(i, x) for i, x in enumerate(lines, 1) if i not in message.inherited and x.strip()]
 
 
 def _runs(numbers: list[int]):
@@ -392,23 +387,95 @@ def rolling_hashes(words: list[str], size: int = SHINGLE) -> list[int]:
     return out
 
 
+def _pairs(words: list[str]) -> list[tuple[str, str]]:
+    return list(zip(words, words[1:], strict=False))
+
+
+def _places(words: list[str], other: list[str], at: dict[tuple[str, str], list[int]]) -> list[int]:
+    """Where other has SIMILARITY of the words in order, numbers all, in a stretch that is no longer than as much more; one start for each place.
+
+    at has the places of other's word pairs. Common subsequences are counted with a bit for each word.
+    """
+    n = len(words)
+    need, width = -(-n * SIMILARITY // 100), n * 100 // SIMILARITY
+    starts = {s for i, pair in enumerate(_pairs(words)) for j in at.get(pair, ()) for s in range(max(0, j - i - width + n), min(len(other), j - i + n - need + 1))}
+    bits: dict[str, int] = {}
+    for i, w in enumerate(words):
+        bits[w] = bits.get(w, 0) | 1 << i
+    numbers = {w for w in words if any(c.isdigit() for c in w)}
+    full, found = (1 << n) - 1, []
+    for s in sorted(starts):
+        if found and s < found[-1] + need:
+            continue
+        window = other[s : s + width]
+        if window[0] not in bits or not numbers.issubset(window):
+            continue
+        free = full
+        for w in window:
+            hit = free & bits.get(w, 0)
+            free = ((free + hit) | (free - hit)) & full
+        if n - free.bit_count() >= need:
+            found.append(s)
+    return found
+
+
 def aligned_lines(lines: list[tuple[int, str]], ancestor: str) -> set[int]:
-    """Numbers of the lines of which at least SIMILARITY of the words lie in runs of RUN or more that also run, in order, through the ancestor's text."""
-    words, owner = [], []
+    """Numbers of the lines that repeat the ancestor's text, whose lines are parted by line feeds.
+
+    A line does if SIMILARITY of its words, with all its numbers, align in order with one place of the
+    text; a line of fewer than SHINGLE words must be one whole line of it. What the text has in several
+    places is a stock phrase, and so may be a line inside a sentence that begins or ends in a new line:
+    these count only if SIMILARITY of their words lie in common runs of RUN or more.
+    """
+    other = ancestor.split()
+    whole: dict[str, int] = {}
+    for x in ancestor.split("\n"):
+        whole[x] = whole.get(x, 0) + 1
+    at: dict[tuple[str, str], list[int]] = {}
+    for j, pair in enumerate(_pairs(other)):
+        at.setdefault(pair, []).append(j)
+    texts = dict(lines)
+    sure: set[int] = set()
+    likely: set[int] = set()
+    long: list[tuple[int, list[str]]] = []
     for number, line in lines:
-        found = words_of(line)
-        words += found
-        owner += [number] * len(found)
-    total: dict[int, int] = {}
+        words = words_of(line)
+        if len(words) < SHINGLE:
+            if whole.get(" ".join(words)) == 1:
+                likely.add(number)
+        elif any(pair in at for pair in _pairs(words)):
+            long.append((number, words))
+            if len(_places(words, other, at)) == 1:
+                likely.add(number)
+    if any(len(words) >= RUN for _, words in long):
+        sure = _in_long_runs(long, other)
+    flat = f" {' '.join(other)} "
+    edited = {number for number, words in long if f" {' '.join(words)} " not in flat}
+    while True:
+        old = likely | sure
+        kept = {i for i in likely if i in sure or not ((i - 1 not in old and _open(texts.get(i - 1), texts[i])) or (i + 1 not in old and _open(texts[i], texts.get(i + 1), i not in edited)))}
+        if kept == likely:
+            return old
+        likely = kept
+
+
+def _open(line: str | None, following: str | None, capital_starts: bool = False) -> bool:
+    """Whether a sentence of a line seems to run on into the one that follows, if both are there."""
+    if line is None or following is None or _TERMINAL.search(line):
+        return False
+    return not (capital_starts and next((c for c in following if c.isalnum()), "").isupper())
+
+
+def _in_long_runs(lines: list[tuple[int, list[str]]], other: list[str]) -> set[int]:
+    """Numbers of the lines of which SIMILARITY of the words lie in runs of RUN or more that also run, in order, through other."""
+    words = [w for _, found in lines for w in found]
+    owner = [number for number, found in lines for _ in found]
     hit: dict[int, int] = {}
-    for number in owner:
-        total[number] = total.get(number, 0) + 1
-    matcher = difflib.SequenceMatcher(None, words, ancestor.split(" "), autojunk=False)
-    for a, _, size in matcher.get_matching_blocks():
+    for a, _, size in difflib.SequenceMatcher(None, words, other, autojunk=False).get_matching_blocks():
         if size >= RUN:
             for number in owner[a : a + size]:
                 hit[number] = hit.get(number, 0) + 1
-    return {n for n, h in hit.items() if h >= SIMILARITY * total[n]}
+    return {number for number, found in lines if hit.get(number, 0) * 100 >= SIMILARITY * len(found)}
 
 
 def structure(train: DataFrame) -> DataFrame:
@@ -425,7 +492,7 @@ def structure(train: DataFrame) -> DataFrame:
                 texts = batch.column(1).to_pylist()
                 found = [analyse(t) for t in texts]
                 left = [
-                    [{"line_no": i, "line": x} for i, x in enumerate(lines_of(t), 1) if i not in m.inherited and len(words_of(x)) >= SHINGLE] if m.keys else []
+                    [{"line_no": i, "line": x} for i, x in _left(lines_of(t), m)] if m.keys and t else []
                     for t, m in zip(texts, found, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -443,7 +510,7 @@ def structure(train: DataFrame) -> DataFrame:
 
 
 def _hashed(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """One row per distinct rolling-hash shingle of a text column, with the columns keep."""
+    """One row per distinct rolling-hash of two words of a text column, and of each word that is a line by itself, with the columns keep."""
     from pyspark.sql import types as T
 
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("shingle", T.LongType())])
@@ -453,7 +520,11 @@ def _hashed(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            hashes = [sorted(set(rolling_hashes(words_of(t or "")))) for t in batch.column(len(keep)).to_pylist()]
+            hashes = []
+            for t in batch.column(len(keep)).to_pylist():
+                words = words_of(t or "")
+                alone = [x for line in lines_of(t or "") if len(x := words_of(line)) == 1]
+                hashes.append(sorted({*rolling_hashes(words, 2), *(h for x in alone for h in rolling_hashes(x, 1))}))
             at = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]))
             flat = pa.array([h for x in hashes for h in x], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(len(keep))], flat], names=[*keep, "shingle"])
@@ -465,9 +536,9 @@ def inherited_in_threads(messages: DataFrame) -> DataFrame:
     """(row_id, line_no) of unmarked lines that repeat what the message answers, as members of its thread quote it.
 
     The text of an ancestor is known by what messages with the same reference quote of it. Its
-    distinct spans are indexed by rolling-hash shingles per thread key, with one span for each
-    shingle, so a much-quoted text is one entry and no thread is ever gathered in one task. Lines
-    that hit a span are then aligned with it word by word. References that one message alone has
+    distinct spans are indexed per thread key by rolling hashes of two words, of which lines with
+    edited words and short ones have some left; a much-quoted text is one entry, and no thread is
+    gathered in one task. Rows that hit a span are then aligned with it line by line. References that one message alone has
     are left out: what it quotes itself was compared with its own lines before.
     """
     keyed = messages.where(F.size("keys") > 0)
@@ -475,7 +546,7 @@ def inherited_in_threads(messages: DataFrame) -> DataFrame:
     shared = named.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     spans = keyed.select(F.explode("keys").alias("key"), "quoted").join(shared, "key", "left_semi").select("key", F.explode("quoted").alias("span")).distinct()
     spans = spans.withColumn("span_id", F.xxhash64("key", "span"))
-    index = _hashed(spans, ["key", "span_id"], "span").groupBy("key", "shingle").agg(F.min("span_id").alias("span_id"))
+    index = _hashed(spans, ["key", "span_id"], "span")
     lines = keyed.where(F.size("left") > 0).select("row_id", F.explode("keys").alias("key"), F.col("left").alias("_l")).join(shared, "key", "left_semi")
     lines = lines.select("row_id", "key", F.explode("_l").alias("_l")).select("row_id", "key", "_l.line_no", "_l.line")
     probe = _hashed(lines, ["row_id", "key"], "line").distinct()
