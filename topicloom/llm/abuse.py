@@ -188,40 +188,138 @@ VOTERS: list[tuple[str, int, float, list[str]]] = [
 ]
 _COMPILED = [[re.compile(p) for p in patterns] for *_, patterns in VOTERS]
 
-#: Words of which a sentence must hold one before a voter's patterns are tried.
-CUES: dict[str, set[str]] = {
-    "insult_you": {*INSULTS, *SLURRING, *"piece bag sack stupid dumb pathetic worthless useless garbage trash braindead retarded filthy lying damn fucking".split()},
-    "insult_named": {*INSULTS, "village"},
-    "rude_order": set("kiss hell shut lost go fuck screw damn yours piss drop asked absolute cry crawl stfu".split()),
-    "threat": {*THREATS, *"next watch coming live sleep touch break".split()},
-    "veiled_threat": set("burns burn dies die explodes fire bullet box coffin bag found throat regret pay".split()),
-    "harm_wish": set("hang kill drown shoot off burn traffic choke die rot suffer hope miss better birth mother favour favor".split()),
-    "belittling": set("drop dropped born face like smarter managed toddler monkey child five brains mother pity wants likes everybody lol nobody".split()),
-    "group_vermin": set("vermin subhuman parasites cockroaches animals savages human plague cancer scum breed driven exterminated wiped gassed deported sterilized shot hanged burned sterilize sterilise burn deserves kick filthy legs keep".split()),
-    "group_contempt": set("typical once never cleaner rather home ruining destroying killing scrubbing cooking cleaning breeding good them".split()),
-    "sexist": set("women nature girl men slap spanking beating kitchen".split()),
-    "explicit_words": set("pussy blowjob handjob porn porno slut sluts milf camgirl cumshot xxx cock dick tits boobs ass nipples clit fucked suck sucked sucks sucking came camera".split()),
-    "explicit_acts": set("myself knees thighs legs lick naked nude pic pics cock dick tits boobs pussy nudes".split()),
-    "solicitation": set("nudes nude horny sex hot naked signup questions hardcore porn dressed".split()),
-    "german": set("du fresse maul klappe ungeziefer abschaum untermenschen ratten gehören geile nackte nackt dich".split()),
-    "romance": set("tu sale espèce ferme vais vermine chasse tue vire salopes salope soir eres matar voy cállate pedazo son hay chicas calientes".split()),
-    "reported": set("word words term terms expression expressions phrase phrases calling lead leads removed deleted hid reported apologised apologized apologises apologizes hate historian historians called court jury judge police prosecutor prosecutors witness witnesses had named chorus play wort mot palabra sperrliste liste lista".split()),
-    "quotation": set("wrote written said says shouted called read reads named titled word words threatened".split()) | {*INSULTS},
-    "stage_or_art": set("act scene comic assassin nude aktkurs nacktes estatua роман novel play film opera painting statue".split()),
-    "technical": set("kill hung slave dumb dummy screw dust shoot filter proceso processus".split()),
-    "medical": set("breast sexual sex suicide cáncer cancer naked hotline".split()) | {"brustkrebsvorsorge"},
-    "zoological": set("puppy puppies breeder crowed ass jars kept strips adult herd".split()),
-    "swearing_at_nobody": set("shit damn crap fuck hell mistake wrong".split()),
-    "praise_or_fans": set("sick hardcore killer".split()),
-    "neutral_group": set("language festival".split()),
-}
-#: Scripts in which a voter is tried whatever the words.
-SCRIPTS = {"slavic": "[Ѐ-ӿ]", "semitic_indic": "[؀-ۿऀ-ॿ]", "east_asian": "[฀-๿぀-ヿ㐀-鿿]", "reported": "[Ѐ-ӿ぀-ヿ㐀-鿿]", "technical": "[Ѐ-ӿ぀-ヿ㐀-鿿]", "zoological": "[぀-ヿ㐀-鿿]", "quotation": "[«「『]", "stage_or_art": "[Ѐ-ӿ]"}
-_CUED: dict[str, int] = {}
-for _bit, (_name, *_) in enumerate(VOTERS):
-    for _w in CUES.get(_name, ()):
-        _CUED[_w] = _CUED.get(_w, 0) | 1 << _bit
-_SCRIPTED = [(re.compile(SCRIPTS[v[0]]).search, 1 << i) for i, v in enumerate(VOTERS) if v[0] in SCRIPTS]
+_RUNS = re.compile(r"[^\W_]+").findall
+#: In the strings of a pattern: a place where no word goes on. More strings than MOST_FORMS are not written out.
+_EDGE, MOST_FORMS = "\0", 5_000
+
+
+def _sign(c: str) -> bool:
+    return c == _EDGE or not (c.isalnum() or c == "_")
+
+
+def _forms(items) -> set[str] | None:
+    """Every string that a parsed pattern can match, with _EDGE where words end, or None if there are too many. What looks around is left out, white space is one blank."""
+    out = {""}
+    for op, av in items:
+        op = str(op)
+        if op == "LITERAL":
+            one = {chr(av)}
+        elif op == "AT":
+            one = {""} if str(av) == "AT_NON_BOUNDARY" else {_EDGE}
+        elif op in ("ASSERT", "ASSERT_NOT"):
+            one = {""}
+        elif op == "IN" and all(str(k) == "LITERAL" for k, _ in av):
+            one = {chr(c) for _, c in av}
+        elif op == "IN" and all(str(k) == "CATEGORY" and str(c) in ("CATEGORY_SPACE", "CATEGORY_NOT_WORD") for k, c in av):
+            one = {" "}
+        elif op == "SUBPATTERN":
+            one = _forms(av[3])
+        elif op == "BRANCH":
+            each = [_forms(x) for x in av[1]]
+            one = None if None in each else set().union(*each)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT") and av[1] <= 3:
+            part = _forms(av[2])
+            power, one = {""}, None if part is None else set()
+            for k in range(av[1] + 1 if part is not None else 0):
+                one |= power if k >= av[0] else set()
+                power = {x + y for x in power for y in part} if len(power) * len(part) <= MOST_FORMS else set()
+                if not power and k < av[1]:
+                    one = None
+                    break
+        else:
+            one = None
+        if one is None or len(out) * len(one) > MOST_FORMS:
+            return None
+        out = {x + y for x in out for y in one}
+    return out
+
+
+def _ends(items) -> bool:
+    """Whether all that a parsed pattern matches surely ends with a sign or at the end of a word."""
+    if not items:
+        return False
+    op, av = items[-1]
+    op = str(op)
+    if op == "SUBPATTERN":
+        return _ends(av[3])
+    if op == "BRANCH":
+        return all(_ends(x) for x in av[1])
+    if op in ("MAX_REPEAT", "MIN_REPEAT"):
+        return av[0] > 0 and _ends(av[2])
+    forms = _forms(items[-1:])
+    return bool(forms) and all(x and _sign(x[-1]) for x in forms)
+
+
+def _cue(form: str) -> tuple[int, str] | None:
+    """(2, a whole word), (1, a part of a word) or (0, a sign) that is in every text with the form; None for blanks."""
+    runs = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\W_]+", form)]
+    whole = [w for a, b, w in runs if a and b < len(form)]
+    if whole or runs:
+        return (2, max(whole, key=len)) if whole else (1, max((w for *_, w in runs), key=len))
+    signs = form.replace(_EDGE, "").strip()
+    return (0, signs[0]) if signs else None
+
+
+def _cue_sets(items) -> list[set[tuple[int, str]]]:
+    """Sets of cues, of each of which every text that a parsed pattern matches has one."""
+    sets, at, edge = [], 0, ""
+    items = list(items)
+    while at < len(items):
+        op, av = items[at]
+        op = str(op)
+        end, forms = at, {edge}
+        while end < len(items) and (more := _forms(items[at : end + 1])) is not None and len(more) <= MOST_FORMS:
+            end, forms = end + 1, {edge + x for x in more}
+        if end > at:
+            cues = {_cue(x) for x in forms}
+            if None not in cues:
+                sets.append(cues)
+            edge = _EDGE if all(x and _sign(x[-1]) for x in forms) else ""
+            at = end
+            continue
+        if op == "SUBPATTERN":
+            sets += _cue_sets(av[3])
+        elif op == "BRANCH":
+            each = [_best(_cue_sets(x)) for x in av[1]]
+            if None not in each:
+                sets.append(set().union(*each))
+        elif op in ("MAX_REPEAT", "MIN_REPEAT") and av[0]:
+            sets += _cue_sets(av[2])
+        optional = op in ("MAX_REPEAT", "MIN_REPEAT") and not av[0]
+        edge = _EDGE if _ends([(items[at][0], (1, *av[1:]))] if optional else items[at : at + 1]) and (edge or not optional) else ""
+        at += 1
+    return sets
+
+
+def _best(sets: list[set[tuple[int, str]]]) -> set[tuple[int, str]] | None:
+    """The set whose most frequent cue should be rarest: whole words before parts, long ones before short ones."""
+    return max(sets, key=lambda s: (min(kind + min(len(x), 6) for kind, x in s), -len(s)), default=None)
+
+
+#: Cues of the patterns, by kind: a sentence must hold one of a pattern's cues, or the pattern need not be tried. A bit for each pattern; those without cues are always tried.
+_CUED: tuple[dict[str, int], dict[str, int], dict[str, int]] = ({}, {}, {})
+_ALWAYS = 0
+_PATTERNS = [(p, 1 << i) for i, patterns in enumerate(_COMPILED) for p in patterns]
+for _bit, (_p, _) in enumerate(_PATTERNS):
+    _cues = _best(_cue_sets(re._parser.parse(_p.pattern)))
+    if _cues is None:
+        _ALWAYS |= 1 << _bit
+    for _kind, _w in _cues or ():
+        _CUED[_kind][_w] = _CUED[_kind].get(_w, 0) | 1 << _bit
+_LONGEST = max(map(len, _CUED[1]))
+_CUE_SIGNS = re.compile("[" + "".join(map(re.escape, _CUED[0])) + "]").findall
+
+
+@lru_cache(maxsize=200_000)
+def _cued_by(word: str) -> int:
+    """Bits of the patterns of which a word is or holds a cue."""
+    tried = _CUED[2].get(word, 0)
+    for a in range(len(word)):
+        for b in range(a + 1, min(len(word), a + _LONGEST) + 1):
+            tried |= _CUED[1].get(word[a:b], 0)
+    return tried
+
+
 SIGNS = np.array([v[1] for v in VOTERS], dtype=np.int64)
 GUESSES = np.array([v[2] for v in VOTERS])
 
@@ -234,24 +332,20 @@ THRESHOLD = 0.5
 
 def votes(text: str) -> int:
     """Bit mask of the voters that speak on a sentence that unmasked() made plain."""
-    tried = mask = 0
+    tried, mask = _ALWAYS, 0
     for word in _RUNS(text):
-        tried |= _CUED.get(word, 0)
-    if not text.isascii():
-        for found, bit in _SCRIPTED:
-            if found(text):
-                tried |= bit
+        tried |= _cued_by(word)
+    for sign in _CUE_SIGNS(text):
+        tried |= _CUED[0][sign]
     while tried:
-        bit = tried & -tried
-        tried ^= bit
-        if any(p.search(text) for p in _COMPILED[bit.bit_length() - 1]):
+        one = tried & -tried
+        tried ^= one
+        pattern, bit = _PATTERNS[one.bit_length() - 1]
+        if not mask & bit and pattern.search(text):
             mask |= bit
     return mask
 
 
-_RUNS = re.compile(r"[^\W_]+").findall
-
-
 def features(text: str, mask: int, hidden: int) -> list[int]:
     """Numbers of a plain sentence's features: its votes, whether words were disguised, then hashed words and pairs of words; numbers are read as one."""
     words = [b"0" if w[0].isdigit() else w.encode() for w in _RUNS(text)]
