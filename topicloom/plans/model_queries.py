@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from topicloom.functions.numeric import r6 as R
 from topicloom.models import clustering, gibbs, words
 from topicloom.operators import corpus, topics
-from topicloom.plans.base import SENTS, SENT_TOPIC, Base, r6
+from topicloom.plans.base import SENTS, SENT_TOPIC, TOPS, Base, r6
 from topicloom.session import cut, shared_dir
 from topicloom.sources import writers
 from topicloom.streaming import cooccurrence
@@ -91,13 +91,18 @@ def _limited_classify(b: Base):
     return out
 
 
-def _stream(b: Base):
-    """The stream reads the documents in several files; batch and stream must agree."""
+def _stream(b: Base, target: list[str] | None = None):
+    """The stream reads the documents in several files; batch and stream must agree. It counts TARGET_WORDS or the words given."""
     base = f"{shared_dir(b.spark).rstrip('/')}/topicloom/stream-{uuid.uuid4().hex[:10]}"
     docs = b.docs("document_tokens").select("doc_id", "document_tokens")
     docs.repartition(4, "doc_id").write.parquet(f"{base}/in")
     name = f"pairs_{uuid.uuid4().hex[:10]}"
-    return cooccurrence.stream_pairs(b.spark, f"{base}/in", docs.schema, TARGET_WORDS, name, f"{base}/checkpoint")
+    return cooccurrence.stream_pairs(b.spark, f"{base}/in", docs.schema, TARGET_WORDS if target is None else target, name, f"{base}/checkpoint")
+
+
+def _stream_topics(b: Base):
+    """The stream over the top words of all topics of all runs; their number follows the topics, not the documents."""
+    return _stream(b, sorted(r["term"] for r in b.top_words().select("term").distinct().collect()))
 
 
 _LIST = ", ".join(f"'{w}'" for w in TARGET_WORDS)
@@ -105,6 +110,9 @@ STREAM_SQL = f"""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(l
  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY prepared_at DESC NULLS LAST) AS rn FROM preprocessed_document) WHERE rn = 1), e AS (SELECT doc_id, unnest(ws) AS w FROM d)
 SELECT w AS w1, '' AS w2, count(*) AS c FROM e GROUP BY w UNION ALL SELECT a.w, b.w, count(*) FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.w < b.w GROUP BY ALL"""
 
+STREAM_TOPICS_SQL = f"""WITH {TOPS}, e AS (SELECT DISTINCT doc_id, term AS w FROM toks WHERE term IN (SELECT term FROM tops))
+SELECT w AS w1, '' AS w2, count(*) AS c FROM e GROUP BY w UNION ALL SELECT a.w, b.w, count(*) FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.w < b.w GROUP BY ALL"""
+
 
 def _usif(b: Base):
     return words.usif_weights(cut(corpus.sentence_tokens(b.sentences()), "sentence-tokens")).select("term", "cnt", R("probability").alias("probability"), R("weight").alias("weight"))
@@ -191,6 +199,7 @@ QUERIES = {
     "logistic_classification": (_classify, None),
     "limited_classification": (_limited_classify, None),
     "streaming_cooccurrence": (_stream, lambda: STREAM_SQL),
+    "streaming_topic_cooccurrence": (_stream_topics, lambda: STREAM_TOPICS_SQL),
     "usif_word_weights": (_usif, lambda: USIF_SQL),
     "usif_sentence_vectors": (_usif_sentences, None),
     "jsonl_round_trip": (
