@@ -78,15 +78,19 @@ def sentence_lda(sentence_words: DataFrame, n_topics: int, iterations: int = 5,
     return assigned, counts
 
 
-def _count_vectors(docs: DataFrame, words: str, vocab: int):
+def _count_vectors(docs: DataFrame, words: str, most: int):
+    """Counts of every term of the documents, rare ones too; an error if there are more than most."""
     from pyspark.ml.feature import CountVectorizer
 
-    model = CountVectorizer(inputCol=words, outputCol="features", vocabSize=vocab, minDF=2.0).fit(docs)
+    size = docs.select(F.explode(words).alias("term")).distinct().count()
+    if size > most:
+        raise ValueError(f"{size} terms are more than the {most} that the model is made for; restrict the documents to a vocabulary")
+    model = CountVectorizer(inputCol=words, outputCol="features", vocabSize=max(size, 1), minDF=1.0).fit(docs)
     return model, model.transform(docs)
 
 
-def online_lda(docs: DataFrame, n_topics: int, words: str = "words", rounds: int = 10, seed: int = 0, vocab: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, topic_id, theta), (topic_id, term, weight)) of online variational LDA."""
+def online_lda(docs: DataFrame, n_topics: int, words: str = "words", rounds: int = 10, seed: int = 0, vocab: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, topic_id, theta), (topic_id, term, weight)) of online variational LDA over all terms; an error if there are more than vocab."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.functions import vector_to_array
 
