@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
 import unicodedata
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,8 @@ MARKED_NAMES = re.compile(r"(?:\b(?:Zap|Yahoo|Jeopardy|Joomla|Yum|Chips Ahoy|Gue
 ENDINGS = set("py txt out exe com org net edu gov io example html htm pdf doc csv json xml js java cpp zip gz tar png jpg sh cfg ini log sql md de fr es jp ru cn uk eu info biz tv co".split())
 STARTERS = set("the a an in on at it he she we they you i this that these those there but and so if when while after before for no not our my his her its their what who how why where which some only both".split())
 
-TERMINATORS = ".!?。！？｡．।॥؟۔‼⁇⁈⁉።፧፨။၊᠃᠉։"
+#: Every sign that Unicode lets end a sentence (Sentence_Break STerm and ATerm).
+TERMINATORS = "".join(regex.findall(r"[\p{SB=STerm}\p{SB=ATerm}]", "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))))
 _PAUSE = "…‥"
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "【": "】", "〈": "〉", "《": "》", "［": "］", "｢": "｣", "〔": "〕"}
 _CLOSE = {v: k for k, v in _OPEN.items()}
@@ -220,7 +223,7 @@ class _Block:
             return 0
         if any(x in _PAUSE for x in run) or (run.strip(".") == "" and len(run) > 1):
             return stop if spaced and not lower else 0
-        if run != ".":
+        if run not in (".", "․", "﹒"):
             return self._strong(begin, s, stop, nxt, spaced, lower, last_closed)
         return self._dot(begin, s, stop, c, word, spaced, lower)
 
