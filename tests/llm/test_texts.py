@@ -111,10 +111,9 @@ HARMLESS = [
 
 
 def test_voters_agree_with_the_cases():
-    masks = [abuse.votes(abuse.unmasked(abuse.plain(s))[0]) for s in ABUSIVE + HARMLESS]
+    masks = [abuse.votes(*abuse.unmasked(abuse.plain(s))) for s in ABUSIVE + HARMLESS]
     model = abuse.LabelModel(*map(np.array, zip(*{m: masks.count(m) for m in masks}.items(), strict=True)))
-    spoke = ((np.array(masks)[:, None] >> np.arange(len(abuse.VOTERS))) & 1).astype(float)
-    labels = model.posterior(spoke) >= 0.5
+    labels = model.posterior(abuse.spoken(np.array(masks))) >= 0.5
     assert labels.tolist() == [True] * len(ABUSIVE) + [False] * len(HARMLESS)
 
 
@@ -134,7 +133,7 @@ def test_label_model_finds_the_bad_voter():
         masks.append(int(m))
     values, counts = np.unique(masks, return_counts=True)
     model = abuse.LabelModel(values, counts)
-    assert model.accuracy[plus[3]] < min(model.accuracy[plus[:3]])
+    assert model.weights[plus[3]] < min(model.weights[plus[:3]])
 
 
 def test_scores_of_documents(spark):
