@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 import re
 from dataclasses import dataclass, field
 
@@ -13,7 +14,7 @@ from topicloom.session import cut, spread
 
 #: Words per shingle; lines of fewer words must repeat a whole quoted line. The part of a line's words, in 1 / 100, that must align in order.
 SHINGLE, SIMILARITY = 5, 80
-#: Runs of so many words are no chance phrases, wherever they stand.
+#: A phrase that a quotation holds in several places is its author's, not anybody's, from so many words on.
 RUN = 8
 
 _MARK = re.compile(r"^\s*(?:(?:[A-Za-z]{1,3}>|[>|＞»]|:(?=\s|:))\s?)+")
@@ -25,14 +26,14 @@ _PS = re.compile(r"^\s*(?:P\.?\s?P?\.?\s?S\b\.?|N\.?B\.|追伸|P\.?D\.)\s*[:.：
 _INTRO = [
     re.compile(p, re.I)
     for p in (
-        r"^.{0,200}\b(?:wrote|writes|said|asked|says)\s*(?:on\b.{0,60})?:$",
-        r"^(?:quoting|quote from|citing|reply to|responding to)\b.{1,160}:$",
-        r"^.{0,200}\bschrieb(?:en)?\b.{0,120}:$",
-        r"^.{0,200}\ba\s+(?:écrit|ecrit)\s*:$",
-        r"^.{0,200}\b(?:escribió|escribio|ha scritto|schreef|escreveu)\s*:$",
-        r"^.{0,120}(?:さんは?(?:書|言)きました|さんは?言いました|さんの?(?:発言|メール)|wrote|は書きました)\s*[:：]$",
-        r"^.{0,60}(?:写道|寫道)\s*[:：]$",
-        r"^(?=.*\d{4}).{4,120}<[^<>\s]+@[^<>\s]+>\s*[:：]$",
+        r"^.*\b(?:wrote|writes|said|asked|says)\s*(?:on\b[^:]*)?:$",
+        r"^(?:quoting|quote from|citing|reply to|responding to)\b.+:$",
+        r"^.*\bschrieb(?:en)?\b.*:$",
+        r"^.*\ba\s+(?:écrit|ecrit)\s*:$",
+        r"^.*\b(?:escribió|escribio|ha scritto|schreef|escreveu)\s*:$",
+        r"^.*(?:さんは?(?:書|言)きました|さんは?言いました|さんの?(?:発言|メール)|wrote|は書きました)\s*[:：]$",
+        r"^.*(?:写道|寫道)\s*[:：]$",
+        r"^(?=.*\d{4}).{4,}<[^<>\s]+@[^<>\s]+>\s*[:：]$",
     )
 ]
 #: First lines of introductions that run over two.
@@ -61,8 +62,8 @@ _CLOSING = re.compile(
     re.I,
 )
 _DEVICE = re.compile(
-    r"^\s*(?:sent (?:from|via|using) my\b.{0,60}|sent from (?:mail|outlook|yahoo|samsung)\b.{0,60}|get \w+ for \w+|von meinem .{1,40} gesendet|gesendet von mein.{1,40}"
-    r"|envoyé de(?:puis)? mon .{1,40}|enviado desde mi .{1,40}|.{0,20}(?:スマホ|携帯|iPhone|スマートフォン)から送信.{0,10})\s*$",
+    r"^\s*(?:sent (?:from|via|using) my\b[^.!?]*|sent from (?:mail|outlook|yahoo|samsung)\b[^.!?]*|get \w+ for \w+|von meinem [^.!?]+ gesendet|gesendet von mein[^.!?]+"
+    r"|envoyé de(?:puis)? mon [^.!?]+|enviado desde mi [^.!?]+|[^。！？]*(?:スマホ|携帯|iPhone|スマートフォン)から送信[^。！？]*)\.?\s*$",
     re.I,
 )
 _NOTICE_WORDS = re.compile(
@@ -97,8 +98,8 @@ _SIG_LINE = [
         r"^\s*(?:Tel|Phone|Fax|Mobile|Tél|Mob|Telefon|電話|Cell)\.?\s*[:.]?\s*[+(\d][\d ()/+.-]{4,}\s*$",
         r"^\s*(?:https?://|www\.)\S+\s*$",
         rf"^\s*{_CAP}(?:\s+{_CAP}){{0,3}}\s*(?:,|\||/|·|—|-)\s*{_CAP}(?:\s+{_CAP}){{0,4}}\s*$",
-        rf"^\s*(?:Dept|Department|Dipl|Abt|Faculty|School|Institute)\.?\s+(?:of\s+|für\s+)?{_CAP}.{{0,60}}$",
-        r'^\s*["“].{3,80}["”]\s*$',
+        rf"^\s*(?:Dept|Department|Dipl|Abt|Faculty|School|Institute)\.?\s+(?:of\s+|für\s+)?{_CAP}.*$",
+        r'^\s*["“].{3,}["”]\s*$',
     )
 ]
 _ORG = re.compile(rf"^\s*{_CAP}(?:\s+(?:of|for|and|&|{_CAP})){{0,5}}\s*$")
@@ -107,11 +108,13 @@ _TERMINAL = re.compile(r"[.!?。！？．｡…:：][\"'”’)»」』]*\s*$")
 
 @dataclass
 class Message:
-    """What one text shows by itself: lines not new, by number from 1, the keys of its thread, and the texts it quotes."""
+    """What one text shows by itself: lines not new, by number from 1, the keys of the messages it answers and of itself, the texts it quotes, and its own words."""
 
     inherited: set[int] = field(default_factory=set)
     keys: list[str] = field(default_factory=list)
+    own_keys: list[str] = field(default_factory=list)
     quoted: list[str] = field(default_factory=list)
+    body: str = ""
 
 
 def lines_of(text: str) -> list[str]:
@@ -126,9 +129,13 @@ def _mark(line: str) -> str:
     return m.group() if m else ""
 
 
+#: A sentence ends inside a line: introductions are one sentence, however long.
+_SENTENCE_ENDS = re.compile(r"(?<!rof)(?<=[^\W\d_A-Z]{3})[.!?][\"'”’)]*\s+[^\W\d_]|[。！？]\S")
+
+
 def _is_intro(lines: list[str], i: int) -> bool:
     line = lines[i].strip()
-    return len(line) <= 220 and any(p.match(line) for p in _INTRO)
+    return line[-1:] in (":", "：") and any(p.match(line) for p in _INTRO) and not _SENTENCE_ENDS.search(line)
 
 
 def _intro_start(lines: list[str], i: int) -> int:
@@ -187,7 +194,7 @@ def _quoted_lines(lines: list[str]) -> tuple[set[int], set[int]]:
         text = lines[i].strip()
         if open_ and (text[:1].islower() or resumed and len(text.split()) <= 4 or not text[:1].isalpha() and resumed):
             quoted.add(i)
-        elif resumed and open_ and len(text) < 25:
+        elif resumed and open_ and len(text.split()) <= 4:
             quoted.add(i)
     # introductions, and quotations without marks behind them
     for i in range(n):
@@ -225,7 +232,9 @@ def _quoted_lines(lines: list[str]) -> tuple[set[int], set[int]]:
     for i in range(n):
         if marks[i]:
             continue
-        head = [k for k in range(i + 1, min(n, i + 8)) if lines[k].strip()][:3]
+        if not (_SEPARATOR.match(lines[i]) or _RULE.match(lines[i]) or _HEADER.match(lines[i])):
+            continue
+        head = list(itertools.islice((k for k in range(i + 1, n) if lines[k].strip()), 3))  # a header block is known by its first three lines
         headers = sum(bool(_HEADER.match(lines[k])) for k in head)
         if (_SEPARATOR.match(lines[i]) and headers >= 1) or (_RULE.match(lines[i]) and headers >= 2):
             quoted.update(k for k in range(i, n) if lines[k].strip())
@@ -272,12 +281,10 @@ def _furniture(lines: list[str], gone: set[int]) -> set[int]:
         # a delimiter or rule opens a signature or footer that takes the rest of the block
         mark = next((k for k, x in enumerate(texts) if _SIG_DELIMITER.match(x)), -1)
         if mark >= 0 and (mark == 0 or mark < len(texts) - 1):
-            rest = texts[mark + 1 :]
-            if len(rest) <= 8 and (not rest or all(len(x) <= 80 for x in rest)):
-                found.update(block[mark:])
-                signed, texts, block = True, texts[:mark], block[:mark]
-                if not block:
-                    continue
+            found.update(block[mark:])
+            signed, texts, block = True, texts[:mark], block[:mark]
+            if not block:
+                continue
         rule = next((k for k, x in enumerate(texts) if _RULE.match(x)), -1)
         if rule >= 0 and rule < len(texts) - 1 or rule == 0:
             rest = [x for x in texts[rule + 1 :] if not _RULE.match(x)]
@@ -287,7 +294,7 @@ def _furniture(lines: list[str], gone: set[int]) -> set[int]:
                 if not block:
                     continue
         close = next((k for k, x in enumerate(texts) if _CLOSING.match(x)), -1)
-        if close >= 0 and len(texts) - close <= 6 and all(_looks_signed(x) or _DEVICE.match(x) for x in texts[close + 1 :]) and (close or bodies or gone or len(texts) > 1):
+        if close >= 0 and all(_looks_signed(x) or _DEVICE.match(x) for x in texts[close + 1 :]) and (close or bodies or gone or len(texts) > 1):
             found.update(block[close:])
             signed, texts, block = True, texts[:close], block[:close]
             if not block:
@@ -295,11 +302,11 @@ def _furniture(lines: list[str], gone: set[int]) -> set[int]:
         if all(_DEVICE.match(x) for x in texts) or all(_LIST.search(x.strip()) or _RULE.match(x) for x in texts) or _is_notice(texts):
             found.update(block)
             continue
-        if any(_LIST.search(x.strip()) for x in texts) and len(texts) <= 4 and all(_LIST.search(x.strip()) or _RULE.match(x) or not _TERMINAL.search(x) for x in texts):
+        if any(_LIST.search(x.strip()) for x in texts) and all(_LIST.search(x.strip()) or _RULE.match(x) or not _TERMINAL.search(x) for x in texts):
             found.update(block)
             continue
         # a block of a name and its particulars, without a delimiter
-        if (bodies or gone) and len(texts) <= 6 and all(_looks_signed(x) for x in texts) and (len(texts) > 1 or signed or _NAME.match(texts[0]) and len(texts[0].split()) <= 3):
+        if (bodies or gone) and all(_looks_signed(x) for x in texts) and (len(texts) > 1 or signed or _NAME.match(texts[0]) and len(texts[0].split()) <= 3):
             found.update(block)
             signed = True
             continue
@@ -311,39 +318,72 @@ def _furniture(lines: list[str], gone: set[int]) -> set[int]:
     return found
 
 
-_CITED = re.compile(r"(?:in article|in message|references?:|in-reply-to:|message-id:)\s*((?:<[^<>\s]+>[\s,]*)+)", re.I)
+_CITED = re.compile(r"(?:in article|in message|references?:|in-reply-to:)\s*((?:<[^<>\s]+>[\s,]*)+)", re.I)
+_OWN_ID = re.compile(r"^message-id:\s*(<[^<>\s]+>)", re.I | re.M)
 _ATTRIBUTED = re.compile(r"^(?P<who>.*)\b(?:wrote|writes|said|schrieb|a écrit|escribió|さんは書きました)", re.I)
+_DAY = re.compile(r"\b(\d{1,2})\.? (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? (\d{4})\b|\b(\d{4})-(\d{2})-(\d{2})\b", re.I)
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+
+def _days(text: str) -> set[str]:
+    """The days that a text names, as yyyy-mm-dd."""
+    out = set()
+    for m in _DAY.finditer(text):
+        d, mon, y, *iso = m.groups()
+        out.add(f"{y}-{_MONTHS.index(mon.lower()) + 1:02d}-{int(d):02d}" if d else "-".join(iso))
+    return out
 
 
 def _thread_keys(lines: list[str], intro: set[int], quoted: set[int]) -> list[str]:
-    """Keys of the messages that a text answers: cited article ids, and attributions that name a person and a date."""
+    """Keys of the messages that a text answers: cited ids, attributions that name a person and a date, and "address|day" of these."""
     keys = {x.lower() for m in _CITED.finditer("\n".join(lines)) for x in re.findall(r"<[^<>\s]+>", m.group(1))}
     text = " ".join(lines[i].strip() for i in sorted(intro))
     if re.search(r"\d{4}", text) and (m := _ATTRIBUTED.match(text)):
         keys.add(re.sub(r"\W+", " ", m.group("who")).strip().lower())
-    head = [re.sub(r"\s+", " ", lines[i].strip().lower()) for i in sorted(quoted) if _HEADER.match(lines[i])][:5]
+    head = [re.sub(r"\s+", " ", lines[i].strip().lower()) for i in sorted(quoted) if _HEADER.match(lines[i])]
     if len(head) >= 2:
         keys.add("|".join(sorted(head)))
+    named = " ".join([text, *head])
+    keys |= {f"{a.lower()}|{day}" for a in re.findall(_MAIL, named) for day in _days(named)}
     return sorted(k for k in keys if k)
 
 
-def analyse(text: str | None) -> Message:
-    """The structure of one text; nothing for a null or blank one."""
+def _own_keys(lines: list[str], signed: set[int], day: str | None) -> list[str]:
+    """Keys under which answers may cite a message itself: its own id, and the addresses of its signature with the day it was posted and those beside it, since clocks differ."""
+    keys = {m.group(1).lower() for m in _OWN_ID.finditer("\n".join(lines))}
+    if day:
+        import datetime
+
+        near = [(datetime.date.fromisoformat(day) + datetime.timedelta(days=k)).isoformat() for k in (-1, 0, 1)]
+        keys |= {f"{a.lower()}|{d}" for i in signed for a in re.findall(_MAIL, lines[i]) for d in near}
+    return sorted(keys)
+
+
+def analyse(text: str | None, day: str | None = None, marks: bool = True) -> Message:
+    """The structure of one text, posted on a day if that is known; nothing for a null or blank one.
+
+    Without marks, quotation marks and what they imply are not read: the text's own lines are then
+    known by comparison alone, which is how that is tested.
+    """
     out = Message()
     if not text or not text.strip():
         return out
     lines = lines_of(text)
     quoted, intro = _quoted_lines(lines)
-    gone = quoted | intro
-    gone |= _furniture(lines, gone)
+    signed = _furniture(lines, quoted | intro)
+    gone = (quoted | intro if marks else intro) | signed
     out.inherited = {i + 1 for i in gone if lines[i].strip()}
-    out.keys = _thread_keys(lines, intro, quoted)
+    out.keys, out.own_keys = _thread_keys(lines, intro, quoted), _own_keys(lines, signed, day)
+    if not marks:
+        return out
     for a, b in _runs(sorted(quoted)):
         span = "\n".join(x for i in range(a, b) if (x := " ".join(words_of(lines[i][len(_mark(lines[i])) :]))))
         if span:
             out.quoted.append(span)
     for span in out.quoted:
         out.inherited |= aligned_lines(_left(lines, out), span)
+    if out.own_keys:
+        out.body = "\n".join(x for _, line in _left(lines, out) if (x := " ".join(words_of(line))))
     return out
 
 
@@ -424,8 +464,8 @@ def aligned_lines(lines: list[tuple[int, str]], ancestor: str) -> set[int]:
 
     A line does if SIMILARITY of its words, with all its numbers, align in order with one place of the
     text; a line of fewer than SHINGLE words must be one whole line of it. What the text has in several
-    places is a stock phrase, and so may be a line inside a sentence that begins or ends in a new line:
-    these count only if SIMILARITY of their words lie in common runs of RUN or more.
+    places may be a stock phrase: it counts only if SIMILARITY of its words lie in common runs of RUN or
+    more. A line inside a sentence that begins or ends in a new line is new, however well it aligns.
     """
     other = ancestor.split()
     whole: dict[str, int] = {}
@@ -435,7 +475,6 @@ def aligned_lines(lines: list[tuple[int, str]], ancestor: str) -> set[int]:
     for j, pair in enumerate(_pairs(other)):
         at.setdefault(pair, []).append(j)
     texts = dict(lines)
-    sure: set[int] = set()
     likely: set[int] = set()
     long: list[tuple[int, list[str]]] = []
     for number, line in lines:
@@ -448,14 +487,13 @@ def aligned_lines(lines: list[tuple[int, str]], ancestor: str) -> set[int]:
             if len(_places(words, other, at)) == 1:
                 likely.add(number)
     if any(len(words) >= RUN for _, words in long):
-        sure = _in_long_runs(long, other)
+        likely |= _in_long_runs(long, other)
     flat = f" {' '.join(other)} "
     edited = {number for number, words in long if f" {' '.join(words)} " not in flat}
     while True:
-        old = likely | sure
-        kept = {i for i in likely if i in sure or not ((i - 1 not in old and _open(texts.get(i - 1), texts[i])) or (i + 1 not in old and _open(texts[i], texts.get(i + 1), i not in edited)))}
+        kept = {i for i in likely if not ((i - 1 not in likely and _open(texts.get(i - 1), texts[i])) or (i + 1 not in likely and _open(texts[i], texts.get(i + 1), i not in edited)))}
         if kept == likely:
-            return old
+            return kept
         likely = kept
 
 
@@ -478,35 +516,39 @@ def _in_long_runs(lines: list[tuple[int, list[str]]], other: list[str]) -> set[i
     return {number for number, found in lines if hit.get(number, 0) * 100 >= SIMILARITY * len(found)}
 
 
-def structure(train: DataFrame) -> DataFrame:
-    """(row_id, inherited, keys, quoted, left) of every row: line numbers not new by structure, thread keys, quoted texts, and the remaining lines of rows that have keys."""
-    schema = "row_id LONG, inherited ARRAY<INT>, keys ARRAY<STRING>, quoted ARRAY<STRING>, left ARRAY<STRUCT<line_no: INT, line: STRING>>"
+def structure(train: DataFrame, marks: bool = True) -> DataFrame:
+    """(row_id, inherited, keys, own_keys, quoted, body, lines) of every row: line numbers not new by structure, keys of the messages answered and
+    of the message itself, quoted texts, its own words if it has a key, and all lines that have words of rows that answer something, without marks.
+    """
+    schema = "row_id LONG, inherited ARRAY<INT>, keys ARRAY<STRING>, own_keys ARRAY<STRING>, quoted ARRAY<STRING>, body STRING, lines ARRAY<STRUCT<line_no: INT, line: STRING>>"
+    day = F.date_format("posted_at", "yyyy-MM-dd") if "posted_at" in train.columns else F.lit(None).cast("string")
 
     def run(batches):
         import pyarrow as pa
 
-        left_type = pa.list_(pa.struct([("line_no", pa.int32()), ("line", pa.string())]))
+        line_type = pa.list_(pa.struct([("line_no", pa.int32()), ("line", pa.string())]))
+        names, of = pa.list_(pa.string()), [f.split(" ")[0] for f in schema.split(", ")[:6]]
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
                 texts = batch.column(1).to_pylist()
-                found = [analyse(t) for t in texts]
-                left = [
-                    [{"line_no": i, "line": x} for i, x in _left(lines_of(t), m)] if m.keys and t else []
+                found = [analyse(t, d, marks) for t, d in zip(texts, batch.column(2).to_pylist(), strict=True)]
+                lines = [
+                    [{"line_no": i, "line": x[len(_mark(x)) :]} for i, x in enumerate(lines_of(t), 1) if x.strip()] if m.keys and t else []
                     for t, m in zip(texts, found, strict=True)
                 ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([sorted(m.inherited) for m in found], pa.list_(pa.int32())),
-                        pa.array([m.keys for m in found], pa.list_(pa.string())),
-                        pa.array([m.quoted for m in found], pa.list_(pa.string())),
-                        pa.array(left, left_type),
-                    ],
-                    names=["row_id", "inherited", "keys", "quoted", "left"],
-                )
+                columns = [
+                    batch.column(0),
+                    pa.array([sorted(m.inherited) for m in found], pa.list_(pa.int32())),
+                    pa.array([m.keys for m in found], names),
+                    pa.array([m.own_keys for m in found], names),
+                    pa.array([m.quoted for m in found], names),
+                    pa.array([m.body for m in found], pa.string()),
+                    pa.array(lines, line_type),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[*of, "lines"])
 
-    return spread(train.select("row_id", "data").where(F.col("data").isNotNull())).mapInArrow(run, schema)
+    return spread(train.select("row_id", "data", day.alias("_day")).where(F.col("data").isNotNull())).mapInArrow(run, schema)
 
 
 def _hashed(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -532,47 +574,66 @@ def _hashed(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
     return rows.select(*keep, text).mapInArrow(run, schema)
 
 
-def inherited_in_threads(messages: DataFrame) -> DataFrame:
-    """(row_id, line_no) of unmarked lines that repeat what the message answers, as members of its thread quote it.
+def inherited_in_threads(messages: DataFrame, quoting: DataFrame | None = None) -> DataFrame:
+    """(row_id, line_no) of all lines that repeat what the message answers, marked or not, by comparison alone.
 
-    The text of an ancestor is known by what messages with the same reference quote of it. Its
-    distinct spans are indexed per thread key by rolling hashes of two words, of which lines with
-    edited words and short ones have some left; a much-quoted text is one entry, and no thread is
-    gathered in one task. Rows that hit a span are then aligned with it line by line. References that one message alone has
-    are left out: what it quotes itself was compared with its own lines before.
+    The messages that a text answers are those whose own keys it cites; the texts of messages that are
+    not in the table are known by what others with the same reference quote of them. So each message
+    is indexed under its own keys with its own words and all that it quotes, and its quotations under
+    the keys that it cites. The distinct spans are indexed per key by rolling hashes of two words, of
+    which lines with edited words and short ones have some left; a much-quoted text is one entry, and
+    no thread is gathered in one task. Rows that hit a span of another row are then aligned with it
+    line by line. The own words of rows that merely cite the same reference are not compared: two
+    answers to one message don't inherit from each other, and near copies of one answer are new in both.
+    quoting gives the index if it is to be made of other readings of the rows than messages.
     """
-    keyed = messages.where(F.size("keys") > 0)
-    named = keyed.select("row_id", F.explode("keys").alias("key"))
-    shared = named.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    spans = keyed.select(F.explode("keys").alias("key"), "quoted").join(shared, "key", "left_semi").select("key", F.explode("quoted").alias("span")).distinct()
-    spans = spans.withColumn("span_id", F.xxhash64("key", "span"))
-    index = _hashed(spans, ["key", "span_id"], "span")
-    lines = keyed.where(F.size("left") > 0).select("row_id", F.explode("keys").alias("key"), F.col("left").alias("_l")).join(shared, "key", "left_semi")
-    lines = lines.select("row_id", "key", F.explode("_l").alias("_l")).select("row_id", "key", "_l.line_no", "_l.line")
+    source = messages if quoting is None else quoting
+    quotes = source.where(F.size("keys") > 0).select("row_id", F.explode("keys").alias("key"), "quoted").select("row_id", "key", F.explode("quoted").alias("span"))
+    owned = source.where(F.size("own_keys") > 0).select("row_id", F.explode("own_keys").alias("key"), F.concat(F.array("body"), "quoted").alias("_s"))
+    owned = owned.select("row_id", "key", F.explode("_s").alias("span")).where("span <> ''")
+    # of equal spans one entry is left, with its owner only if no other row has it: a row is not compared with what it alone holds
+    spans = quotes.unionByName(owned).groupBy("key", "span").agg(F.min("row_id").alias("_a"), F.max("row_id").alias("_b"))
+    keyed = messages.where((F.size("keys") > 0) & (F.size("lines") > 0))
+    # keys that other rows cite too; the rest, most of all, never reach the index
+    citing = keyed.select("row_id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("row_id").alias("_c"), F.max("row_id").alias("_d"))
+    spans = spans.join(citing, "key").where("_a <> _b or _c <> _d or _a <> _c")
+    spans = spans.select("key", "span", F.when(F.col("_a") == F.col("_b"), F.col("_a")).alias("only"), F.xxhash64("key", "span").alias("span_id"))
+    spans = cut(spans, "spans")
+    index = _hashed(spans, ["key", "span_id", "only"], "span")
+    wanted = spans.select("key").distinct()
+    lines = keyed.select("row_id", F.explode("keys").alias("key"), F.col("lines").alias("_l")).join(wanted, "key", "left_semi")
+    lines = lines.select("row_id", "key", F.explode("_l").alias("_l")).select("row_id", "key", "_l.line")
     probe = _hashed(lines, ["row_id", "key"], "line").distinct()
-    hits = probe.join(index, ["key", "shingle"]).select("row_id", "span_id").distinct()
+    hits = probe.join(index, ["key", "shingle"]).where("only is null or only <> row_id").select("row_id", "span_id").distinct()
     texts = spans.select("span_id", "span").dropDuplicates(["span_id"])
-    pairs = hits.join(texts, "span_id").join(keyed.select("row_id", "left").dropDuplicates(["row_id"]), "row_id")
+    pairs = hits.join(texts, "span_id").join(keyed.select("row_id", "lines").dropDuplicates(["row_id"]), "row_id")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             rows, numbers = [], []
-            for row_id, span, left in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                for number in sorted(aligned_lines([(x["line_no"], x["line"]) for x in left], span)):
+            for row_id, span, lines in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                for number in sorted(aligned_lines([(x["line_no"], x["line"]) for x in lines], span)):
                     rows.append(row_id)
                     numbers.append(number)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(numbers, pa.int32())], names=["row_id", "line_no"])
 
-    return pairs.select("row_id", "span", "left").mapInArrow(run, "row_id LONG, line_no INT")
+    return pairs.select("row_id", "span", "lines").mapInArrow(run, "row_id LONG, line_no INT").distinct()
+
+
+def evidence(train: DataFrame) -> DataFrame:
+    """(row_id, line_no, by_structure, by_comparison) of the lines that are not new: whether the text's own structure shows it, and whether comparison with what the message answers does."""
+    messages = cut(structure(train), "messages")
+    marked = messages.select("row_id", F.explode("inherited").alias("line_no"), F.lit(True).alias("s"), F.lit(False).alias("c"))
+    compared = inherited_in_threads(messages).select("row_id", "line_no", F.lit(False).alias("s"), F.lit(True).alias("c"))
+    rows = marked.unionByName(compared).where(F.col("row_id").isNotNull())
+    return rows.groupBy("row_id", "line_no").agg(F.max("s").alias("by_structure"), F.max("c").alias("by_comparison"))
 
 
 def found(train: DataFrame) -> DataFrame:
     """(row_id, line_no) of the lines that are not new, once however often a row was delivered. Rows with null data have none."""
-    messages = cut(structure(train), "messages")
-    marked = messages.select("row_id", F.explode("inherited").alias("line_no"))
-    return marked.unionByName(inherited_in_threads(messages)).where(F.col("row_id").isNotNull()).distinct()
+    return evidence(train).select("row_id", "line_no")
 
 
 def new_text(train: DataFrame) -> DataFrame:
