@@ -211,9 +211,26 @@ def test_counts_of_ngrams(spark, block):
 def test_suffix_array_sorts_suffixes():
     rng = np.random.default_rng(0)
     text = rng.integers(0, 3, 200)
-    order = termcounts.suffix_array(text, 400)
+    order, levels = termcounts.suffix_array(text)
     suffixes = [tuple(text[i:]) for i in order]
     assert suffixes == sorted(suffixes)
+    lcp = termcounts.common_prefixes(order, levels)
+    for i in range(1, len(text)):
+        a, b = suffixes[i - 1], suffixes[i]
+        assert lcp[i] == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_ngrams_of_every_length(spark):
+    long = [f"w{i % 7}" for i in range(40)]
+    docs = [(1, long), (2, long), (3, long[5:25]), (4, ["w1", "w2"]), (5, [])]
+    df = spark.createDataFrame(docs, "doc_id LONG, document_tokens ARRAY<STRING>").coalesce(1)
+    cf, recs = Counter(), Counter()
+    for _, t in docs:
+        grams = [termcounts.GLUE.join(t[i : i + n]) for n in range(1, len(t) + 1) for i in range(len(t) - n + 1)]
+        cf.update(grams)
+        recs.update(set(grams))
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in termcounts.ngram_counts(df, max_n=None).collect()}
+    assert got == {g: (cf[g], recs[g]) for g in cf}
 
 
 def test_marks_count_the_latest_delivery_only(spark):

@@ -24,7 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_units": on(sentences.sentence_units, "preprocessed_document"),
         "p5_sample": on(sampling.reservoir_sample, "reference_stream"),
         "p6_found": on(termcounts.found, "preprocessed_document"),
-        "p6_ngrams": on(lambda d: termcounts.marked_terms(d, max_n=3), "preprocessed_document"),
+        "p6_ngrams": on(lambda d: termcounts.marked_terms(d, max_n=5), "preprocessed_document"),
         "p6_vocabulary": on(termcounts.against_vocabulary, "preprocessed_document", "gaussian_lda_vocab"),
         "p7_ids": on(tokens.ids, "documents"),
         "p8_mix": on(lambda d, m: mixing.mix(d, m)[0], "documents", "mix_targets"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from topicloom.session import cut, spread
 
 #: Batches are cut into blocks of about this many tokens, each with its own suffix array.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Joins the terms of an n-gram; it can't occur in a trimmed term.
 GLUE = "\x1f"
 
@@ -21,71 +21,86 @@ def normal_term(token: str | None) -> str | None:
     return (unicodedata.normalize("NFKC", token).strip().lower() or None) if token is not None else None
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes of text in the order of their first depth symbols or more, by prefix doubling.
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(starts of all suffixes of text in full order, the ranks after each doubling), by prefix doubling.
 
-    text holds non-negative codes; the suffix that ends first sorts first. Suffixes equal so far keep
-    the order of their starts, so equal prefixes stand with their records in order.
+    Rank r of level l is the place in the array where the suffixes begin that share the first 2^l
+    symbols. Only suffixes that still share all their symbols so far with another are sorted again, so
+    a round costs what repeats are that long. The suffix that ends first sorts first.
     """
-    rank, k = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1, 1
-    order = np.argsort(rank, kind="stable")
-    while k < depth and len(text) > 1:
-        ahead = np.zeros_like(rank)
-        ahead[:-k] = rank[k:] if k < len(rank) else 0
-        joint = rank * (rank.max() + 1) + ahead
-        order = np.argsort(joint, kind="stable")
-        steps = np.concatenate(([1], (np.diff(joint[order]) != 0).astype(np.int64)))
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(steps)
-        if rank.max() == len(rank):
-            break
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    fresh = np.ones(n, bool)
+    fresh[1:] = np.diff(text[order]) != 0
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    levels, k = [rank.astype(np.int32)], 1
+    while True:
+        alone = fresh.copy()  # begins a group, and so does the next place
+        alone[:-1] &= fresh[1:]
+        slots = np.flatnonzero(~alone)
+        if not len(slots):
+            return order, levels
+        at = order[slots]
+        ahead = np.zeros(len(at), np.int64)
+        inside = at + k < n
+        ahead[inside] = rank[at[inside] + k] + 1
+        key = rank[at] * (n + 1) + ahead
+        by = np.argsort(key, kind="stable")
+        at, key = at[by], key[by]
+        order[slots] = at
+        starts = np.ones(len(at), bool)
+        starts[1:] = np.diff(key) != 0
+        fresh[slots] = starts
+        rank[at] = np.maximum.accumulate(np.where(starts, slots, 0))
+        levels.append(rank.astype(np.int32))
         k *= 2
-    return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Length of the prefix, up to depth, that each suffix of the array shares with the one before it."""
-    padded = np.concatenate((text, -1 - np.arange(depth, dtype=np.int64)))
-    lcp, alive = np.zeros(len(order), np.int64), np.ones(max(len(order) - 1, 0), bool)
-    for d in range(depth):
-        alive &= padded[order[1:] + d] == padded[order[:-1] + d]
-        lcp[1:] += alive
+def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """Length of the prefix that each suffix of the array shares with the one before it, from the ranks of the doublings."""
+    n = len(order)
+    lcp = np.zeros(n, np.int64)
+    a, b = order[:-1].copy(), order[1:].copy()
+    for level in range(len(levels) - 1, -1, -1):
+        rank = levels[level]
+        same = (a < n) & (b < n)
+        same[same] = rank[a[same]] == rank[b[same]]
+        step = same.astype(np.int64) << level
+        lcp[1:] += step
+        a += step
+        b += step
     return lcp
 
 
-def interval_counts(text: np.ndarray, record: np.ndarray, breaks: np.ndarray, max_n: int):
-    """Yields (n, start, occurrences, records) arrays for all n-grams of n = 1 .. max_n.
+def interval_counts(text: np.ndarray, record: np.ndarray, max_n: int | None = None):
+    """Yields (n, start, occurrences, records) arrays for all n-grams of n = 1 .. max_n, or of every length.
 
-    The n-grams are the intervals of the suffix array whose common prefix is n or longer. The records
-    of an interval are its occurrences less the neighbours that lie in the same record, since a
-    suffix array over equal prefixes keeps its starts, hence its records, in order. breaks marks the
-    codes that separate records; no n-gram runs over one.
+    text holds codes, with a different code after each record (where record is -1), so no two suffixes
+    agree beyond their records. The n-grams are the intervals of the one full suffix array whose common
+    prefix is n or longer. The records of an interval are its occurrences less the neighbours, once its
+    starts are in order, that lie in the same record.
     """
-    depth = max_n
-    order = suffix_array(text, depth)
-    lcp = common_prefixes(text, order, depth)
-    clear = np.ones(len(text), bool)
-    for n in range(1, max_n + 1):
-        if n > 1:
-            clear[: len(text) - n + 1] &= ~breaks[n - 1 :]
-            clear[len(text) - n + 1 :] = False
-        else:
-            clear &= ~breaks
-        keep = clear[order]
+    order, levels = suffix_array(text)
+    lcp = common_prefixes(order, levels)
+    ends = np.flatnonzero(np.append(record < 0, True))
+    left = ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text))  # terms up to the end of the record
+    n = 0
+    while max_n is None or n < max_n:
+        n += 1
+        keep = left[order] >= n
         at = order[keep]
         if not len(at):
             return
-        # the least common prefix since the last suffix kept: dropped suffixes lie between intervals, never inside one
+        # suffixes left out lie between intervals, never inside one
         fresh = (lcp < n)[keep]
         fresh[0] = True
         group = np.cumsum(fresh) - 1
-        if max_n > 1:  # suffixes equal to depth n stand together, but what follows may put starts out of order
-            by = np.lexsort((at, group))
-            at = at[by]
+        at = at[np.lexsort((at, group))]
         again = np.zeros(len(at), bool)
         again[1:] = (record[at[1:]] == record[at[:-1]]) & (group[1:] == group[:-1])
         occurrences = np.bincount(group)
-        yield n, at[np.searchsorted(group, np.arange(len(occurrences)))], occurrences, occurrences - np.bincount(group[again], minlength=len(occurrences))
+        yield n, at[np.flatnonzero(fresh)], occurrences, occurrences - np.bincount(group[again], minlength=len(occurrences))
 
 
 def _blocks(tokens, max_tokens: int):
@@ -98,10 +113,11 @@ def _blocks(tokens, max_tokens: int):
             yield tokens.slice(a, b - a)
 
 
-def ngram_counts(records: DataFrame, tokens: str = "document_tokens", max_n: int = 1, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(term, n, occurrences, records) of every n-gram of up to max_n terms; the terms of one are joined by GLUE.
+def ngram_counts(records: DataFrame, tokens: str = "document_tokens", max_n: int | None = 1, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(term, n, occurrences, records) of every n-gram of up to max_n terms, or of every length if it is None; the terms of one are joined by GLUE.
 
-    Every record lies wholly in one block, and one suffix array per block gives the block's exact
+    The suffix array of a block is complete whatever max_n, which only says up to which length its
+    intervals are put out: all n-grams of a record of L terms are L * (L + 1) / 2. Every record lies wholly in one block, and one suffix array per block gives the block's exact
     counts; so counts of occurrences and of records just add up over blocks, and only one row per
     distinct n-gram and block is shuffled. A term that is in every record is one row per block, so
     no key is hot. Null and empty tokens are left out before n-grams are formed. Records with null
@@ -126,12 +142,12 @@ def ngram_counts(records: DataFrame, tokens: str = "document_tokens", max_n: int
                 owner, codes = owner[codes >= 0], codes[codes >= 0]
                 if not len(codes):
                     continue
-                # one separator after each record, of a code above all terms
+                # a separator of its own after each record, of a code above all terms
                 ends = np.flatnonzero(np.diff(owner)) + 1
-                text = np.insert(codes, ends, len(terms))
+                text = np.insert(codes, ends, len(terms) + np.arange(len(ends)))
                 record = np.insert(owner, ends, -1)
-                words = np.array([*terms, ""], dtype=object)
-                for n, at, cf, df in interval_counts(text, record, record < 0, max_n):
+                words = np.array([*terms], dtype=object)
+                for n, at, cf, df in interval_counts(text, record, max_n):
                     term = words[text[at]]
                     for d in range(1, n):
                         term = term + GLUE + words[text[at + d]]
@@ -160,7 +176,7 @@ def records_with_terms(records: DataFrame, tokens: str = "document_tokens") -> i
     return records.where(F.exists(tokens, lambda t: ~t.rlike(blank))).count()
 
 
-def marked_terms(prepared: DataFrame, max_n: int = 1, no_below: int = 3, no_above: float = 0.7) -> DataFrame:
+def marked_terms(prepared: DataFrame, max_n: int | None = 1, no_below: int = 3, no_above: float = 0.7) -> DataFrame:
     """(term, n, occurrences, records, mark) of every n-gram: rare below no_below records, else common above no_above of them."""
     documents = cut(spread(latest_documents(prepared)), "documents")
     total = records_with_terms(documents)
@@ -177,7 +193,7 @@ def against_vocabulary(prepared: DataFrame, vocab: DataFrame) -> DataFrame:
 
     Vocabulary words are brought to the same normal form for the comparison; null and empty ones are kept with a null term.
     """
-    normal = F.udf(normal_term, "string")  # the vocabulary is a few hundred rows
+    normal = F.udf(normal_term, "string", useArrow=True)
     words = vocab.select("word_id", "word", normal("word").alias("term"))
     counts = marked_terms(prepared).select("term", "occurrences", "records", "mark")
     both = counts.join(words, "term", "full_outer")
