@@ -37,8 +37,10 @@ MAY_END = set("etc inc ltd co corp plc llc jr sr bros al ff f usw seq ave blvd r
 LETTERS_MAY_END = {"a.m", "p.m", "т.д", "т.п", "u.s", "u.n", "u.k", "e.u", "d.c", "b.c", "a.d", "o.ä", "ph.d", "т.е"}
 MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 ORDINAL_BEFORE = set("am vom zum bis der den dem des im seit ab beim die das".split())
-#: Names that hold an exclamation mark.
-MARKED_NAMES = re.compile(r"(?:\b(?:Zap|Yahoo|Jeopardy|Joomla|Yum|Chips Ahoy|Guess|Kiva|Hark)|みどり)$")
+#: A capitalised word that a preposition governs and a mark follows: a name that holds the mark, if another name comes next.
+MARKED_NAME = re.compile(r"\b(?:at|of|from|by|with|for|via|von|bei|mit|für|chez|par|avec|de|del|con|para)\s+[^\W\d_a-z]\w*$")
+#: Second parts of names of companies, whose first part may hold a mark.
+COMPANY = re.compile(r"商会|商店|商事|会社|株式|工業|製作所|銀行|出版|放送|新聞社|公司|集团|銀行")
 #: Last parts of file names and addresses, which are no first words of sentences.
 ENDINGS = set("py txt out exe com org net edu gov io example html htm pdf doc csv json xml js java cpp zip gz tar png jpg sh cfg ini log sql md de fr es jp ru cn uk eu info biz tv co".split())
 STARTERS = set("the a an in on at it he she we they you i this that these those there but and so if when while after before for no not our my his her its their what who how why where which some only both".split())
@@ -130,6 +132,7 @@ class _Block:
             if not self.spans or a > self.spans[-1][1]:
                 self.spans.append((a, b))
         self.opens = [a for a, _ in self.spans]
+        self._spaces = self._is_german = None
 
     def inside(self, at: int) -> bool:
         k = bisect.bisect_right(self.opens, at) - 1
@@ -224,7 +227,7 @@ class _Block:
         if any(x in _PAUSE for x in run) or (run.strip(".") == "" and len(run) > 1):
             return stop if spaced and not lower else 0
         if run not in (".", "․", "﹒"):
-            return self._strong(begin, s, stop, nxt, spaced, lower, last_closed)
+            return self._strong(begin, s, stop, nxt, word, spaced, lower, last_closed)
         return self._dot(begin, s, stop, c, word, spaced, lower)
 
     def _wide(self, begin, s, e, stop, last_closed, run) -> int:
@@ -234,7 +237,7 @@ class _Block:
             return 0
         if "．" in run and s > begin and text[s - 1].isdigit() and text[e : e + 1].isdigit():
             return 0
-        if run in "!！" and MARKED_NAMES.search(text, begin, s):
+        if run in "!！" and COMPANY.match(text, e):
             return 0
         if run in ".!?" and last_closed < 0 and re.match(r"[A-Za-z0-9]", text[e : e + 1] or " ") and not _CJK.match(text[s - 1]):
             return 0
@@ -247,15 +250,14 @@ class _Block:
             return stop if text[:last_closed].rstrip()[-1:] in "：:，,、" and text[stop] not in "とっ、，," else 0
         return stop
 
-    def _strong(self, begin, s, stop, nxt, spaced, lower, last_closed) -> int:
+    def _strong(self, begin, s, stop, nxt, word, spaced, lower, last_closed) -> int:
         """! and ? and the marks of other scripts; they need no space."""
         text = self.text
-        if text[s] == "!" and MARKED_NAMES.search(text[max(begin, s - 24) : s]):
+        if text[s] == "!" and spaced and word[:1].isupper() and word.casefold() not in STARTERS and self._named_by_preposition(begin, s):
             return 0
         if not spaced and lower and last_closed < 0:
             # "what?the next one" ends, an address such as "x.cgi?a=b" does not
-            token = re.search(r"\S*$", text[begin:s]).group()
-            return 0 if re.search(r"[/@=&]|www\.", token) or not re.match(r"[^\W\d_]+\s", text[stop:]) else stop
+            return 0 if self._token_has(begin, s, "/@=&") or not _WORD_THEN_SPACE.match(text, stop) else stop
         if not spaced and (nxt.isdigit() or nxt in "=&/\\_%#@-"):
             return 0
         return stop
@@ -263,7 +265,7 @@ class _Block:
     def _dot(self, begin, s, stop, c, word, spaced, lower) -> int:
         text = self.text
         at = s
-        while at > begin and at > s - 40 and (text[at - 1].isalnum() or unicodedata.category(text[at - 1])[0] == "M"):
+        while at > begin and (text[at - 1].isalnum() or unicodedata.category(text[at - 1])[0] == "M"):
             at -= 1
         left = text[at:s]
         prior = text[at - 1] if at > begin else " "
@@ -274,7 +276,7 @@ class _Block:
         low = left.casefold()
         if not left:
             return stop
-        letters = re.search(r"((?:[^\W\d_]{1,2}\.\s?)+)[^\W\d_]$", text[max(begin, s - 16) : s])
+        letters = re.search(r"((?:[^\W\d_]{1,2}\.\s?)+)[^\W\d_]$", text[max(begin, s - 16) : s])  # only the last pair is asked for
         if letters and (len(left) == 1 or low == "d"):
             joined = re.sub(r"\s", "", letters.group()).casefold()
             pair = ".".join(joined.split(".")[-2:])
@@ -288,8 +290,7 @@ class _Block:
                 return 0  # the number of a list item or heading
             if len(left) <= 2 and word.casefold() in MONTHS:
                 return 0
-            ahead = re.search(r"([^\W\d_]+)\s+$", text[max(begin, at - 20) : at])
-            if len(left) <= 2 and ahead and ahead.group(1) in ORDINAL_BEFORE and word[:1].isupper() and self._german(begin):
+            if len(left) <= 2 and word[:1].isupper() and self._word_before(begin, at) in ORDINAL_BEFORE and self._german():
                 return 0
             return stop
         if len(left) == 1 and left.isalpha() and not _CJK.match(left):
@@ -310,8 +311,7 @@ class _Block:
         follows = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?").match(text, stop, self.end)
         if not follows:
             return stop if text[stop] in "\"“„«¿¡(—" and len(left) > 1 else 0
-        token = re.search(r"\S*$", text[max(begin, s - 80) : s]).group()
-        if len(left) < 2 or re.search(r"[@/\\]|www\.|://", token) or (prior in "._-@" and not left.isdigit()):
+        if len(left) < 2 or self._token_has(begin, s, "@/\\") or (prior in "._-@" and not left.isdigit()):
             return 0
         tail, then = follows.group(), text[follows.end() : follows.end() + 1]
         if not (text[stop].isascii() or text[stop].isupper() or text[stop].islower()):
@@ -326,10 +326,47 @@ class _Block:
             return 0
         return stop if tail[0].isupper() or (not then or then.isspace() or then in ",;:") else 0
 
-    def _german(self, begin: int) -> bool:
-        return bool(re.search(r"\b(?:der|die|das|und|ist|war|kam|mit|wurde|im|am|vom|zum|nicht|ein|eine)\b", self.text[begin : self.end][:300]))
-
-
+    def _german(self) -> bool:
+        """Whether the whole block has a word that hardly any other language has."""
+        if self._is_german is None:
+            self._is_german = bool(_GERMAN.search(self.text, self.start, self.end))
+        return self._is_german
+
+    def _word_before(self, begin: int, at: int) -> str:
+        """The word of letters before the white space that ends at a place, or ''."""
+        end = at
+        while end > begin and self.text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start > begin and self.text[start - 1].isalpha():
+            start -= 1
+        return self.text[start:end] if end < at else ""
+
+    def _named_by_preposition(self, begin: int, s: int) -> bool:
+        """Whether a preposition and a capitalised word stand before a mark."""
+        start = s
+        while start > begin and self.text[start - 1].isalnum():
+            start -= 1
+        before = self._word_before(begin, start)
+        return bool(before) and bool(MARKED_NAME.search(f" {before} {self.text[start:s]}"))
+
+    def _token_has(self, begin: int, s: int, signs: str) -> bool:
+        """Whether the signs without white space before a mark, of whatever length, hold one of signs, or www."""
+        if self._spaces is None:
+            self._spaces = [m.start() for m in _SPACE.finditer(self.text, self.start, self.end)]
+            self._address = [m.start() for m in _ADDRESS.finditer(self.text, self.start, self.end)]
+        k = bisect.bisect_left(self._spaces, s) - 1
+        start = max(begin, self._spaces[k] + 1 if k >= 0 else begin)
+        for at in self._address[bisect.bisect_left(self._address, start) : bisect.bisect_left(self._address, s)]:
+            if self.text[at] in signs or self.text[at] == "w":
+                return True
+        return False
+
+
+_GERMAN = re.compile(r"\b(?:der|die|das|und|ist|war|kam|mit|wurde|im|am|vom|zum|nicht|ein|eine)\b")
+_SPACE = re.compile(r"\s")
+_ADDRESS = re.compile(r"[/@=&\\]|www\.")
+_WORD_THEN_SPACE = re.compile(r"[^\W\d_]+\s")
 _GO_ON = {w for words in ALWAYS_GO_ON.values() for w in words.split()}
 
 
