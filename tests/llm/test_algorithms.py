@@ -320,3 +320,21 @@ def test_mix_of_nothing(spark):
 
 
 _ = html
+
+
+def test_a_budget_in_parts_of_the_supply_bisects_the_exponent():
+    S = mixing.Source
+    sources = [S("a", 0.5, 1, 10, 1000), S("b", 0.3, 2, 10, 4000), S("c", 0.2, 1, 10, 5000)]
+    exponent, weights, quotas = mixing.plan(sources, budget=0.5)
+    assert 0 < exponent < 1 and sum(quotas) == pytest.approx(5000)
+    assert all(q <= s.most + 1e-6 for q, s in zip(quotas, sources, strict=True))
+    assert quotas[0] == pytest.approx(1000, rel=1e-6)  # the scarce source is used up, no more
+    assert weights[0] > 1000 / 10000  # and still stands above its part of the supply
+
+
+def test_blocks_joined_by_shuffle_give_the_same_mix(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "some words here " * (i % 5 + 1), "ab"[i % 2]) for i in range(60)], "doc_id LONG, text STRING, source STRING")
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], "source STRING, target_share DOUBLE, max_repeats INT")
+    one = sorted(map(tuple, mixing.mix(docs, targets, budget=0.9)[0].collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+    assert sorted(map(tuple, mixing.mix(docs, targets, budget=0.9)[0].collect())) == one

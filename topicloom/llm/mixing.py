@@ -14,6 +14,8 @@ from topicloom.session import cut
 
 #: Mean number of documents in one block of a source's permutation; a block is ordered by one task.
 BLOCK_DOCS = 10_000
+#: Blocks of all sources and repeats up to which their table is broadcast (some 10 MB); beyond it is joined by shuffle.
+BROADCAST_BLOCKS = 200_000
 
 
 @dataclass
@@ -122,8 +124,10 @@ def supply(sized: DataFrame, targets: DataFrame) -> list[Source]:
     return [Source(r["source"], float(r["share"]), max(0, int(r["repeats"])), r["docs"] or 0, r["tokens"] or 0) for r in sorted(rows, key=lambda r: r["source"])]
 
 
-def plan(sources: list[Source], budget: int | None = None, target_entropy: float | None = None) -> tuple[float, list[float], list[float]]:
-    """(exponent, weights, quotas in tokens)."""
+def plan(sources: list[Source], budget: int | float | None = None, target_entropy: float | None = None) -> tuple[float, list[float], list[float]]:
+    """(exponent, weights, quotas in tokens) for a budget in tokens or, as a float, in parts of the supply of the target sources."""
+    if isinstance(budget, float):
+        budget = int(budget * sum(s.tokens for s in sources if s.target_share > 0 and s.max_repeats > 0))
     exponent = bisect_exponent(sources, budget, target_entropy)
     weights = tempered(sources, exponent)
     total = largest_budget(sources, weights) if budget is None else budget
@@ -145,7 +149,7 @@ def _blocks(sized: DataFrame, sources: list[Source], seed: int) -> tuple[DataFra
 def mix(
     documents: DataFrame,
     targets: DataFrame,
-    budget: int | None = None,
+    budget: int | float | None = None,
     target_entropy: float | None = None,
     tokenizer: str = DEFAULT_TOKENIZER,
     seed: int = 8,
@@ -155,7 +159,7 @@ def mix(
     The mix has one row (source, repeat, position, doc_id, n_tokens) for each use of a document:
     repeat counts from 0 and stays below max_repeats; sorting by position shuffles the sources into
     each other. Without a budget, the mix is the largest in which every source that has documents
-    stands in exact proportion to its target. With one, the weights are tempered until no source
+    stands in exact proportion to its target. With one (an int in tokens, a float in parts of the supply), the weights are tempered until no source
     exceeds its repeats. The quota of each source is then filled by permutations of its documents,
     block by block: whole blocks as far as they fit, and of the block that the quota ends in, the
     documents whose running sum keeps closest to it. Only the sums of blocks, never a source's
@@ -179,7 +183,9 @@ def mix(
     by_block = W.partitionBy("source", "repeat").orderBy(F.xxhash64(F.lit(seed), "repeat", "block"), "block").rowsBetween(W.unboundedPreceding, -1)
     starts = blocks.join(used, "source").withColumn("before", F.coalesce(F.sum("tokens").over(by_block), F.lit(0)))
     starts = starts.where(F.col("before") < F.col("quota")).withColumn("cut", F.col("before") + F.col("tokens") > F.col("quota"))
-    placed = docs.join(F.broadcast(starts.drop("tokens")), ["source", "block"])  # one row per BLOCK_DOCS documents and repeat
+    starts = starts.drop("tokens")
+    n_blocks = sum(-(-s.docs // BLOCK_DOCS) * s.max_repeats for s in sources)  # counted before: one row per BLOCK_DOCS documents and repeat at most
+    placed = docs.join(F.broadcast(starts) if n_blocks <= BROADCAST_BLOCKS else starts, ["source", "block"])
     order = F.xxhash64(F.lit(seed), "repeat", "doc_id")
     whole = placed.where(~F.col("cut"))
     inside = W.partitionBy("source", "repeat", "block").orderBy(order, "doc_id").rowsBetween(W.unboundedPreceding, -1)

@@ -28,6 +28,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_vocabulary": on(termcounts.against_vocabulary, "preprocessed_document", "gaussian_lda_vocab"),
         "p7_ids": on(tokens.ids, "documents"),
         "p8_mix": on(lambda d, m: mixing.mix(d, m)[0], "documents", "mix_targets"),
+        # as many tokens as 80 % of the supply, which scarce sources can't fill at their targets: the exponent is bisected
+        "p8_tempered": on(lambda d, m: mixing.mix(d, m, budget=0.8)[0], "documents", "mix_targets"),
+        "p8_tempered_report": on(lambda d, m: mixing.mix(d, m, budget=0.8)[1], "documents", "mix_targets"),
         "p9_found": on(abuse.found, "documents"),
         "p9_rates": on(abuse.rates, "documents"),
         "p9_scores": on(lambda d: abuse.scored(d).select("doc_id", "source", "score"), "documents"),
