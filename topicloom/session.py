@@ -36,34 +36,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder that was set.
+
+    Where neither is set, a local session gets a folder of its own; a cluster has no folder that could
+    be guessed, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="topicloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there is deleted with the session, or by release()."""
+    path = f"{shared_dir(spark).rstrip('/')}/topicloom/{label}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut(df: DataFrame, label: str = "step") -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back.
+def cut(df: DataFrame, label: str = "step", **options: str) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder, with options of the writer, and reads it back.
 
     It ends the lineage, survives the loss of executors, and lets several consumers read a result
     that was made once. The tables of a session are deleted when it ends, or by release().
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/topicloom/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(df.sparkSession, label)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
