@@ -175,10 +175,30 @@ def test_sample_of_few_and_of_none(spark):
     assert sampling.reservoir_sample(spark.createDataFrame([], SCHEMA), 5).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[1, 9998, 1], [1] * 400, [5, 0, 5], [64], [65], [30, 34]])
+def test_odd_blocks(sizes):
+    slots = sampling.draw_slots(len(sizes), max(sizes), 64, 1, lambda blocks: {b: sizes[b] for b in blocks})
+    assert len(set(slots)) == len(slots) == min(64, sum(sizes)) and all(0 <= o < sizes[b] for b, o in slots)
+
+
+def test_sample_over_many_unequal_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "BLOCK_ROWS", 150)
+    rows = [(i % 7, i, None, str(i), "t", 1, page(i)) for i in range(3000)] * 2 + [(1, 5000 + i, None, "7", "t", 1, page(7)) for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = []
+    known = sampling.draw_slots
+    monkeypatch.setattr(sampling, "draw_slots", lambda blocks, largest, *a: asked.append((blocks, largest)) or known(blocks, largest, *a))
+    got = sampling.reservoir_sample(df, 64, seed=4).collect()
+    assert asked[0][0] >= 20 and asked[0][1] <= 150
+    first = plain_pages(rows)
+    order = {v[2]: i for i, v in enumerate(sorted(first.values()), 1)}
+    assert len({r["row_json"] for r in got}) == len(got) == 64 and all(order[r["row_json"]] == r["eligible_index"] for r in got)
+
+
 def test_every_row_is_equally_likely():
     sizes, hits = [3, 50, 17, 1], Counter()
     for seed in range(4000):
-        hits.update(sampling.draw_slots(sizes, 5, seed))
+        hits.update(sampling.draw_slots(4, 50, 5, seed, lambda blocks: {b: sizes[b] for b in blocks}))
     counts = np.array([hits[b, o] for b, n in enumerate(sizes) for o in range(n)])
     expected = 4000 * 5 / 71
     chi = ((counts - expected) ** 2 / expected).sum() / (1 - 5 / 71)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.session import cut
@@ -12,101 +13,143 @@ from topicloom.session import cut
 PAGE_SCHEMA = "id STRING, title STRING, tokens ARRAY<STRING>"
 
 
+#: Rows of a row group, the block of a draw. Small ones make many blocks, and a drawn page costs the reading of one.
+BLOCK_ROWS = 1_000
+
+
 def eligible_pages(stream: DataFrame, min_tokens: int = 5) -> DataFrame:
-    """One row per distinct eligible page: page_id, piece_id, line_no and row_json of its first eligible delivery.
+    """One row per distinct eligible page: page_id, and piece_id and line_no of its first eligible delivery.
 
     A delivery is eligible if row_json is one valid JSON object whose tokens hold at least min_tokens
     entries that are not blank. The stated token_count is not trusted. A null page_id is replaced by
     the id inside the JSON; a row with neither is no page. First is by piece_id, then line_no (nulls
     last), whenever the piece arrived. Deliveries fold on the map side, so a page that makes up a
-    third of the stream is no hot key.
+    third of the stream is no hot key, and texts are not shuffled.
     """
+    rows = _eligible_deliveries(stream, min_tokens)
+    return rows.groupBy("page_id").agg(F.min(F.struct("piece_id", "line_no")).alias("_first")).select("page_id", "_first.*")
+
+
+def _eligible_deliveries(stream: DataFrame, min_tokens: int) -> DataFrame:
+    """(page_id, piece_id, line_no, row_json) of every eligible delivery; null piece and line numbers stand last."""
     parsed = F.from_json("row_json", PAGE_SCHEMA)
     tokens = F.filter(F.col("_page.tokens"), lambda t: F.trim(t) != "")
     whole = F.col("row_json").rlike(r"^\s*\{[\s\S]*\}\s*$")
-    rows = (
+    last = F.lit(2**31 - 1)
+    return (
         stream.select("piece_id", "line_no", "row_json", F.col("page_id").alias("_given"), parsed.alias("_page"))
         .where(whole & (F.size(tokens) >= min_tokens))
-        .withColumn("page_id", F.coalesce("_given", "_page.id"))
+        .select(F.coalesce("_given", "_page.id").alias("page_id"), F.coalesce("piece_id", last).alias("piece_id"), F.coalesce("line_no", last).alias("line_no"), "row_json")
         .where(F.col("page_id").isNotNull())
     )
-    last = F.lit(2**31 - 1)
-    place = F.struct(F.coalesce("piece_id", last).alias("piece_id"), F.coalesce("line_no", last).alias("line_no"), "row_json")
-    return rows.groupBy("page_id").agg(F.min(place).alias("_first")).select("page_id", "_first.*")
 
 
-def _row_groups(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """(file, row group, rows) of every row group under path, read from the footers by executors.
+def _files(pages: DataFrame) -> list[tuple[str, int, int]]:
+    """(file, row groups, rows of its largest one) of every file of a written table, from the footers, which executors read.
 
-    It takes one small record per row group of 128 MB, not per row: a million for 100 TB.
+    One record per file comes to the driver, as the listing of the table does, none per row group.
     """
-    sc = spark.sparkContext
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    statuses = target.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(target)
-    files = sorted(s.getPath().toString() for s in statuses if s.getPath().getName().endswith(".parquet"))
-    if not files:
+    names = pages.inputFiles()
+    if not names:
         return []
 
     def footers(batches):
         import pandas as pd
-        import pyarrow.fs as fs
-        import pyarrow.parquet as pq
 
         for pdf in batches:
-            out = []
-            for name in pdf["file"]:
-                system, inner = fs.FileSystem.from_uri(name)
-                with system.open_input_file(inner) as handle:
-                    meta = pq.ParquetFile(handle).metadata
-                    out += [(name, g, meta.row_group(g).num_rows) for g in range(meta.num_row_groups)]
-            yield pd.DataFrame(out, columns=["file", "row_group", "n_rows"])
+            sizes = [_group_sizes(name) for name in pdf["file"]]
+            yield pd.DataFrame({"file": pdf["file"], "groups": [len(x) for x in sizes], "largest": [max(x, default=0) for x in sizes]})
+
+    found = pages.sparkSession.createDataFrame([(f,) for f in names], "file STRING").repartition(min(len(names), 256))
+    rows = found.mapInPandas(footers, "file STRING, groups INT, largest LONG").where("groups > 0").collect()
+    return sorted((r["file"], r["groups"], r["largest"]) for r in rows)
+
+
+def _group_sizes(name: str) -> list[int]:
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
 
-    names = spark.createDataFrame([(f,) for f in files], "file STRING").repartition(min(len(files), 256))
-    found = names.mapInPandas(footers, "file STRING, row_group INT, n_rows LONG").where("n_rows > 0").collect()
-    return sorted((r["file"], r["row_group"], r["n_rows"]) for r in found)
+    system, inner = fs.FileSystem.from_uri(name)
+    with system.open_input_file(inner) as handle:
+        meta = pq.ParquetFile(handle).metadata
+    return [meta.row_group(g).num_rows for g in range(meta.num_row_groups)]
 
 
-def draw_slots(sizes: list[int], k: int, seed: int) -> list[tuple[int, int]]:
+def draw_slots(blocks: int, largest: int, k: int, seed: int, sizes) -> list[tuple[int, int]]:
     """k distinct (block, offset) pairs, each row of the blocks equally likely, by acceptance and rejection.
 
     A block is drawn uniformly and an offset below the size of the largest block; an offset that the
-    block does not have, or a pair that was drawn before, is rejected. All rows if there are at most k.
-    The blocks' mean size is at least half of the largest for tables written evenly, so about two
-    draws give one row, however large the table is.
+    block does not have, or a pair that was drawn before, is rejected. sizes gives the sizes of the
+    blocks it is asked for, so only drawn ones are ever looked at. Draws are made in rounds of as many
+    as should complete the sample. All rows if there are no more than k of them.
     """
-    total, largest = sum(sizes), max(sizes, default=0)
-    if total <= k:
-        return [(b, o) for b, n in enumerate(sizes) for o in range(n)]
-    rng, taken, slots = random.Random(seed), set(), []
-    while len(slots) < k:
-        pair = (rng.randrange(len(sizes)), rng.randrange(largest))
-        if pair[1] < sizes[pair[0]] and pair not in taken:
-            taken.add(pair)
-            slots.append(pair)
+    rng, known, taken, slots = random.Random(seed), {}, set(), []
+    idle = 0
+    while len(slots) < k and blocks and largest:
+        pairs = [(rng.randrange(blocks), rng.randrange(largest)) for _ in range(2 * (k - len(slots)) + 16)]
+        if missing := sorted({b for b, _ in pairs} - known.keys()):
+            known.update(sizes(missing))
+        before = len(slots)
+        for pair in pairs:
+            if len(slots) < k and pair[1] < known[pair[0]] and pair not in taken:
+                taken.add(pair)
+                slots.append(pair)
+        idle = idle + 1 if len(slots) == before else 0
+        if idle >= 3 or blocks * largest <= 4 * k:  # few rows: all of them may be wanted
+            if missing := [b for b in range(blocks) if b not in known] if blocks <= 4 * k else []:
+                known.update(sizes(missing))
+            if len(known) == blocks and sum(known.values()) <= k:
+                return [(b, o) for b in range(blocks) for o in range(known[b])]
+            idle = 0
     return slots
 
 
 def reservoir_sample(stream: DataFrame, k: int = 64, min_tokens: int = 5, seed: int = 5) -> DataFrame:
     """(slot, eligible_index, row_json): k of the distinct eligible pages, each equally likely.
 
-    The distinct eligible pages are written once as a table; row groups of it are the blocks of an
-    acceptance-rejection draw, and only the drawn row groups are read again. eligible_index counts
-    the distinct eligible pages from 1 in the order of their first eligible delivery; slot counts the
-    draws from 0. With fewer than k eligible pages all of them come out, with none an empty table.
+    The places of the distinct eligible pages are written once as a table of small row groups, the
+    blocks of an acceptance-rejection draw. The driver knows how many row groups each file has and how
+    large the largest is, draws blocks and offsets, and has the sizes of drawn blocks looked up; only
+    drawn blocks are read again, and one more scan of the stream fetches the texts of the k places.
+    eligible_index counts the distinct eligible pages from 1 in the order of their first eligible
+    delivery; slot counts the draws from 0. With fewer than k eligible pages all of them come out, with
+    none an empty table.
     """
     spark = stream.sparkSession
-    pages = cut(eligible_pages(stream, min_tokens).sortWithinPartitions("piece_id", "line_no", "page_id"), "eligible")
-    path = pages.inputFiles()[0].rsplit("/", 1)[0] if pages.inputFiles() else None
-    groups = _row_groups(spark, path) if path else []
+    pages = cut(eligible_pages(stream, min_tokens), "eligible", **{"parquet.block.row.count.limit": str(BLOCK_ROWS)})
+    files = _files(pages)
+    empty = spark.createDataFrame([], "slot INT, eligible_index LONG, row_json STRING")
+    if not files:
+        return empty
+    ends = [0]
+    for _, groups, _ in files:
+        ends.append(ends[-1] + groups)
+
+    def place(block: int) -> tuple[str, int]:
+        at = bisect.bisect_right(ends, block) - 1
+        return files[at][0], block - ends[at]
+
+    def sizes(blocks: list[int]) -> dict[int, int]:
+        """The sizes of some blocks, a few per slot of the sample, from the footers of their files."""
+        import pandas as pd
+
+        asked = spark.createDataFrame(pd.DataFrame([(b, *place(b)) for b in blocks], columns=["block", "file", "row_group"]))
+
+        def look(batches):
+            for pdf in batches:
+                for name, part in pdf.groupby("file"):
+                    found = _group_sizes(name)
+                    yield pd.DataFrame({"block": part["block"], "n": [found[g] for g in part["row_group"]]})
+
+        return {r["block"]: r["n"] for r in asked.repartition(min(len(blocks), 64), "file").mapInPandas(look, "block LONG, n LONG").collect()}
+
     wanted: dict[tuple[str, int], list[tuple[int, int]]] = {}
-    for slot, (block, offset) in enumerate(draw_slots([n for *_, n in groups], k, seed)):
-        wanted.setdefault(groups[block][:2], []).append((offset, slot))
-    schema = "slot INT, page_id STRING, piece_id INT, line_no INT, row_json STRING"
+    for slot, (block, offset) in enumerate(draw_slots(ends[-1], max(f[2] for f in files), k, seed, sizes)):
+        wanted.setdefault(place(block), []).append((offset, slot))
     if not wanted:
-        return spark.createDataFrame([], "slot INT, eligible_index LONG, row_json STRING")
+        return empty
 
     def fetch(batches):
-        import pandas as pd
         import pyarrow as pa
         import pyarrow.fs as fs
         import pyarrow.parquet as pq
@@ -115,32 +158,28 @@ def reservoir_sample(stream: DataFrame, k: int = 64, min_tokens: int = 5, seed:
             for row in pdf.itertuples(index=False):
                 system, inner = fs.FileSystem.from_uri(row.file)
                 with system.open_input_file(inner) as handle:
-                    part = pq.ParquetFile(handle).read_row_group(row.row_group, columns=["page_id", "piece_id", "line_no", "row_json"])
+                    part = pq.ParquetFile(handle).read_row_group(row.row_group, columns=["page_id", "piece_id", "line_no"])
                 picked = part.take(pa.array(list(row.offsets))).to_pandas()
                 picked.insert(0, "slot", list(row.slots))
                 yield picked
-        yield pd.DataFrame(columns=["slot", "page_id", "piece_id", "line_no", "row_json"])
 
     tasks = [(f, g, [o for o, _ in v], [s for _, s in v]) for (f, g), v in sorted(wanted.items())]
-    plan = spark.createDataFrame(tasks, "file STRING, row_group INT, offsets ARRAY<INT>, slots ARRAY<INT>")
-    sample = cut(plan.repartition(min(len(tasks), 64)).mapInPandas(fetch, schema), "sample")
-    return _with_index(pages, sample, k)
+    drawn = spark.createDataFrame(tasks, "file STRING, row_group INT, offsets ARRAY<INT>, slots ARRAY<INT>")
+    sample = drawn.repartition(min(len(tasks), 64)).mapInPandas(fetch, "slot INT, page_id STRING, piece_id INT, line_no INT")
+    places = sorted(((r["piece_id"], r["line_no"], r["page_id"], r["slot"]) for r in sample.collect()))  # at most k
+    counts = _counts_before(pages, places)
+    index, seen = [], 0
+    for i, (piece, line, page, slot) in enumerate(places):
+        seen += counts.get(i, 0)
+        index.append((piece, line, page, slot, seen))
+    chosen = F.broadcast(spark.createDataFrame(index, "piece_id INT, line_no INT, page_id STRING, slot INT, eligible_index LONG"))  # at most k rows
+    texts = _eligible_deliveries(stream, min_tokens).join(chosen, ["piece_id", "line_no", "page_id"])
+    return texts.groupBy("slot", "eligible_index").agg(F.min("row_json").alias("row_json"))  # a line that came twice counts once
 
 
-def _with_index(pages: DataFrame, sample: DataFrame, k: int) -> DataFrame:
-    """Adds eligible_index: one pass counts the pages between neighbouring places of the k sampled ones."""
-    places = sorted((r["piece_id"], r["line_no"], r["page_id"]) for r in sample.select("piece_id", "line_no", "page_id").collect())  # at most k
-    assert len(places) <= k
-    spark = pages.sparkSession
-    steps = F.array(*[F.struct(F.lit(p).cast("int"), F.lit(n).cast("int"), F.lit(i)) for p, n, i in places])
+def _counts_before(pages: DataFrame, places: list[tuple]) -> dict[int, int]:
+    """How many pages lie between neighbouring ones of at most k sorted places: number of places before them -> pages, from one pass."""
+    steps = F.array(*[F.struct(F.lit(p).cast("int"), F.lit(n).cast("int"), F.lit(i)) for p, n, i, _ in places])
     here = F.struct(F.col("piece_id"), F.col("line_no"), F.col("page_id"))
-    # the number of sampled places before this page: all sampled pages after those count it
     before = F.size(F.filter(steps, lambda s: s < here))
-    counts = {r["_b"]: r["n"] for r in pages.groupBy(before.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most k + 1
-    index, seen = [], 0
-    for i, (p, n, page) in enumerate(places):
-        seen += counts.get(i, 0)
-        index.append((p, n, page, seen))
-    ranks = spark.createDataFrame(index, "piece_id INT, line_no INT, page_id STRING, eligible_index LONG")
-    out = sample.join(F.broadcast(ranks), ["piece_id", "line_no", "page_id"])  # at most k rows
-    return out.select("slot", "eligible_index", "row_json")
+    return {r["_b"]: r["n"] for r in pages.groupBy(before.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most k + 1
