@@ -121,6 +121,26 @@ def test_overlap_loses_nothing(spark, seed):
     assert sum(p for _, p in by.values()) == len(want) and sum(n for n, _ in by.values()) == len({j for _, j in want})
 
 
+def test_rows_of_several_texts_are_counted_once(spark):
+    x, y, z = ("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty " + t for t in ("a", "b", "c"))
+    train = spark.createDataFrame([(1, x), (1, y), (2, x), (3, z), (3, None)], "row_id LONG, data STRING")
+    test = spark.createDataFrame([(7, x, "test", " S "), (8, y, "dev", None), (8, z, "dev", None), (9, x, "test", "s")], "row_id LONG, data STRING, split STRING, source STRING")
+    assert {tuple(r) for r in overlap.found(train, test).collect()} == {(a, b) for a in (1, 2, 3) for b in (7, 8, 9)}
+    assert {tuple(r) for r in overlap.report(train, test).collect()} == {("test", "s", 2, 6), ("dev", "", 1, 3)}
+
+
+def test_hashes_do_not_depend_on_the_batch():
+    texts = ["a b c d", "x", "ü b c d e ü", "a b c d"]
+    words, at = overlap.text_hashes(texts)
+    assert [b - a for a, b in zip(at, at[1:], strict=False)] == [4, 1, 6, 4]
+    assert (words[at[0] : at[1]] == words[at[3] : at[4]]).all() and words[at[2]] == words[at[2] + 5]
+    shingles, to = overlap._shingles_of(texts)
+    assert [b - a for a, b in zip(to, to[1:], strict=False)] == [2, 0, 4, 2]
+    for i, t in enumerate(texts):
+        assert (shingles[to[i] : to[i + 1]] == overlap._shingles_of([t])[0]).all()
+    assert overlap.reader_words("a &" + "amp;" * 50 + "lt; b") == ["a", "b"]
+
+
 def test_overlap_of_empty_tables(spark):
     a = spark.createDataFrame([], "row_id LONG, data STRING, source STRING")
     b = spark.createDataFrame([], "row_id LONG, data STRING, split STRING, source STRING")

@@ -18,17 +18,15 @@ SHINGLE = 3
 MIN_WORDS = 20
 #: Edits allowed per words of the longer text, as a fraction.
 EDITS, PER_WORDS = 20, 100
-#: Counters of the table of shingle frequencies: 2^20 of 4 bytes, whatever the size of the corpus.
-COUNTER_BITS = 20
+#: Most bits of the table that marks the shingles of evaluation texts (8 MB), and most counters of their frequencies (16 MB); both are sized to the evaluation texts.
+MARK_BITS, COUNTER_BITS = 26, 22
 
 
 def reader_words(text: str | None) -> list[str]:
     """The words of a text as a reader sees them: runs of letters and digits after entities are decoded, widths and compositions unified, invisible characters removed and case folded."""
     if not text:
         return []
-    for _ in range(3):  # entities may have been encoded more than once
-        if "&" not in text or (plain := html.unescape(text)) == text:
-            break
+    while "&" in text and (plain := html.unescape(text)) != text:  # however often entities were encoded
         text = plain
     text = unicodedata.normalize("NFKC", text)
     if not text.isascii():
@@ -48,10 +46,36 @@ def _runs(text: str) -> list[str]:
         return _FIND(text)
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    import xxhash
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
+
+
+def text_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of all texts in order, where each text starts among them and where the last ends).
+
+    The words of a text are parted by single blanks. Equal words have equal hashes; they come at once
+    from the prefix sums of one polynomial over the joined texts.
+    """
+    if not texts:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    codes = np.frombuffer("\n".join(texts).encode("utf-8", "replace"), np.uint8)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(codes)), out=sums[1:])
+        gaps = np.flatnonzero((codes == 32) | (codes == 10))
+        start, end = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(codes)]))
+        words = (sums[end] - sums[start]) * _powers(_INVERSE, len(codes) + 1)[start]
+        words ^= words >> np.uint64(32)
+        words *= np.uint64(0xD6E8FEB86659FD93)
+        words ^= words >> np.uint64(32)
+    first = np.concatenate(([0], np.cumsum(codes[gaps] == 10)))
+    return words, np.searchsorted(first, np.arange(len(texts) + 1))
 
 
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
@@ -62,15 +86,35 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     mixed = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(SHINGLE):
-            mixed = (mixed ^ words[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ words[i : n + i]) * np.uint64(_BASE)
             mixed ^= mixed >> np.uint64(29)
     return mixed
 
 
-def rare_prefix(shingles: np.ndarray, counters: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+class Rarity:
+    """One order of all shingles, rarest first, by bounded tables: which shingles evaluation texts hold, and how often these occur anywhere.
+
+    A shingle without a mark is in no evaluation text and comes first; then counters order the others,
+    and hashes break ties. Two shingles that share a mark or counter cost time, never a pair.
+    """
+
+    def __init__(self, marks: np.ndarray, counters: np.ndarray):
+        self.marks, self.counters = marks, counters
+        self.mark_shift = np.uint64(64 - (len(marks) * 8).bit_length() + 1)
+        self.counter_shift = np.uint64(64 - len(counters).bit_length() + 1)
+
+    def marked(self, shingles: np.ndarray) -> np.ndarray:
+        at = shingles >> self.mark_shift
+        return (self.marks[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    def order(self, shingles: np.ndarray) -> np.ndarray:
+        return np.lexsort((shingles, np.where(self.marked(shingles), self.counters[shingles >> self.counter_shift], 0)))
+
+
+def rare_prefix(shingles: np.ndarray, order: np.ndarray, length: int) -> tuple[np.ndarray, int]:
     """(positions of the rarest shingles that more edits would be needed to destroy than a partner allows, how many of them serve shorter partners).
 
-    Shingles are ordered by their counter, then by hash: one order for all texts. An edit destroys the
+    order has their positions, rarest first, by one order for all texts. An edit destroys the
     shingles that cover one word, so the fewest edits that destroy a set of positions is the number of
     disjoint windows that cover it. The prefix is the shortest whose number exceeds the edits allowed;
     it ends with all places of its last shingle. The edits are a share of the longer text, so a text
@@ -80,7 +124,6 @@ def rare_prefix(shingles: np.ndarray, counters: np.ndarray, length: int) -> tupl
     """
     if not len(shingles):
         return np.empty(0, np.int64), 0
-    order = np.lexsort((shingles, counters[shingles >> np.uint64(64 - COUNTER_BITS)]))
     full = _shortest(order, shingles, length * EDITS // (PER_WORDS - EDITS))  # the longest partner has length * 100/80 words
     return order[:full], _shortest(order, shingles, length * EDITS // PER_WORDS)
 
@@ -133,7 +176,7 @@ def word_distance(a: list, b: list, most: int) -> int:
 
 
 def _distinct_texts(rows: DataFrame, side: str, keep: list[str]) -> DataFrame:
-    """(side, fingerprint, words, keep...) of every row with enough words; words as one string. Rows with null data have none."""
+    """(side, fingerprint, words, length, keep...) of every row with enough words; words as one string. Rows with null data have none."""
 
     def run(batches):
         import pyarrow as pa
@@ -142,58 +185,104 @@ def _distinct_texts(rows: DataFrame, side: str, keep: list[str]) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                joined, prints = [], []
+                joined, prints, sizes = [], [], []
                 for text in batch.column(batch.num_columns - 1).to_pylist():
                     words = reader_words(text)
                     ok = len(words) >= MIN_WORDS
                     joined.append(" ".join(words) if ok else None)
                     prints.append(xxhash.xxh3_128_digest(joined[-1]) if ok else None)
-                columns = [*batch.columns[:-1], pa.array([side] * len(batch), pa.string()), pa.array(prints, pa.binary()), pa.array(joined, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "side", "fingerprint", "words"]).filter(pa.array([j is not None for j in joined]))
+                    sizes.append(len(words))
+                columns = [*batch.columns[:-1], pa.array([side] * len(batch), pa.string()), pa.array(prints, pa.binary()), pa.array(joined, pa.string()), pa.array(sizes, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "side", "fingerprint", "words", "length"]).filter(pa.array([j is not None for j in joined]))
 
-    schema = rows.select(*keep).schema.add("side", "string").add("fingerprint", T.BinaryType()).add("words", "string")
+    schema = rows.select(*keep).schema.add("side", "string").add("fingerprint", T.BinaryType()).add("words", "string").add("length", "integer")
     return spread(rows.select(*keep, "data")).mapInArrow(run, schema)
 
 
-def _shingle_counts(texts: DataFrame) -> np.ndarray:
-    """Counters of all shingles of all texts, added up by executors; 2^COUNTER_BITS numbers come to the driver, whatever the input."""
+def _shingles_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all shingles of all texts in order, where each text starts among them and where the last ends)."""
+    words, at = text_hashes(texts)
+    shingles = shingle_hashes(words)
+    inside = np.ones(len(shingles), bool)  # all but those that run over the end of a text
+    for back in range(1, SHINGLE):
+        over = at[1:] - back
+        inside[over[(over >= 0) & (over < len(shingles))]] = False
+    kept = np.concatenate(([0], np.cumsum(inside)))
+    return shingles[inside], kept[np.minimum(at, len(shingles))]
 
-    def run(batches):
+
+def _table_size(texts: DataFrame, most_bits: int) -> int:
+    """A power of two above the words of the texts, within 2^12 and 2^most_bits."""
+    words = texts.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    return 1 << max(12, min(most_bits, int(words).bit_length()))
+
+
+def _rarity(texts: DataFrame, theirs: DataFrame) -> Rarity:
+    """The order of shingles over all texts; executors make the tables, a bounded number of numbers comes to the driver."""
+    spark = texts.sparkSession
+    n_marks, n_counters = _table_size(theirs, MARK_BITS - 3) * 8, _table_size(theirs, COUNTER_BITS)
+    shift = np.uint64(64 - n_marks.bit_length() + 1)
+
+    def mark(batches):
+        import pyarrow as pa
+
+        marks = np.zeros(n_marks, bool)
+        for batch in batches:
+            marks[_shingles_of(batch.column(0).to_pylist())[0] >> shift] = True
+        packed = np.packbits(marks, bitorder="little").view(np.int64)
+        used = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(packed[used])], names=["place", "bits"])
+
+    found = theirs.select("words").mapInArrow(mark, "place LONG, bits LONG").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    packed = np.zeros(n_marks // 64, np.int64)
+    packed[found["place"].to_numpy()] = found["bits"].to_numpy()
+    given = spark.sparkContext.broadcast(Rarity(packed.view(np.uint8), np.zeros(n_counters, np.uint32)))
+
+    def count(batches):
         import pyarrow as pa
 
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        rarity, total = given.value, np.zeros(n_counters, np.int64)
         for batch in batches:
-            for words in batch.column(0).to_pylist():
-                np.add.at(total, shingle_hashes(word_hashes(words.split(" "))) >> np.uint64(64 - COUNTER_BITS), 1)
+            shingles = _shingles_of(batch.column(0).to_pylist())[0]
+            shingles = shingles[rarity.marked(shingles)] >> rarity.counter_shift
+            total += np.bincount(shingles.astype(np.int64), minlength=n_counters)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["counter", "n"])
 
-    counts = texts.select("words").mapInArrow(run, "counter LONG, n LONG").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << COUNTER_BITS, np.uint32)
+    counts = texts.select("words").mapInArrow(count, "counter LONG, n LONG").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(n_counters, np.uint32)
     total[counts["counter"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 2**32 - 1)
-    return total
+    return Rarity(packed.view(np.uint8), total)
 
 
-def _prefixes(texts: DataFrame, counters) -> DataFrame:
-    """(fingerprint, length, shingle, place, rarest) of the rare prefix of every text; rarest marks the part that serves partners no longer than the text."""
+def _prefixes(texts: DataFrame, given) -> DataFrame:
+    """(fingerprint, length, shingle, place, rarest) of the rare prefix of every text; rarest marks the part that serves partners no longer than the text.
+
+    Shingles of the prefix that no evaluation text holds can't meet a partner and are left out once the prefix is known.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        rarity = given.value
         for batch in batches:
+            prints, lengths = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            shingles, at = _shingles_of(batch.column(1).to_pylist())
+            marked = rarity.marked(shingles)
             out: list[tuple] = []
-            for fingerprint, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes = word_hashes(words.split(" "))
-                shingles = shingle_hashes(hashes)
-                places, few = rare_prefix(shingles, counters.value, len(hashes))
-                out.append((np.full(len(places), len(hashes), np.int32), shingles[places].view(np.int64), places.astype(np.int32), np.arange(len(places)) < few, [fingerprint] * len(places)))
+            for i, (fingerprint, length) in enumerate(zip(prints, lengths, strict=True)):
+                own = shingles[at[i] : at[i + 1]]
+                places, few = rare_prefix(own, rarity.order(own), length)
+                held = marked[at[i] : at[i + 1]][places]
+                places, rarest = places[held], (np.arange(len(places)) < few)[held]
+                out.append((np.full(len(places), length, np.int32), own[places].view(np.int64), places.astype(np.int32), rarest, [fingerprint] * len(places)))
             if out:
-                lengths, shingle, place, rarest = (np.concatenate([o[i] for o in out]) for i in range(4))
+                lengths_, shingle, place, rarest = (np.concatenate([o[k] for o in out]) for k in range(4))
                 names = [f for o in out for f in o[4]]
-                columns = [pa.array(names, pa.binary()), pa.array(lengths), pa.array(shingle), pa.array(place), pa.array(rarest)]
+                columns = [pa.array(names, pa.binary()), pa.array(lengths_), pa.array(shingle), pa.array(place), pa.array(rarest)]
                 yield pa.RecordBatch.from_arrays(columns, names=["fingerprint", "length", "shingle", "place", "rarest"])
 
-    return texts.select("fingerprint", "words").mapInArrow(run, "fingerprint BINARY, length INT, shingle LONG, place INT, rarest BOOLEAN")
+    return texts.select("fingerprint", "words", "length").mapInArrow(run, "fingerprint BINARY, length INT, shingle LONG, place INT, rarest BOOLEAN")
 
 
 def _verified(candidates: DataFrame) -> DataFrame:
@@ -222,17 +311,18 @@ def overlapping_texts(train: DataFrame, test: DataFrame) -> tuple[DataFrame, Dat
     spark = train.sparkSession
     rows = _distinct_texts(train, "train", ["row_id"]).unionByName(_distinct_texts(test, "test", ["row_id", "split", "source"]), allowMissingColumns=True)
     rows = cut(rows, "rows")
-    members = rows.drop("words").dropDuplicates(["side", "row_id", "fingerprint"])
-    texts = cut(rows.groupBy("side", "fingerprint").agg(F.first("words").alias("words")), "texts")
-    counters = spark.sparkContext.broadcast(_shingle_counts(texts))  # 4 MB
-    ours, theirs = (texts.where(F.col("side") == s).select("fingerprint", "words") for s in ("train", "test"))
-    probe = _prefixes(ours, counters).toDF("train_print", "train_length", "shingle", "train_place", "train_rarest")
-    index = _prefixes(theirs, counters).toDF("test_print", "test_length", "shingle", "test_place", "test_rarest")
+    members = rows.drop("words", "length").dropDuplicates(["side", "row_id", "fingerprint"])
+    texts = cut(rows.groupBy("side", "fingerprint").agg(F.first("words").alias("words"), F.first("length").alias("length")), "texts")
+    ours, theirs = (texts.where(F.col("side") == s).select("fingerprint", "words", "length") for s in ("train", "test"))
+    rarity = spark.sparkContext.broadcast(_rarity(texts, theirs))  # at most 24 MB
+    ours_, theirs_ = ours.select("fingerprint", "words"), theirs.select("fingerprint", "words")
+    probe = _prefixes(ours, rarity).toDF("train_print", "train_length", "shingle", "train_place", "train_rarest")
+    index = _prefixes(theirs, rarity).toDF("test_print", "test_length", "shingle", "test_place", "test_rarest")
     most = F.floor(F.greatest("train_length", "test_length") * F.lit(EDITS) / F.lit(PER_WORDS))
     near = (F.abs(F.col("train_length") - F.col("test_length")) <= most) & (F.abs(F.col("train_place") - F.col("test_place")) <= most)
     longer = F.when(F.col("train_length") >= F.col("test_length"), F.col("train_rarest")).otherwise(F.col("test_rarest"))
     pairs = probe.join(index, "shingle").where(longer & near).select("train_print", "test_print").distinct()
-    pairs = pairs.join(ours.toDF("train_print", "a"), "train_print").join(theirs.toDF("test_print", "b"), "test_print")
+    pairs = pairs.join(ours_.toDF("train_print", "a"), "train_print").join(theirs_.toDF("test_print", "b"), "test_print")
     return _verified(pairs.select("train_print", "test_print", "a", "b")), members
 
 
@@ -250,14 +340,27 @@ def _expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def report(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Per split and source (trimmed, in lower case; '' for null) of the test rows: rows with a partner, and pairs."""
-    pairs, members = overlapping_texts(train, test)
+    """Per split and source (trimmed, in lower case; '' for null) of the test rows: rows with a partner, and pairs.
+
+    Pairs are counted, not made: a link of two texts stands for the rows of the one times the rows of
+    the other. Only rows that came with several texts, which may be linked twice, are paired one by one.
+    """
+    links, members = overlapping_texts(train, test)
+    links = cut(links, "links")
     side = [F.coalesce(F.lower(F.trim(c)), F.lit("")).alias(c) for c in ("split", "source")]
-    return (
-        _expanded(pairs, members)
-        .select("row_id_a", "row_id_b", *side)
-        .groupBy("split", "source", "row_id_b")
-        .agg(F.count_distinct("row_id_a").alias("n"))
-        .groupBy("split", "source")
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("pairs"))
-    )
+    ours = members.where("side = 'train' and row_id is not null").select(F.col("fingerprint").alias("train_print"), F.col("row_id").alias("row_id_a")).distinct()
+    theirs = members.where("side = 'test' and row_id is not null").select(F.col("fingerprint").alias("test_print"), F.col("row_id").alias("row_id_b"), *side).distinct()
+    several = ours.groupBy("row_id_a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_id_a")
+    several = cut(ours.join(several, "row_id_a", "left_semi"), "several")
+    twice = theirs.select("row_id_b", "test_print").distinct().groupBy("row_id_b").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("row_id_b")
+    twice = cut(theirs.join(twice, "row_id_b", "left_semi"), "twice")
+    sizes = ours.groupBy("train_print").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.join(several.groupBy("train_print").agg(F.count(F.lit(1)).alias("s")), "train_print", "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    per_text = links.join(sizes, "train_print").groupBy("test_print").agg(F.sum(F.col("n") - F.col("s")).alias("n"))
+    plain = theirs.join(twice.select("row_id_b").distinct(), "row_id_b", "left_anti").join(per_text, "test_print").select("row_id_b", "split", "source", "n")
+    # rows of several texts on either side: one row for each pair, then distinct
+    mixed = links.join(several, "train_print").join(theirs, "test_print").select("row_id_a", "row_id_b", "split", "source")
+    mixed = mixed.unionByName(links.join(ours, "train_print").join(twice, "test_print").select("row_id_a", "row_id_b", "split", "source")).distinct()
+    rows = plain.unionByName(mixed.groupBy("row_id_b", "split", "source").agg(F.count(F.lit(1)).alias("n"))).where("n > 0")
+    per_row = rows.groupBy("split", "source", "row_id_b").agg(F.sum("n").alias("n"))
+    return per_row.groupBy("split", "source").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("pairs"))
