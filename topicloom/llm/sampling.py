@@ -172,8 +172,10 @@ def reservoir_sample(stream: DataFrame, k: int = 64, min_tokens: int = 5, seed:
     for i, (piece, line, page, slot) in enumerate(places):
         seen += counts.get(i, 0)
         index.append((piece, line, page, slot, seen))
-    chosen = F.broadcast(spark.createDataFrame(index, "piece_id INT, line_no INT, page_id STRING, slot INT, eligible_index LONG"))  # at most k rows
-    texts = _eligible_deliveries(stream, min_tokens).join(chosen, ["piece_id", "line_no", "page_id"])
+    chosen = F.broadcast(spark.createDataFrame(index, "piece_id INT, line_no INT, page_id STRING, slot INT, eligible_index LONG"))  # at most k rows; only their lines are parsed again
+    last = F.lit(2**31 - 1)
+    near = stream.join(chosen.select(F.col("piece_id").alias("_p"), F.col("line_no").alias("_n")).distinct(), (F.coalesce("piece_id", last) == F.col("_p")) & (F.coalesce("line_no", last) == F.col("_n")), "left_semi")
+    texts = _eligible_deliveries(near, min_tokens).join(chosen, ["piece_id", "line_no", "page_id"])
     return texts.groupBy("slot", "eligible_index").agg(F.min("row_json").alias("row_json"))  # a line that came twice counts once
 
 
