@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from topicloom.functions import numeric as N
+from topicloom.session import cut
+
+#: Topics that are broadcast at once; more are compared and scored by blocks of as many.
+TOPIC_BLOCK = 10_000
 
 
 def valid_latest(df: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -78,10 +84,46 @@ def ranked(df: DataFrame, by: list[str], score: str, tie: list[str], n: int) ->
     return df.withColumn("_s", N.r6(score)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("_s")
 
 
+def matrix(column):
+    """The NumPy matrix of an Arrow list column whose lists all have one length."""
+    import numpy as np
+
+    flat = np.asarray(column.flatten(), dtype=np.float64)
+    if len(flat) % max(len(column), 1) or len(column) and set(np.unique(np.asarray(column.value_lengths()))) != {len(flat) // len(column)}:
+        raise ValueError("vectors of unlike lengths")
+    return flat.reshape(len(column), -1)
+
+
 def mean_vectors(vectors: DataFrame, by: str, vec: str = "vec") -> DataFrame:
-    """(by, n, total, dim): element-wise sums, added up per position with partial aggregation."""
-    rows = vectors.select(by, F.posexplode(vec).alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    packed = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("v"), F.max("n").alias("n"))
+    """(by, n, total, dim): element-wise sums. Each partition adds up its vectors, so D numbers per group and partition are shuffled."""
+    rows = vectors.select(by, F.col(vec).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
+    schema = rows.select(by).schema.add("n", "long").add("total", T.ArrayType(T.DoubleType()))
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums: dict = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, coded = matrix(batch.column(1)), batch.column(0).dictionary_encode()
+            codes = np.asarray(coded.indices.fill_null(len(coded.dictionary)))
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(codes[order]) != 0))
+            counts = np.diff(np.append(starts, len(order)))
+            keys = [*coded.dictionary.to_pylist(), None]
+            for code, n, total in zip(codes[order[starts]], counts, np.add.reduceat(x[order], starts), strict=True):
+                old = sums.get(keys[code], (0, 0.0))
+                sums[keys[code]] = (old[0] + int(n), old[1] + total)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), kind_of), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([t.tolist() for _, t in sums.values()], pa.list_(pa.float64()))], names=[by, "n", "total"])
+
+    kind_of = to_arrow_type(schema[by].dataType)
+    parts = rows.mapInArrow(add, schema)
+    counted = parts.groupBy(by).agg(F.sum("n").alias("n"))
+    cells = parts.select(by, F.posexplode("total").alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("s"))
+    packed = cells.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("v"))
+    packed = packed.join(counted, packed[by].eqNullSafe(counted[by])).drop(counted[by])
     return packed.select(by, "n", F.transform("v", lambda x: x["s"]).alias("total"), F.size("v").alias("dim"))
 
 
@@ -94,13 +136,19 @@ def topic_parameters(vectors: DataFrame, by: str = "topic_id", vec: str = "vec",
     return s.select(by, "n", N.unit_safe("total").alias("mean"), "resultant", k.alias("kappa"))
 
 
-def topic_similarity(topics: DataFrame, by: str = "topic_id", mean: str = "mean") -> DataFrame:
-    """(a, b, cosine) with a < b of all topics; topics are few by nature, at most 10,000 are accepted."""
-    if topics.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 topics: compare them by blocks")
-    left = topics.select(F.col(by).alias("a"), F.col(mean).alias("x"))
-    right = F.broadcast(topics.select(F.col(by).alias("b"), F.col(mean).alias("y")))
-    return left.join(right, F.col("a") < F.col("b")).select("a", "b", N.cosine("x", "y").alias("cosine"))
+def topic_similarity(topics: DataFrame, by: str = "topic_id", mean: str = "mean", block: int = TOPIC_BLOCK) -> DataFrame:
+    """(a, b, cosine) with a < b of all topics. Up to block topics are broadcast; of more, every pair of blocks meets once, in a join on the two blocks."""
+    rows = topics.select(F.col(by).alias("id"), F.col(mean).alias("v"))
+    n = rows.count()
+    if n <= block:
+        left, right = rows.toDF("a", "x"), F.broadcast(rows.toDF("b", "y"))
+        return left.join(right, F.col("a") < F.col("b")).select("a", "b", N.cosine("x", "y").alias("cosine"))
+    blocks = -(-n // block)
+    own = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = own.select("id", "v", "g", F.least("g", "h").alias("lo"), F.greatest("g", "h").alias("hi"))
+    both = own.toDF("a", "x", "ga", "lo", "hi").join(own.toDF("b", "y", "gb", "lo", "hi"), ["lo", "hi"])
+    once = (F.col("a") < F.col("b")) & ((F.col("lo") == F.col("hi")) | (F.col("ga") != F.col("gb")))
+    return both.where(once).select("a", "b", N.cosine("x", "y").alias("cosine"))
 
 
 def overlap_metrics(similarity: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -113,12 +161,16 @@ def overlap_metrics(similarity: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def scored_against(vectors: DataFrame, topics: DataFrame, key: str, vec: str = "vec", by: str = "topic_id") -> DataFrame:
-    """(key, topic_id, dot, kappa) of every vector with every topic: topics are few and broadcast behind a check."""
-    if topics.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 topics: score them by blocks")
-    rows = vectors.select(key, vec).crossJoin(F.broadcast(topics.select(F.col(by).alias("topic_id"), "mean", "kappa")))  # vectors x K cells, as the model asks
-    return rows.select(key, "topic_id", N.dot(vec, "mean").alias("dot"), "kappa")
+def scored_against(vectors: DataFrame, topics: DataFrame, key: str, vec: str = "vec", by: str = "topic_id", block: int = TOPIC_BLOCK) -> DataFrame:
+    """(key, topic_id, dot, kappa) of every vector with every topic, vectors x K cells as the model asks. Topics are broadcast, in blocks of bounded size if there are many; nothing is shuffled."""
+    rows, given = vectors.select(key, vec), topics.select(F.col(by).alias("topic_id"), "mean", "kappa")
+    blocks = max(1, -(-given.count() // block))
+    out = None
+    for i in range(blocks):
+        part = given if blocks == 1 else given.where(F.pmod(F.xxhash64("topic_id"), F.lit(blocks)) == i)
+        one = rows.crossJoin(F.broadcast(part)).select(key, "topic_id", N.dot(vec, "mean").alias("dot"), "kappa")  # about block topics
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def hard_topic(scores: DataFrame, key: str, score: str) -> DataFrame:
@@ -148,72 +200,124 @@ def confusion_metrics(pairs: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def moments(vectors: DataFrame, key: str, vec: str = "vec") -> DataFrame:
-    """(i, j, mean_i, covariance) for i <= j from one pass of sums and sums of products; D^2 rows whatever the input."""
-    cells = vectors.select(key, vec, F.posexplode(vec).alias("i", "x"))
-    cells = cells.select(F.col("i"), F.col("x"), F.posexplode(vec).alias("j", "y")).where("i <= j")
-    sums = cells.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    """(i, j, mean_i, covariance) for i <= j. Each partition makes its sums and its matrix of products, D^2 numbers, which are then added up."""
+    rows = vectors.select(F.col(vec).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        n, sums, products = 0, 0.0, 0.0
+        for batch in batches:
+            if len(batch):
+                x = matrix(batch.column(0))
+                n, sums, products = n + len(x), sums + x.sum(0), products + x.T @ x
+        if n:
+            i, j = np.triu_indices(len(sums))
+            columns = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.full(len(i), n)), pa.array(sums[i]), pa.array(sums[j]), pa.array(products[i, j])]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "n", "sx", "sy", "sxy"])
+
+    parts = rows.mapInArrow(add, "i INT, j INT, n LONG, sx DOUBLE, sy DOUBLE, sxy DOUBLE")
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
     return sums.select("i", "j", (F.col("sx") / F.col("n")).alias("mean_i"), ((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)).alias("covariance"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, key: str, k: int, vec: str = "vec", block: int = 4096) -> DataFrame:
-    """(query, neighbour, similarity, rank): the k most similar other rows of every query by cosine, exactly.
+#: Queries compared at once, and the results that a task keeps before it puts them out.
+QUERY_BLOCK, KEPT_RESULTS = 512, 5_000_000
 
-    Queries are taken in blocks of bounded size; each block is sent to all partitions, which keep its
-    k best of their rows, so what is shuffled is k rows per query and partition.
-    """
-    import numpy as np
 
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, k: int, vec: str = "vec", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, neighbour, similarity, rank): the k most similar other rows of every query by cosine, exactly; ties by the smaller key.
+
+    Queries are written once to the shared folder. In one scan of the vectors, every task reads them
+    block by block beside each batch of its rows and keeps the k best of each query, so its memory
+    is a block times a batch; what is shuffled is k rows per query and partition.
+    """
+    asked = cut(queries.select(key, F.col(vec).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull()), "queries")
+    files, n_queries = asked.inputFiles(), asked.count()
     spark = vectors.sparkSession
-    parts, last = [], None
-    while True:
-        chosen = queries.select(key, vec).orderBy(key) if last is None else queries.select(key, vec).where(F.col(key) > last).orderBy(key)
-        rows = chosen.limit(block).collect()  # at most block vectors
-        if not rows:
-            break
-        last = rows[-1][key]
-        m = np.array([r[vec] for r in rows], dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sent = spark.sparkContext.broadcast((np.array([r[key] for r in rows]), m))
-
-        def best(batches, sent=sent):
-            import pandas as pd
-
-            names, q = sent.value
-            top_s = np.full((len(names), k), -np.inf)
-            top_i = np.full((len(names), k), -1, dtype=np.int64)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.vstack(pdf[vec].to_numpy()).astype(np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                ids = pdf[key].to_numpy(np.int64)
+    keep_all = n_queries * k <= KEPT_RESULTS
+
+    def blocks():
+        import numpy as np
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        for name in files:
+            system, inner = fs.FileSystem.from_uri(name)
+            with system.open_input_file(inner) as handle:
+                for batch in pq.ParquetFile(handle).iter_batches(block):
+                    q = matrix(batch.column(1))
+                    yield np.asarray(batch.column(0), dtype=np.int64), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+    def best(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def rows(state):
+            for names, tops in state.values():
+                flat = [(q, i, s) for q, top in zip(names.tolist(), tops, strict=True) for s, i in top]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64()), pa.array([-x[2] for x in flat], pa.float64())], names=["query", "neighbour", "similarity"])
+
+        held, state = None, {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, ids = matrix(batch.column(1)), np.asarray(batch.column(0), dtype=np.int64)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            if keep_all and held is None:
+                held = list(blocks())
+            for number, (names, q) in enumerate(held if keep_all else blocks()):
                 s = np.round(q @ x.T, 9)
                 s[names[:, None] == ids[None, :]] = -np.inf
-                both = np.concatenate([top_s, s], axis=1)
-                who = np.concatenate([top_i, np.broadcast_to(ids, s.shape)], axis=1)
-                order = np.lexsort((who, -both), axis=1)[:, :k]
-                top_s, top_i = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
-            keep = top_i >= 0
-            yield pd.DataFrame({"query": np.repeat(names, k)[keep.ravel()], "neighbour": top_i[keep], "similarity": top_s[keep]})
-
-        parts.append(vectors.select(key, vec).mapInPandas(best, "query LONG, neighbour LONG, similarity DOUBLE"))
-    if not parts:
-        return spark.createDataFrame([], "query LONG, neighbour LONG, similarity DOUBLE, rank INT")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+                _, tops = state.setdefault(number, (names, [[] for _ in names]))
+                if s.shape[1] > k:
+                    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                else:
+                    least = np.full(len(s), -np.inf)
+                least = np.maximum(least, [-t[-1][0] if len(t) == k else -np.inf for t in tops])
+                for r in range(len(names)):  # about k rows pass
+                    at = np.flatnonzero((s[r] >= least[r]) & (s[r] > -np.inf))
+                    if len(at):
+                        tops[r] = sorted([*tops[r], *zip((-s[r, at]).tolist(), ids[at].tolist(), strict=True)])[:k]
+            if not keep_all:
+                yield from rows(state)
+                state = {}
+        yield from rows(state)
+
+    found = vectors.select(key, F.col(vec).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull()).mapInArrow(best, "query LONG, neighbour LONG, similarity DOUBLE")
     order = W.partitionBy("query").orderBy(F.col("similarity").desc(), "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) if files else spark.createDataFrame([], "query LONG, neighbour LONG, similarity DOUBLE, rank INT")
 
 
 def greedy_unique(pairs: DataFrame, order: list, a: str = "a", b: str = "b", most: int = 100_000) -> DataFrame:
-    """Pairs in order, each taken unless one of its documents is taken already. It walks a checked, small frame on the driver."""
+    """Pairs in ascending order of the columns order, each taken unless one of its documents is taken already.
+
+    Up to most pairs are walked on the driver. More go in rounds: a pair that comes first among all
+    that touch either of its documents is taken, pairs that touch a taken document leave, until none
+    is left. Both ways take the same pairs, since the order has no ties but of equal pairs.
+    """
+    spark = pairs.sparkSession
     rows = pairs.orderBy(*order).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} candidate pairs")
-    used, out = set(), []
-    for r in rows:
-        if r[a] not in used and r[b] not in used:
-            used |= {r[a], r[b]}
-            out.append(r)
-    return pairs.sparkSession.createDataFrame(out, pairs.schema)
+    if len(rows) <= most:
+        used, out = set(), []
+        for r in rows:
+            if r[a] not in used and r[b] not in used:
+                used |= {r[a], r[b]}
+                out.append(r)
+        return spark.createDataFrame(out, pairs.schema)
+    left = cut(pairs.distinct().withColumn("_o", F.struct(*order, F.col(a), F.col(b))), "pairs")
+    taken = []
+    while not left.isEmpty():
+        ends = left.select(F.col(a).alias("_d"), "_o").unionByName(left.select(F.col(b).alias("_d"), "_o"))
+        first = ends.groupBy("_d").agg(F.min("_o").alias("_f"))
+        now = left.join(first.toDF("_a", "_fa"), F.col(a) == F.col("_a")).where("_o = _fa").drop("_a", "_fa")
+        now = cut(now.join(first.toDF("_b", "_fb"), F.col(b) == F.col("_b")).where("_o = _fb").drop("_b", "_fb"), "taken")
+        taken.append(now)
+        gone = now.select(F.explode(F.array(a, b)).alias("_d")).distinct()
+        rest = left.join(gone.toDF("_a"), F.col(a) == F.col("_a"), "left_anti").join(gone.toDF("_b"), F.col(b) == F.col("_b"), "left_anti")
+        left = cut(rest, "pairs")
+    out = taken[0]
+    for more in taken[1:]:
+        out = out.unionByName(more)
+    return out.drop("_o")

@@ -43,9 +43,10 @@ def top_words(scores: DataFrame, n: int, score: str = "score") -> DataFrame:
 
 
 def row_normal(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """value over its sum in by; 0 where the sum is 0."""
-    mass = F.sum(value).over(W.partitionBy(*by))
-    return df.withColumn(out, F.coalesce(F.try_divide(F.col(value), F.when(mass != 0, mass)), F.lit(0.0)))
+    """value over its sum in by; 0 where the sum is 0. Sums are made first and joined, so no group is gathered."""
+    mass = df.groupBy(*by).agg(F.sum(value).alias("_mass"))
+    share = F.coalesce(F.try_divide(F.col(value), F.when(F.col("_mass") != 0, F.col("_mass"))), F.lit(0.0))
+    return df.join(mass, by).withColumn(out, share).drop("_mass")
 
 
 def diversity(tops: DataFrame) -> DataFrame:
@@ -61,19 +62,37 @@ def word_pairs(tops: DataFrame) -> DataFrame:
 
 
 def occurrences(toks: DataFrame, words: DataFrame, window: int | None) -> DataFrame:
-    """(doc_id, term, wins): the numbers of the windows of a document that hold a target word; one window 0 without a size.
+    """(doc_id, term, wins): the windows of a document that hold a target word, as an array of runs (s, e) of their numbers; the one window 0 without a size.
 
-    Only target words are kept before windows are formed. A document of n tokens has max(1, n - window + 1) windows.
+    Only target words are kept before windows are formed. A document of n tokens has max(1, n - window + 1)
+    windows; a place p lies in those from p - window + 1 to p, and places no further apart than a window
+    share one run, so a word takes two numbers per run however often it occurs.
     """
     if window is None:
         hits = toks.join(words.select("term").distinct(), "term", "left_semi")
-        return hits.select("doc_id", "term").distinct().withColumn("wins", F.array(F.lit(0)))
+        return hits.select("doc_id", "term").distinct().withColumn("wins", F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"))))
     sized = toks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     hits = toks.join(words.select("term").distinct(), "term", "left_semi")
-    spots = hits.groupBy("doc_id", "term").agg(F.collect_list("pos").alias("ps")).join(sized, "doc_id")
+    spots = hits.groupBy("doc_id", "term").agg(F.array_sort(F.collect_list(F.col("pos").cast("int"))).alias("ps")).join(sized, "doc_id")
     last = F.greatest(F.col("n") - window, F.lit(0)).cast("int")
-    spans = F.flatten(F.transform("ps", lambda p: F.sequence(F.greatest(p - (window - 1), F.lit(0)), F.least(p, last))))
-    return spots.select("doc_id", "term", F.array_distinct(F.filter(spans, lambda x: x >= 0)).alias("wins"))
+    first = F.filter("ps", lambda p, i: (i == 0) | (p - F.get("ps", i - 1) > window))
+    final = F.filter("ps", lambda p, i: (i == F.size("ps") - 1) | (F.get("ps", i + 1) - p > window))
+    runs = F.zip_with(first, final, lambda a, b: F.struct(F.greatest(a - (window - 1), F.lit(0)).alias("s"), F.least(b, last).alias("e")))
+    return spots.select("doc_id", "term", runs.alias("wins"))
+
+
+def run_length(runs: Column) -> Column:
+    """How many numbers disjoint runs hold."""
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + (r["e"] - r["s"] + 1).cast("long"))
+
+
+def joint_length(runs: Column) -> Column:
+    """How many numbers lie in at least one of the runs, which may overlap."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("reach"))
+    grow = lambda a, r: F.struct(
+        (a["n"] + F.greatest(r["e"] - F.greatest(r["s"], a["reach"] + 1) + 1, F.lit(0)).cast("long")).alias("n"), F.greatest(a["reach"], r["e"]).alias("reach")
+    )
+    return F.aggregate(F.array_sort(runs), start, grow, lambda a: a["n"])
 
 
 def window_total(toks: DataFrame, window: int | None) -> DataFrame:
@@ -86,13 +105,14 @@ def window_total(toks: DataFrame, window: int | None) -> DataFrame:
 def cooccurrence(toks: DataFrame, tops: DataFrame, window: int | None) -> tuple[DataFrame, DataFrame]:
     """((term, c), (w1, w2, c)): windows with each target word, and with both words of each pair that stands in some topic."""
     occ = cut(occurrences(toks, tops, window), "occurrences")
-    singles = occ.groupBy("term").agg(F.sum(F.size("wins").cast("long")).alias("c"))
+    singles = occ.groupBy("term").agg(F.sum(run_length(F.col("wins"))).alias("c"))
     wanted = word_pairs(tops).select("w1", "w2").distinct()
     left = occ.select("doc_id", F.col("term").alias("w1"), F.col("wins").alias("a")).join(wanted, "w1")
     right = occ.select("doc_id", F.col("term").alias("w2"), F.col("wins").alias("b"))
     both = left.join(right, ["doc_id", "w2"])
-    pairs = both.groupBy("w1", "w2").agg(F.sum(F.size(F.array_intersect("a", "b")).cast("long")).alias("c"))
-    return cut(singles, "singles"), cut(pairs.where("c > 0"), "pairs")
+    common = run_length(F.col("a")) + run_length(F.col("b")) - joint_length(F.concat("a", "b"))
+    pairs = both.groupBy("w1", "w2").agg(F.sum(common).alias("c"))
+    return singles, pairs.where("c > 0")
 
 
 def _counted_pairs(toks: DataFrame, tops: DataFrame, window: int | None, counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -144,23 +164,25 @@ def coherence_cv(toks: DataFrame, tops: DataFrame, window: int = 110, min_freque
     co = F.when(F.col("cij") < min_frequency, F.lit(0)).otherwise(F.col("cij"))
     below = -F.ln(co / n + EPS)
     value = F.when(low, F.lit(0.0)).when(co >= n, F.lit(1.0)).otherwise(F.ln((co / n + EPS) / ((F.greatest("ci", F.lit(1)) / n) * (F.greatest("cj", F.lit(1)) / n))) / below)
-    cells = cells.withColumn("v", value)
+    cells = cut(cells.select(*AXES, "w1", "w2", value.alias("v")), "cells")  # read twice
     vectors = cells.groupBy(*AXES, "w1").agg(F.transform(F.array_sort(F.collect_list(F.struct("w2", "v"))), lambda x: x["v"]).alias("vec"))
     sums = cells.groupBy(*AXES, "w2").agg(F.sum("v").alias("t")).groupBy(*AXES).agg(F.transform(F.array_sort(F.collect_list(F.struct("w2", "t"))), lambda x: x["t"]).alias("topic"))
     return vectors.join(sums, AXES).groupBy(*AXES).agg(F.avg(cosine("vec", "topic")).alias("coherence"))
 
 
-def word_scores_by_assignment(counts: DataFrame, n_topics: Column) -> DataFrame:
-    """sqrt(max(occ - tot / K, 0)) * clip(occ / tot - 1 / K, 0, 1) of counts (data_run, topic_id, term, occ)."""
-    tot = F.sum("occ").over(W.partitionBy("data_run", "term"))
-    rows = counts.withColumn("tot", tot)
-    lift = F.sqrt(F.greatest(F.col("occ") - F.col("tot") / n_topics, F.lit(0.0)))
-    share = F.least(F.greatest(F.col("occ") / F.col("tot") - F.lit(1.0) / n_topics, F.lit(0.0)), F.lit(1.0))
-    return rows.withColumn("score", lift * share)
+def word_scores_by_assignment(counts: DataFrame) -> DataFrame:
+    """sqrt(max(occ - tot / K, 0)) * clip(occ / tot - 1 / K, 0, 1) of counts (data_run, topic_id, term, occ); K the topics of the run, tot the count of the term in it."""
+    topics = counts.groupBy("data_run").agg(F.count_distinct("topic_id").cast("double").alias("_k"))
+    rows = counts.join(counts.groupBy("data_run", "term").agg(F.sum("occ").alias("tot")), ["data_run", "term"]).join(topics, "data_run")
+    lift = F.sqrt(F.greatest(F.col("occ") - F.col("tot") / F.col("_k"), F.lit(0.0)))
+    share = F.least(F.greatest(F.col("occ") / F.col("tot") - F.lit(1.0) / F.col("_k"), F.lit(0.0)), F.lit(1.0))
+    return rows.withColumn("score", lift * share).drop("_k")
 
 
 def class_tfidf(counts: DataFrame) -> DataFrame:
-    """Term frequency in a topic times ln(1 + A / f): A the mean tokens of a topic, f the term's count over topics."""
-    mean = F.sum("occ").over(W.partitionBy("data_run")) / F.size(F.collect_set("topic_id").over(W.partitionBy("data_run")))
-    share = F.col("occ") / F.sum("occ").over(W.partitionBy(*AXES))
-    return counts.withColumn("score", share * F.ln(1 + mean / F.sum("occ").over(W.partitionBy("data_run", "term"))))
+    """Term frequency in a topic times ln(1 + A / f): A the mean tokens of a topic, f the term's count over topics. Sums are made first and joined."""
+    per_topic = counts.groupBy(*AXES).agg(F.sum("occ").alias("_n"))
+    mean = per_topic.groupBy("data_run").agg((F.sum("_n") / F.count(F.lit(1))).alias("_mean"))
+    per_term = counts.groupBy("data_run", "term").agg(F.sum("occ").alias("_f"))
+    rows = counts.join(per_term, ["data_run", "term"]).join(per_topic.join(mean, "data_run"), AXES)
+    return rows.withColumn("score", F.col("occ") / F.col("_n") * F.ln(1 + F.col("_mean") / F.col("_f"))).drop("_n", "_mean", "_f")

@@ -152,13 +152,13 @@ QUERIES = {
     "proxy_word_npmi_words": (_proxy("word_npmi", "doc"), lambda: _proxy_sql("word_npmi", "doc")),
     "sentence_proxy_words": (_proxy("word_npmi", "sentence"), lambda: _proxy_sql("word_npmi", "sentence")),
     "assignment_word_scores": (
-        lambda b: topicwords.top_words(topicwords.word_scores_by_assignment(_assigned_counts(b), F.size(F.collect_set("topic_id").over(__import__("pyspark").sql.Window.partitionBy("data_run"))).cast("double")), 10),
+        lambda b: topicwords.top_words(topicwords.word_scores_by_assignment(cut(_assigned_counts(b), "assigned")), 10),
         lambda: f"""{OCC}, k AS (SELECT data_run, count(DISTINCT topic_id)::DOUBLE AS k FROM occ GROUP BY data_run), t AS (SELECT data_run, term, sum(occ)::DOUBLE AS tot FROM occ GROUP BY ALL),
 s AS (SELECT data_run, topic_id, term, {r6('sqrt(greatest(occ - tot / k, 0.0)) * least(greatest(occ / tot - 1.0 / k, 0.0), 1.0)')} AS score FROM occ JOIN t USING (data_run, term) JOIN k USING (data_run))
 SELECT * FROM (SELECT data_run, topic_id, term, score, CAST(row_number() OVER (PARTITION BY data_run, topic_id ORDER BY score DESC, term) AS INTEGER) AS rank FROM s) WHERE rank <= 10""",
     ),
     "class_tfidf_words": (
-        lambda b: topicwords.top_words(topicwords.class_tfidf(_assigned_counts(b)), 10),
+        lambda b: topicwords.top_words(topicwords.class_tfidf(cut(_assigned_counts(b), "assigned")), 10),
         lambda: f"""{OCC}, a AS (SELECT data_run, sum(occ)::DOUBLE / count(DISTINCT topic_id) AS a FROM occ GROUP BY data_run), t AS (SELECT data_run, term, sum(occ)::DOUBLE AS f FROM occ GROUP BY ALL), n AS (SELECT data_run, topic_id, sum(occ)::DOUBLE AS n FROM occ GROUP BY ALL),
 s AS (SELECT data_run, topic_id, term, {r6('occ / n * ln(1 + a / f)')} AS score FROM occ JOIN t USING (data_run, term) JOIN n USING (data_run, topic_id) JOIN a USING (data_run))
 SELECT * FROM (SELECT data_run, topic_id, term, score, CAST(row_number() OVER (PARTITION BY data_run, topic_id ORDER BY score DESC, term) AS INTEGER) AS rank FROM s) WHERE rank <= 10""",

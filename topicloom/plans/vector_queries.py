@@ -109,7 +109,7 @@ def _pairs(b: Base):
 
 def _greedy_pairs(b: Base):
     rows = _pairs(b).withColumn("gap", F.col("far") - F.col("close"))
-    return topics.greedy_unique(rows, [F.col("gap").desc(), F.col("far").desc(), "a", "b"])
+    return topics.greedy_unique(rows, [-F.col("gap"), -F.col("far"), F.col("a"), F.col("b")])
 
 
 def _whitened(b: Base):
