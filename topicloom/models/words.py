@@ -9,72 +9,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.models.gibbs import hash_uniforms
+from topicloom.operators.topics import matrix, moments
 from topicloom.session import cut
 
+#: Documents that a task of the sentence model works on with the counts of their own words.
+BLOCK_DOCS = 2_000
+#: Bytes of word vectors up to which they are broadcast; beyond, tokens and vectors are joined by shuffle.
+VECTOR_BYTES = 256 << 20
 
-def sentence_lda(sentence_words: DataFrame, n_topics: int, iterations: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+
+def _sentence_evidence(rows: np.ndarray, seen: np.ndarray, totals: np.ndarray, beta: float, size: int) -> np.ndarray:
+    """Log Polya likelihood of a sentence's words under every topic: rows has the counts of each word, seen how often it stood before in the sentence."""
+    return np.log(rows + beta + seen[:, None]).sum(0) - np.log(totals + beta * size + np.arange(len(rows))[:, None]).sum(0)
+
+
+def sentence_factors(rows: np.ndarray, seen: np.ndarray, totals: np.ndarray, beta: float, size: int, doc: np.ndarray, alpha: float) -> np.ndarray:
+    """p(topic | sentence, counts): document counts doc plus alpha times the Polya likelihood, normalised."""
+    w = np.log(doc + alpha) + _sentence_evidence(rows, seen, totals, beta, size)
+    w = np.exp(w - w.max())
+    return w / w.sum()
+
+
+def _seen(ids: np.ndarray) -> np.ndarray:
+    """How often each word stood before at an earlier place."""
+    order = np.argsort(ids, kind="stable")
+    first = np.append(True, np.diff(ids[order]) != 0)
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))
+    return out
+
+
+def sentence_lda(sentence_words: DataFrame, n_topics: int, iterations: int = 5, seed: int = 0, block_docs: int = BLOCK_DOCS, soft: bool = False) -> tuple[DataFrame, DataFrame]:
     """((doc_id, sent_id, topic_id), (topic_id, term, cnt)) of a model with one topic per sentence and a Polya likelihood of its words.
 
     Input: (doc_id, sent_id, words ARRAY<STRING>). The topic-word counts are fixed within a sweep and
     merged after it, as distributed samplers of this model do; the sampler that updates them sentence
-    by sentence on one thread is approximated, not repeated. The counts are sparse: at most K times
-    the vocabulary's size, which is checked before they are broadcast.
+    by sentence on one thread is approximated, not repeated. Documents go in blocks, each beside the
+    counts of the words it holds, so no task and no broadcast has the whole vocabulary. With soft,
+    the first frame has p ARRAY<DOUBLE> as well: the topic weights of the last sweep, from which the
+    sentence's own words were taken out.
     """
     alpha = beta = 1.0 / n_topics
     docs = sentence_words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "words"))).alias("s"))
     docs = cut(docs.select("doc_id", F.transform("s", lambda x: x["sent_id"]).alias("units"), F.transform("s", lambda x: x["words"]).alias("ws")), "documents")
-    spark = docs.sparkSession
-    vocab = docs.select(F.explode(F.flatten("ws")).alias("term")).distinct().count()
-    if vocab * n_topics > 50_000_000:
-        raise ValueError("the topic-word counts would pass 50 million cells: restrict the vocabulary first")
+    blocks = max(1, -(-docs.count() // block_docs))
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    named = cut(docs.select("block", F.explode(F.flatten("ws")).alias("term")).distinct(), "block-words")
+    vocab = named.select("term").distinct().count()
     state, counts = docs.withColumn("z", F.lit(None).cast("array<int>")), None
     for it in range(iterations):
-        table = {}
-        if counts is not None:
-            for r in counts.collect():  # at most K x V cells, checked above
-                table.setdefault(r["term"], np.zeros(n_topics))[r["topic_id"]] = r["cnt"]
-        totals = sum(table.values(), np.zeros(n_topics)) if table else np.zeros(n_topics)
-        sent = spark.sparkContext.broadcast((table, totals))
-
-        def run(batches, sent=sent, it=it):
+        totals = np.zeros(n_topics)
+        if counts is None:
+            rows = named.withColumn("row", F.array().cast("array<struct<topic_id:int,cnt:bigint>>"))
+        else:
+            for r in counts.groupBy("topic_id").agg(F.sum("cnt").alias("n")).collect():  # K rows
+                totals[r["topic_id"]] = r["n"]
+            rows = named.join(counts.groupBy("term").agg(F.collect_list(F.struct("topic_id", "cnt")).alias("row")), "term", "left")
+
+        def one(docs_, words, it, totals):
             import pandas as pd
 
-            nkw, nk = sent.value
-            zero = np.zeros(n_topics)
-            for pdf in batches:
-                rows = []
-                for row in pdf.itertuples(index=False):
-                    n = len(row.units)
-                    u = hash_uniforms(seed, it, 0, int(row.doc_id), n)
-                    old = list(row.z) if row.z is not None else [-1] * n
-                    nd = np.bincount([t for t in old if t >= 0], minlength=n_topics).astype(float)
-                    z = []
-                    for i, words in enumerate(row.ws):
-                        if old[i] >= 0:
-                            nd[old[i]] -= 1
-                        w = np.log(nd + alpha)
-                        seen: dict = {}
-                        for j, word in enumerate(words):
-                            own = float(old[i] >= 0)
-                            base = nkw.get(word, zero).copy()
-                            total = nk.copy()
-                            if own:
-                                base[old[i]] = max(base[old[i]] - list(words).count(word), 0)
-                                total[old[i]] = max(total[old[i]] - len(words), 0)
-                            w += np.log(base + beta + seen.get(word, 0)) - np.log(total + beta * vocab + j)
-                            seen[word] = seen.get(word, 0) + 1
-                        c = np.cumsum(np.exp(w - w.max()))
-                        t = min(int(np.searchsorted(c, u[i] * c[-1], side="right")), n_topics - 1)
-                        nd[t] += 1
-                        z.append(t)
-                    rows.append((row.doc_id, z))
-                yield pd.DataFrame(rows, columns=["doc_id", "z"])
-
-        out = cut(state.mapInPandas(run, "doc_id LONG, z ARRAY<INT>"), f"sweep{it}")
-        state = docs.join(out, "doc_id")
+            at = {t: i for i, t in enumerate(words["term"])}
+            table = np.zeros((len(at), n_topics))
+            for i, row in enumerate(words["row"]):
+                for cell in row if row is not None else ():
+                    table[i, cell["topic_id"]] = cell["cnt"]
+            out = []
+            for doc_id, ws, old in zip(docs_["doc_id"], docs_["ws"], docs_["z"], strict=True):
+                u = hash_uniforms(seed, it, 0, int(doc_id), len(ws))
+                first = old is None
+                old = np.full(len(ws), -1) if first else np.asarray(old)
+                nd = np.bincount(old[old >= 0], minlength=n_topics).astype(float)
+                z, p = [], []
+                for i, words_ in enumerate(ws):
+                    ids = np.array([at[w] for w in words_], dtype=np.int64)
+                    base, total, seen = table[ids], totals, _seen(ids)
+                    if not first:
+                        k = old[i]
+                        nd[k] -= 1
+                        _, inverse, n = np.unique(ids, return_inverse=True, return_counts=True)
+                        base[:, k] = np.maximum(base[:, k] - n[inverse], 0)
+                        total = totals.copy()
+                        total[k] = max(total[k] - len(ids), 0)
+                    w = sentence_factors(base, seen, total, beta, vocab, nd, alpha)
+                    t = min(int(np.searchsorted(np.cumsum(w), u[i], side="right")), n_topics - 1)
+                    nd[t] += 1
+                    z.append(t)
+                    p.append(w.tolist())
+                out.append((doc_id, z, p if soft else []))
+            return pd.DataFrame(out, columns=["doc_id", "z", "p"])
+
+        def bound(it, totals):
+            return lambda docs_, words: one(docs_, words, it, totals)
+
+        done = state.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(bound(it, totals), "doc_id LONG, z ARRAY<INT>, p ARRAY<ARRAY<DOUBLE>>")
+        state = docs.join(cut(done, f"sweep{it}"), "doc_id")
         cells = state.select(F.explode(F.arrays_zip("ws", "z")).alias("c")).select(F.col("c.z").alias("topic_id"), F.explode("c.ws").alias("term"))
         counts = cut(cells.groupBy("topic_id", "term").agg(F.count(F.lit(1)).alias("cnt")), "counts")
-    assigned = state.select("doc_id", F.explode(F.arrays_zip("units", "z")).alias("c")).select("doc_id", F.col("c.units").alias("sent_id"), F.col("c.z").alias("topic_id"))
+    kept = [F.col("units"), F.col("z")] + ([F.col("p")] if soft else [])
+    assigned = state.select("doc_id", F.explode(F.arrays_zip(*kept)).alias("c")).select("doc_id", F.col("c.units").alias("sent_id"), F.col("c.z").alias("topic_id"), *([F.col("c.p").alias("p")] if soft else []))
     return assigned, counts
 
 
@@ -97,15 +130,12 @@ def online_lda(docs: DataFrame, n_topics: int, words: str = "words", rounds: int
     cv, rows = _count_vectors(docs, words, vocab)
     model = LDA(k=n_topics, maxIter=rounds, seed=seed, optimizer="online", subsamplingRate=0.2).fit(rows)
     theta = model.transform(rows).select("doc_id", F.posexplode(vector_to_array("topicDistribution")).alias("topic_id", "theta"))
-    names = F.array(*[F.lit(w) for w in cv.vocabulary]) if len(cv.vocabulary) < 2000 else None
-    top = model.describeTopics(10).select(F.col("topic").alias("topic_id"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(enumerate(cv.vocabulary)), "i INT, term STRING"))  # at most vocab words
-    words_ = top.join(table, F.col("t.termIndices") == F.col("i")).select("topic_id", "term", F.col("t.termWeights").alias("weight"))
-    return theta, words_ if names is None else words_
+    names = cv.vocabulary
+    top = [(r["topic"], names[i], float(w)) for r in model.describeTopics(10).collect() for i, w in zip(r["termIndices"], r["termWeights"], strict=True)]  # K times 10
+    return theta, docs.sparkSession.createDataFrame(top, "topic_id INT, term STRING, weight DOUBLE")
 
 
-def word2vec(docs: DataFrame, words: str = "words", size: int = 100, seed: int = 0, rounds: int = 1) -> DataFrame:
+def word2vec(docs: DataFrame, words: str = "words", size: int = 100, seed: int = 0, rounds: int = 20) -> DataFrame:
     """(word, vec) of skip-gram vectors with window 5, every word kept."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
@@ -131,15 +161,84 @@ def usif_weights(sentence_tokens: DataFrame, min_count: int = 1) -> DataFrame:
     return rows.select("term", "cnt", F.col("p").alias("probability"), (a / (F.col("p") + a / 2)).alias("weight"))
 
 
-def usif_vectors(sentence_tokens: DataFrame, weights: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, vec): weighted means of unit word vectors; words without a vector are left out, sentences without any have no row."""
+def weighted_means(sentence_tokens: DataFrame, weights: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, vec): the mean of weight times unit vector over the words of a sentence that have both; zeros for a sentence of which none has.
+
+    Vectors of bounded size are broadcast and each sentence is read in place. More are joined with the
+    tokens, and the vectors of a sentence are added up where it lies.
+    """
     from topicloom.functions.numeric import unit_safe
 
-    named = vectors.select(F.col("word").alias("term"), unit_safe(F.col("vec").cast("array<double>")).alias("vec"))
-    rows = sentence_tokens.join(weights.select("term", "weight"), "term").join(named, "term")
-    cells = rows.select("doc_id", "sent_id", "weight", F.posexplode("vec").alias("i", "x"))
-    sums = cells.groupBy("doc_id", "sent_id", "i").agg(F.avg(F.col("weight") * F.col("x")).alias("x"))
-    return sums.groupBy("doc_id", "sent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("vec"))
+    scaled = vectors.select(F.col("word").alias("term"), unit_safe(F.col("vec").cast("array<double>")).alias("u")).join(weights.select("term", "weight"), "term")
+    scaled = cut(scaled.select("term", F.transform("u", lambda x: x * F.col("weight")).alias("v")), "weighted")
+    size = scaled.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    n, d = size["n"], size["d"] or 1
+    sents = sentence_tokens.groupBy("doc_id", "sent_id")
+    if n * d * 8 <= VECTOR_BYTES:
+        held = scaled.toArrow()
+        given = sentence_tokens.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(held["term"].to_pylist())}, matrix(held["v"].combine_chunks()) if n else np.zeros((0, d))))
+
+        def mean(batches):
+            import pyarrow as pa
+
+            at, table = given.value
+            for batch in batches:
+                out = []
+                for terms in batch.column(2).to_pylist():
+                    ids = [at[t] for t in terms if t in at]
+                    out.append((table[ids].sum(0) / len(ids) if ids else np.zeros(d)).tolist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "sent_id", "vec"])
+
+        lists = sents.agg(F.sort_array(F.collect_list("term")).alias("terms"))
+        schema = lists.select("doc_id", "sent_id").schema.add("vec", "double")
+        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields[:2])
+        return lists.mapInArrow(mean, f"{kind}, vec ARRAY<DOUBLE>")
+    rows = sentence_tokens.join(scaled, "term", "left").groupBy("doc_id", "sent_id").agg(F.collect_list("v").alias("vs"))
+    zero = F.array_repeat(F.lit(0.0), d)
+    summed = F.aggregate("vs", zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return rows.select("doc_id", "sent_id", F.transform(summed, lambda x: x / F.greatest(F.size("vs"), F.lit(1))).alias("vec"))
+
+
+def principal(sentence_vectors: DataFrame, n_components: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(directions, weights) of the first components of the centred vectors: from D^2 sums that executors add up; weights are squared singular values over the sum of those kept."""
+    cells = moments(sentence_vectors, "sent_id").collect()  # D (D + 1) / 2 rows
+    if not cells or cells[0]["covariance"] is None:
+        return np.zeros((0, 0)), np.zeros(0)
+    d = max(c["j"] for c in cells) + 1
+    cov = np.zeros((d, d))
+    for c in cells:
+        cov[c["i"], c["j"]] = cov[c["j"], c["i"]] = c["covariance"]
+    values, directions = np.linalg.eigh(cov)
+    order = np.argsort(-values)[:n_components]
+    kept = np.maximum(values[order], 0)
+    return directions[:, order].T, kept / kept.sum() if kept.sum() > 0 else np.zeros(len(kept))
+
+
+def without_components(sentence_vectors: DataFrame, directions: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """The vectors less their weighted projections on the directions, taken off one after the other; zero vectors stay zero."""
+    if not len(directions):
+        return sentence_vectors
+    given = sentence_vectors.sparkSession.sparkContext.broadcast((directions, weights))  # D numbers per component
+    at = sentence_vectors.columns.index("vec")
+
+    def take(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = matrix(batch.column(at)).copy() if len(batch) else np.zeros((0, 1))
+            for direction, weight in zip(*given.value, strict=True) if len(batch) else ():
+                x -= weight * np.outer(x @ direction, direction)
+            columns = list(batch.columns)
+            columns[at] = pa.array(x.tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return sentence_vectors.mapInArrow(take, sentence_vectors.schema)
+
+
+def usif_vectors(sentence_tokens: DataFrame, weights: DataFrame, vectors: DataFrame, n_components: int = 5) -> DataFrame:
+    """(doc_id, sent_id, vec): weighted means of unit word vectors less their first common components; a sentence without a known word has a zero vector."""
+    means = cut(weighted_means(sentence_tokens, weights, vectors), "means")
+    return without_components(means, *principal(means, n_components))
 
 
 def logistic(train: DataFrame, test: DataFrame, features: str, label: str, key: str) -> DataFrame:
@@ -155,5 +254,18 @@ def logistic(train: DataFrame, test: DataFrame, features: str, label: str, key:
     return model.transform(ready(test)).select(key, F.col(label).alias("truth"), F.get(names, F.col("prediction").cast("int")).alias("guess"))
 
 
+def linear_svm(train: DataFrame, test: DataFrame, features: str, label: str, key: str) -> DataFrame:
+    """(key, truth, guess) of linear support vector machines, one class against the rest."""
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+
+    index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="skip", stringOrderType="alphabetAsc").fit(train)
+    ready = lambda df: index.transform(df).withColumn("_x", array_to_vector(F.col(features)))
+    model = OneVsRest(classifier=LinearSVC(maxIter=20, regParam=1e-3), featuresCol="_x", labelCol="_y", parallelism=2).fit(ready(train))
+    names = F.array(*[F.lit(x) for x in index.labels])
+    return model.transform(ready(test)).select(key, F.col(label).alias("truth"), F.get(names, F.col("prediction").cast("int")).alias("guess"))
+
+
 def perplexity(mean_log_likelihood: float) -> float:
     return math.inf if -mean_log_likelihood > 709 else math.exp(-mean_log_likelihood)

@@ -60,7 +60,7 @@ def _doc_words(b: Base):
 def _mvtm(b: Base):
     """Words as vectors of their own training, one direction model over them: OOV words are dropped by the join."""
     docs = cut(_doc_words(b), "doc-words")
-    vecs = words.word2vec(docs, size=16)
+    vecs = words.word2vec(docs, size=32, rounds=3)
     toks = docs.select("doc_id", F.posexplode("words").alias("unit", "word")).join(vecs, "word")
     from topicloom.functions.numeric import unit_safe
 
@@ -126,7 +126,7 @@ SELECT term, cnt, {r6('p')} AS probability, {r6('a / (p + a / 2)')} AS weight FR
 
 def _usif_sentences(b: Base):
     toks = cut(corpus.sentence_tokens(b.sentences()), "sentence-tokens")
-    vecs = words.word2vec(cut(_doc_words(b), "doc-words"), size=16)
+    vecs = words.word2vec(cut(_doc_words(b), "doc-words"), size=32, rounds=3)
     return words.usif_vectors(toks, words.usif_weights(toks), vecs)
 
 
