@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -30,7 +31,9 @@ AGE_AND_PLACE = (
     r"(?i)^[a-z][a-z' -]+,\s*\d{1,3},\s+[^.]+\bof\b[^.]+,\s*(?:a[krlz]|c[aot]|d[ce]|fl|ga|hi|i[adln]|k[sy]|la|m[adeinost]|"
     r"n[cdehjmvy]|o[hkr]|pa|ri|s[cd]|t[nx]|ut|v[at]|w[aivy])\.$"
 )
-#: Limits of the quality rules.
+#: Limits of the quality rules.
+#: Words whose dot ends no sentence.
+ABBREVIATIONS = "Dr Mr Mrs Ms Prof St Jr Sr Gen Col Rep Sen Rev Lt Capt Sgt No Nos Fig Figs vs etc al cf approx dept e.g i.e".split()
 LIMITS = {"min_words": 4, "min_letters": 4, "max_words": 120, "boundary_words": 50, "parenthetical_words": 8, "punctuation": 0.45, "upper_noise": 0.65}
 
 
@@ -40,6 +43,13 @@ def unicode_stage(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", html.unescape(t)), na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def folded(text: pd.Series) -> pd.Series:
+    """NFKC, then letters without their accents."""
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", t)) if not unicodedata.combining(c))
+    return text.map(lambda t: t if t.isascii() else plain(t), na_action="ignore")
+
+
 def clean_english_sentence(text: Column, unicode: bool = True, marks: bool = True, numbers: bool = True) -> Column:
     """The cleaned sentence; unicode=False leaves out unicode_stage and stays in the JVM."""
     x = unicode_stage(text) if unicode else text
@@ -60,10 +70,30 @@ def repair_boundaries(text: Column) -> Column:
     return F.regexp_replace(text, r"\b([A-Za-z]{2,}[.!?][\"']?)(?=[A-Za-z]{2,}\b)", "$1 ")
 
 
-def split_sentences(text: Column, delimiter: str | None = " / ") -> Column:
-    """Trimmed, non-empty parts of a text around a delimiter, white space collapsed first; without one, after closing marks."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    parts = F.split(flat, r"\Q" + delimiter + r"\E") if delimiter else F.split(flat, r"(?<=[.!?])\s+")
+#: Private characters: a dot that ends nothing, and a place where a sentence ends.
+HELD, ENDED = "\ue000", "\ue001"
+SPACES = r"[\s\p{Z}]+"
+SENTENCE_RULES = [
+    (r"(^|[^A-Za-z])(" + "|".join(re.escape(w) for w in ABBREVIATIONS) + r")\.", rf"\1\2{HELD}"),
+    (r"(^|[^A-Za-z])([A-Z])\.", rf"\1\2{HELD}"),
+    (r"(^|[^A-Za-z])([A-Z])\.", rf"\1\2{HELD}"),
+    (r"([.!?][\"')\]]*)\s+([\"'(\[]*[A-Z0-9])", rf"\1{ENDED}\2"),
+]
+
+
+def split_sentences(text: Column, delimiter: str | None = " / ", rules: bool = True) -> Column:
+    """Trimmed, non-empty sentences of a text, white space collapsed first: the parts around a delimiter, or, without
+    one, those that rules find: after closing marks before a capital or a number, but not after abbreviations and
+    initials. Without either, the whole text is one sentence."""
+    flat = F.trim(F.regexp_replace(text, SPACES, " "))
+    if delimiter:
+        parts = F.split(flat, r"\Q" + delimiter + r"\E")
+    elif rules:
+        for pattern, put in SENTENCE_RULES:
+            flat = F.regexp_replace(flat, pattern, re.sub(r"\\(\d)", r"$\1", put))
+        parts = F.transform(F.split(flat, ENDED), lambda s: F.translate(s, HELD, "."))
+    else:
+        parts = F.array(flat)
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
@@ -100,19 +130,16 @@ def quality(cleaned: Column) -> dict[str, Column]:
     return {"reason": reason, "char_count": size, "word_count": words, "alpha_count": letters, "punctuation_ratio": ratio}
 
 
-def english_tokens(text: Column, min_length: int = 2, number: str = "<NUM>", lemmas: dict[str, str] | None = None) -> Column:
-    """Lower-case words of letters and a sign for each number, in order; words shorter than min_length are dropped, lemmas replace words."""
-    found = F.regexp_extract_all(text, F.lit(r"([A-Za-z]+|[0-9]+(?:[.,][0-9]+)?)"), F.lit(1))
-    words = F.transform(found, lambda w: F.when(w.rlike("^[0-9]"), F.lit(number)).otherwise(F.lower(w)))
-    if lemmas:
-        table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
-        words = F.transform(words, lambda w: F.coalesce(table[w], w))
-    return F.filter(words, lambda w: (w == number) | (F.length(w) >= min_length))
+def english_tokens(text: Column, min_length: int = 2, number: str | None = "<NUM>", fold: bool = False) -> Column:
+    """Lower-case words of letters and a sign for each number (None keeps numbers), in order; words shorter than min_length are dropped. fold reads letters without accents."""
+    found = F.regexp_extract_all(folded(text) if fold else text, F.lit(r"([A-Za-z]+|[0-9]+(?:[.,][0-9]+)?)"), F.lit(1))
+    words = F.transform(found, lambda w: F.when(w.rlike("^[0-9]"), w if number is None else F.lit(number)).otherwise(F.lower(w)))
+    return F.filter(words, lambda w: w.rlike("^[0-9<]") | (F.length(w) >= min_length))
 
 
-def whitespace_terms(text: Column, stopwords: list[str] = ()) -> Column:
-    """Lower-case terms with punctuation and digits read as spaces, without stopwords."""
-    spaced = F.regexp_replace(F.lower(text), r"[^a-z]+", " ")
+def whitespace_terms(text: Column, stopwords: list[str] = (), fold: bool = False) -> Column:
+    """Lower-case terms with punctuation and digits read as spaces, without stopwords; fold reads letters without accents."""
+    spaced = F.regexp_replace(F.lower(folded(text) if fold else text), r"[^a-z]+", " ")
     return F.filter(F.split(F.trim(spaced), " "), lambda w: (w != "") & ~w.isin(list(stopwords)))
 
 
@@ -121,17 +148,25 @@ def with_prefix(text: Column, prefix: str) -> Column:
 
 
 def slug(text: Column, longest: int = 40) -> Column:
-    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-")
-    return F.regexp_replace(F.substring(F.regexp_replace(plain, r"^-+|-+$", ""), 1, longest), r"-+$", "")
+    """Letters without accents and digits in lower case, all else as single hyphens; 'na' if nothing is left."""
+    plain = F.regexp_replace(F.lower(folded(text)), r"[^a-z0-9]+", "-")
+    short = F.regexp_replace(F.substring(F.regexp_replace(plain, r"^-+|-+$", ""), 1, longest), r"-+$", "")
+    return F.when(short == "", "na").otherwise(short)
 
 
 def selector_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
-def fingerprint(*columns: Column, digits: int = 10) -> Column:
-    """First digits of the SHA-1 of a canonical JSON of sorted name-value pairs."""
-    return F.substring(F.sha1(F.to_json(F.struct(*columns))), 1, digits)
+def fingerprint(columns: dict[str, Column], digits: int = 10) -> Column:
+    """First digits of the SHA-1 of a canonical JSON: names in order, no blanks, null for null, other letters than ASCII escaped."""
+    mark = lambda h: F.concat(F.lit("\\u"), h)
+    unit = lambda h: F.when(F.length(h) > 4, F.concat(mark(F.substring(h, 1, 4)), mark(F.substring(h, 5, 4)))).otherwise(mark(h))
+    values = F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]), {"ignoreNullFields": "false"})
+    escaped = F.aggregate(
+        F.split(values, ""), F.lit(""), lambda a, c: F.concat(a, F.when(c.rlike(r"^[\x00-\x7f]?$"), c).otherwise(unit(F.lower(F.hex(F.encode(c, "UTF-16BE"))))))
+    )
+    return F.substring(F.sha1(F.when(values.rlike(r"^[\x00-\x7f]*$"), values).otherwise(escaped)), 1, digits)
 
 
 def latex(text: Column) -> Column:

@@ -46,7 +46,7 @@ def gibbs_sweep(z: np.ndarray, log_density: np.ndarray, alpha: np.ndarray, unifo
 
 @dataclass
 class Topics:
-    """Parameters of K topics: directions and concentrations, or Gaussian moments."""
+    """Parameters of K topics: directions and concentrations, or Gaussian moments. A topic of C components has K x C x D means, K x C concentrations and weights."""
 
     kind: str
     alpha: np.ndarray
@@ -55,11 +55,34 @@ class Topics:
     cov: np.ndarray | None = None
     freedom: np.ndarray | None = None
     counts: np.ndarray | None = None
+    weights: np.ndarray | None = None
     history: list[dict] = field(default_factory=list)
 
+    @property
+    def components(self) -> int:
+        return self.mean.shape[1] if self.mean.ndim == 3 else 1
+
+    def _components(self, x: np.ndarray) -> np.ndarray:
+        """len(x) x K x C: the logarithm of each component's weight times its density."""
+        const = np.array([[vmf_log_normaliser(v, x.shape[1]) for v in row] for row in self.kappa])
+        return np.log(np.maximum(self.weights, 1e-300)) + const + self.kappa * np.einsum("nd,kcd->nkc", x, self.mean)
+
+    def responsibilities(self, x: np.ndarray, topic: int) -> np.ndarray:
+        """len(x) x C: which component of a topic each vector belongs to; uniform where none is finite."""
+        if self.components == 1:
+            return np.ones((len(x), 1))
+        joint = self._components(x)[:, topic]
+        e = np.exp(joint - joint.max(1, keepdims=True))
+        mass = e.sum(1, keepdims=True)
+        return np.where(np.isfinite(mass) & (mass > 0), e / np.where(mass > 0, mass, 1.0), 1.0 / joint.shape[1])
+
     def log_density(self, x: np.ndarray) -> np.ndarray:
         """len(x) x K log densities."""
-        k, d = self.mean.shape
+        k, d = len(self.mean), self.mean.shape[-1]
+        if self.kind == "vmf" and self.mean.ndim == 3:
+            joint = self._components(x)
+            top = joint.max(2, keepdims=True)
+            return (top + np.log(np.exp(joint - top).sum(2, keepdims=True)))[:, :, 0]
         if self.kind == "vmf":
             const = np.array([vmf_log_normaliser(v, d) for v in self.kappa])
             return const + self.kappa * (x @ self.mean.T)
@@ -100,8 +123,8 @@ def as_documents(units: DataFrame, doc: str, unit: str, vec: str) -> DataFrame:
 
 def _step(docs: DataFrame, topics: Topics, seed: int, iteration: int, sweeps: int, samples: int, second: bool) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(topics)
-    k, d = topics.mean.shape
-    width = 2 + k + k * d + (k * d * d if second else 0)
+    k, c, d = len(topics.mean), topics.components, topics.mean.shape[-1]
+    width = 2 + k * c + k * c * d + (k * d * d if second else 0)
 
     def run(batches):
         import pandas as pd
@@ -118,12 +141,14 @@ def _step(docs: DataFrame, topics: Topics, seed: int, iteration: int, sweeps: in
                     z = gibbs_sweep(z, ll, model.alpha, hash_uniforms(seed, iteration, s, int(row.doc_id), len(x)))
                     if s >= sweeps - samples:
                         share = 1.0 / samples
-                        total[2 : 2 + k] += share * np.bincount(z, minlength=k)
                         for t in np.unique(z):
                             mine = x[z == t]
-                            total[2 + k + t * d : 2 + k + (t + 1) * d] += share * mine.sum(0)
+                            part = share * model.responsibilities(mine, t)
+                            total[2 + t * c : 2 + (t + 1) * c] += part.sum(0)
+                            a = 2 + k * c + t * c * d
+                            total[a : a + c * d] += (part.T @ mine).ravel()
                             if second:
-                                a = 2 + k + k * d + t * d * d
+                                a = 2 + k * c + k * c * d + t * d * d
                                 total[a : a + d * d] += share * (mine.T @ mine).ravel()
                 total[0] += ll[np.arange(len(x)), z].sum()
                 total[1] += len(x)
@@ -134,8 +159,8 @@ def _step(docs: DataFrame, topics: Topics, seed: int, iteration: int, sweeps: in
     return docs.mapInPandas(run, "doc_id LONG, z ARRAY<INT>, stats ARRAY<DOUBLE>")
 
 
-def train(units: DataFrame, doc: str, unit: str, vec: str, n_topics: int, kind: str = "vmf", iterations: int = 5, sweeps: int = 3, samples: int = 2, seed: int = 0, default_kappa: float = 10.0) -> tuple[Topics, DataFrame]:
-    """(topics, (doc_id, units, z)) of a mixture of directions ('vmf') or of Gaussians with a weak inverse-Wishart prior ('gaussian').
+def train(units: DataFrame, doc: str, unit: str, vec: str, n_topics: int, kind: str = "vmf", iterations: int = 5, sweeps: int = 3, samples: int = 2, seed: int = 0, default_kappa: float = 10.0, components: int = 1) -> tuple[Topics, DataFrame]:
+    """(topics, (doc_id, units, z)) of a mixture of directions ('vmf'; of several components per topic if asked) or of Gaussians with a weak inverse-Wishart prior ('gaussian').
 
     Each iteration samples all documents, revives topics without units from the units of the largest
     one, re-estimates the topics, then (vmf) the prior of the shares.
@@ -147,9 +172,12 @@ def train(units: DataFrame, doc: str, unit: str, vec: str, n_topics: int, kind:
         empty = spark.createDataFrame([], "doc_id LONG, units ARRAY<INT>, z ARRAY<INT>")
         return Topics(kind, np.full(n_topics, 0.1), np.zeros((n_topics, 1)), np.full(n_topics, default_kappa)), empty
     d = len(first[0]["vecs"][0])
-    start = _start(docs, n_topics, seed)
+    start = _start(docs, n_topics * components, seed)
     topics = Topics(kind, np.full(n_topics, 50.0 / n_topics if kind != "vmf" else 0.1), start, np.full(n_topics, default_kappa))
     second = kind == "gaussian"
+    if components > 1:
+        topics.mean, topics.kappa = start.reshape(n_topics, components, d), np.full((n_topics, components), default_kappa)
+        topics.weights = np.full((n_topics, components), 1.0 / components)
     if second:
         topics.cov = np.repeat(np.eye(d)[None] * 0.5, n_topics, 0)
         topics.kappa = None
@@ -158,39 +186,106 @@ def train(units: DataFrame, doc: str, unit: str, vec: str, n_topics: int, kind:
     for it in range(iterations):
         out = cut(_step(state, topics, seed, it, sweeps, samples, second), f"sweep{it}")
         sums = out.where("stats is not null").select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-        flat = np.zeros(2 + n_topics + n_topics * d * (1 + (d if second else 0)))
+        k, c = n_topics, components
+        flat = np.zeros(2 + k * c + k * c * d + (k * d * d if second else 0))
         for r in sums.collect():  # K x D numbers
             flat[r["i"]] = r["x"]
-        nk, total = flat[2 : 2 + n_topics], flat[2 + n_topics : 2 + n_topics + n_topics * d].reshape(n_topics, d)
+        nkc, totals = flat[2 : 2 + k * c].reshape(k, c), flat[2 + k * c : 2 + k * c + k * c * d].reshape(k, c, d)
+        nk, total = nkc.sum(1), totals.sum(1)
         for t in np.flatnonzero(nk < 0.5):
             donor = _donor(docs, out, int(np.argmax(nk)), seed + it * 1000 + int(t))
             if donor is not None:
-                nk[t], total[t] = 1.0, donor
+                nk[t], total[t], nkc[t], totals[t] = 1.0, donor, 1.0 / c, donor / c
         if kind == "vmf":
-            length = np.linalg.norm(total, axis=1)
-            topics.mean = total / np.maximum(length, 1e-12)[:, None]
-            r = np.clip(length / np.maximum(nk, 1e-12), 1e-6, 1 - 1e-6)
-            topics.kappa = np.where(nk <= 1, default_kappa, r * (d - r**2) / (1 - r**2))
+            topics.mean, topics.kappa = directions(nkc, totals, default_kappa)
+            if c == 1:
+                topics.mean, topics.kappa = topics.mean[:, 0], topics.kappa[:, 0]
+            else:
+                topics.weights = np.where(nk[:, None] > 0, nkc / np.maximum(nk, 1e-12)[:, None], 1.0 / c)
             topics.alpha = _alpha(out, topics.alpha)
         else:
-            k0, scale, nu0 = 0.1, 0.1, d
-            sq = flat[2 + n_topics + n_topics * d :].reshape(n_topics, d, d)
-            means = total / np.maximum(nk, 1e-12)[:, None]
-            kn, nun = k0 + nk, nu0 + nk
-            topics.mean = (k0 * prior_mean + total) / kn[:, None]
-            cov = []
-            for t in range(n_topics):
-                scatter = sq[t] - nk[t] * np.outer(means[t], means[t]) if nk[t] > 0 else np.zeros((d, d))
-                gap = (means[t] - prior_mean) if nk[t] > 0 else np.zeros(d)
-                psi = scale * np.eye(d) * nu0 + scatter + k0 * nk[t] / kn[t] * np.outer(gap, gap)
-                cov.append((kn[t] + 1) / (kn[t] * (nun[t] - d + 1)) * (psi + psi.T) / 2)
-            topics.cov, topics.freedom = np.array(cov), nun - d + 1
+            sq = flat[2 + k + k * d :].reshape(k, d, d)
+            topics.mean, topics.cov, topics.freedom = gaussian_posterior(nk, total, sq, prior_mean)
         topics.counts = nk
         topics.history.append({"iteration": it, "units": flat[1], "mean_log_likelihood": flat[0] / max(flat[1], 1)})
         state = docs.join(out.where("doc_id is not null").select("doc_id", "z"), "doc_id")
     return topics, state.select("doc_id", "units", "z")
 
 
+def directions(n: np.ndarray, total: np.ndarray, default_kappa: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
+    """(mean directions, concentrations) of groups of n unit vectors with the given sums."""
+    d, length = total.shape[-1], np.linalg.norm(total, axis=-1)
+    r = np.clip(length / np.maximum(n, 1e-12), 1e-6, 1 - 1e-6)
+    return total / np.maximum(length, 1e-12)[..., None], np.where(n <= 1, default_kappa, r * (d - r**2) / (1 - r**2))
+
+
+def gaussian_posterior(n: np.ndarray, total: np.ndarray, squares: np.ndarray, prior_mean: np.ndarray, k0: float = 0.1, scale: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, scale matrices, degrees of freedom) of the Student distributions of topics of n vectors with the given sums and sums of products, under a weak normal and inverse-Wishart prior of D degrees."""
+    k, d = total.shape
+    kn, nun = k0 + n, d + n
+    mean, cov = (k0 * prior_mean + total) / kn[:, None], np.empty((k, d, d))
+    for t in range(k):
+        own = total[t] / max(n[t], 1e-12)
+        scatter = squares[t] - n[t] * np.outer(own, own) if n[t] > 0 else np.zeros((d, d))
+        gap = own - prior_mean if n[t] > 0 else np.zeros(d)
+        psi = scale * np.eye(d) * d + scatter + k0 * n[t] / kn[t] * np.outer(gap, gap)
+        cov[t] = (kn[t] + 1) / (kn[t] * (nun[t] - d + 1)) * (psi + psi.T) / 2
+    return mean, cov, nun - d + 1
+
+
+def log_densities(units: DataFrame, key: str, vec: str, topics: Topics) -> DataFrame:
+    """(key, topic_id, ll) of every unit under every topic."""
+    sent = units.sparkSession.sparkContext.broadcast(topics)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            if len(pdf):
+                ll = sent.value.log_density(np.vstack(pdf[vec].to_numpy()).astype(float))
+                yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), ll.shape[1]), "topic_id": np.tile(np.arange(ll.shape[1]), len(pdf)), "ll": ll.ravel()})
+
+    return units.select(key, vec).mapInPandas(run, f"{key} LONG, topic_id INT, ll DOUBLE")
+
+
+def component_shares(units: DataFrame, key: str, vec: str, topic: str, topics: Topics) -> DataFrame:
+    """(key, component, p): to which component of its topic each unit belongs."""
+    sent = units.sparkSession.sparkContext.broadcast(topics)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for t in sorted(set(pdf[topic])):
+                mine = pdf[pdf[topic] == t]
+                p = sent.value.responsibilities(np.vstack(mine[vec].to_numpy()).astype(float), int(t))
+                yield pd.DataFrame({key: np.repeat(mine[key].to_numpy(), p.shape[1]), "component": np.tile(np.arange(p.shape[1]), len(mine)), "p": p.ravel()})
+
+    return units.select(key, topic, vec).mapInPandas(run, f"{key} LONG, component INT, p DOUBLE")
+
+
+def conditionals(units: DataFrame, doc: str, unit: str, vec: str, topic: str, topics: Topics) -> DataFrame:
+    """(doc_id, unit, topic_id, p): the sampler's weights of every unit given the topics of the others of its document."""
+    docs = units.groupBy(F.col(doc).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(topic).alias("z"), F.col(vec).alias("v")))).alias("s"))
+    docs = docs.select("doc_id", F.transform("s", lambda x: x["u"]).alias("u"), F.transform("s", lambda x: x["z"]).alias("z"), F.transform("s", lambda x: x["v"]).alias("v"))
+    sent = units.sparkSession.sparkContext.broadcast(topics)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                z, ll = np.asarray(row.z), sent.value.log_density(np.vstack(row.v).astype(float))
+                k = ll.shape[1]
+                others = np.bincount(z, minlength=k) - np.eye(k)[z]
+                w = ll + np.log(others + sent.value.alpha)
+                p = np.exp(w - w.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
+                yield pd.DataFrame({"doc_id": row.doc_id, "unit": np.repeat(row.u, k), "topic_id": np.tile(np.arange(k), len(z)), "p": p.ravel()})
+
+    return docs.mapInPandas(run, "doc_id LONG, unit LONG, topic_id INT, p DOUBLE")
+
+
 def _start(docs: DataFrame, k: int, seed: int, most: int = 5000) -> np.ndarray:
     """Starting means: far-apart units of a bounded hash sample of documents, the first by hash."""
     rows = docs.orderBy(F.xxhash64(F.lit(seed), "doc_id")).limit(max(k, min(most, 20 * k))).select("doc_id", "vecs").collect()
@@ -226,6 +321,9 @@ def _alpha(out: DataFrame, alpha: np.ndarray) -> np.ndarray:
 
 
 def parameters(topics: Topics, spark) -> DataFrame:
+    if topics.components > 1:
+        per = [(t, c, float(topics.weights[t, c]), float(topics.alpha[t]), float(topics.kappa[t, c]), topics.mean[t, c].tolist()) for t in range(len(topics.mean)) for c in range(topics.components)]
+        return spark.createDataFrame(per, "topic_id INT, component INT, weight DOUBLE, alpha DOUBLE, kappa DOUBLE, mean ARRAY<DOUBLE>")
     rows = [(t, float(topics.counts[t]) if topics.counts is not None else 0.0, float(topics.alpha[t]), float(topics.kappa[t]) if topics.kappa is not None else None, topics.mean[t].tolist()) for t in range(len(topics.alpha))]
     return spark.createDataFrame(rows, "topic_id INT, n DOUBLE, alpha DOUBLE, kappa DOUBLE, mean ARRAY<DOUBLE>")
 

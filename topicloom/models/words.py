@@ -111,6 +111,38 @@ def sentence_lda(sentence_words: DataFrame, n_topics: int, iterations: int = 5,
     return assigned, counts
 
 
+def infer_sentences(sentence_words: DataFrame, counts: DataFrame, doc_counts: DataFrame, n_topics: int, vocab: int, alpha: float, beta: float, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(doc_id, sent_id, p ARRAY<DOUBLE>): topic weights of sentences under given counts (topic_id, term, cnt) and (doc_id, topic_id, n), from which nothing is taken out. Blocks of documents lie beside the counts of their own words."""
+    docs = doc_counts.groupBy("doc_id").agg(F.collect_list(F.struct("topic_id", "n")).alias("nd"))
+    rows = sentence_words.join(docs, "doc_id", "left")
+    blocks = max(1, -(-sentence_words.agg(F.count_distinct("doc_id")).first()[0] // block_docs))
+    rows = cut(rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))), "sentences")
+    named = rows.select("block", F.explode("words").alias("term")).distinct()
+    named = cut(named.join(counts.groupBy("term").agg(F.collect_list(F.struct("topic_id", "cnt")).alias("row")), "term", "left"), "block-words")
+    totals = np.zeros(n_topics)
+    for r in counts.groupBy("topic_id").agg(F.sum("cnt").alias("n")).collect():  # K rows
+        totals[r["topic_id"]] = r["n"]
+
+    def one(sents, words):
+        import pandas as pd
+
+        at = {t: i for i, t in enumerate(words["term"])}
+        table = np.zeros((len(at), n_topics))
+        for i, row in enumerate(words["row"]):
+            for cell in row if row is not None else ():
+                table[i, cell["topic_id"]] = cell["cnt"]
+        out = []
+        for doc_id, sent_id, ws, nd in zip(sents["doc_id"], sents["sent_id"], sents["words"], sents["nd"], strict=True):
+            doc = np.zeros(n_topics)
+            for cell in nd if nd is not None else ():
+                doc[cell["topic_id"]] = cell["n"]
+            ids = np.array([at[w] for w in ws], dtype=np.int64)
+            out.append((doc_id, sent_id, sentence_factors(table[ids], _seen(ids), totals, beta, vocab, doc, alpha).tolist()))
+        return pd.DataFrame(out, columns=["doc_id", "sent_id", "p"])
+
+    return rows.groupBy("block").cogroup(named.groupBy("block")).applyInPandas(one, "doc_id LONG, sent_id INT, p ARRAY<DOUBLE>")
+
+
 def _count_vectors(docs: DataFrame, words: str, most: int):
     """Counts of every term of the documents, rare ones too; an error if there are more than most."""
     from pyspark.ml.feature import CountVectorizer

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from topicloom.functions import text as X
 from topicloom.session import bounded_broadcast
 
-#: A vocabulary of up to this many words is broadcast; a larger one is joined by shuffles.
-VOCABULARY_BROADCAST = 2_000_000
+#: A vocabulary of up to this many words (some 10 MB) is broadcast; a larger one is joined by shuffles.
+VOCABULARY_BROADCAST = 200_000
 
 
 def latest(df: DataFrame, key: list[str], at: str) -> DataFrame:
@@ -110,6 +110,37 @@ def judged_sentences(sents: DataFrame, unicode: bool = True) -> DataFrame:
     return rows.select("doc_id", "sent_id", "cleaned", *[c.alias(n) for n, c in measures.items()])
 
 
+def raw_sentences(docs: DataFrame, text: str = "raw_text", delimiter: str | None = None, repair: bool = False) -> DataFrame:
+    """(doc_id, sent_id, raw) of the sentences of whole texts, by a delimiter or by rules; repair first parts words run together over a closing mark."""
+    whole = F.coalesce(text, F.lit(""))
+    parts = X.split_sentences(X.repair_boundaries(whole) if repair else whole, delimiter)
+    return docs.select("doc_id", F.posexplode(parts).alias("sent_id", "raw"))
+
+
+def segmented(docs: DataFrame, text: str = "raw_text", delimiter: str = " / ") -> DataFrame:
+    """(doc_id, text): every text as its sentences, joined by a delimiter; '' for null and blank texts."""
+    return docs.select("doc_id", F.array_join(X.split_sentences(F.coalesce(text, F.lit("")), None), delimiter).alias("text"))
+
+
+def lemmatised(rows: DataFrame, lemmas: DataFrame, term: str = "term") -> DataFrame:
+    """The rows with each term replaced by its lemma in (term, lemma), if it has one; of several the least. A table of checked size is broadcast."""
+    table = lemmas.groupBy(F.col("term").alias(term)).agg(F.min("lemma").alias("_lemma"))
+    joined = rows.join(bounded_broadcast(table, VOCABULARY_BROADCAST), term, "left")
+    return joined.select(*[F.coalesce("_lemma", term).alias(term) if c == term else F.col(c) for c in rows.columns])
+
+
+def shares(bow: DataFrame, by: list[str]) -> DataFrame:
+    """The counts of each document (or sentence) over their sum."""
+    return bow.join(bow.groupBy(*by).agg(F.sum("cnt").alias("_n")), by).withColumn("share", F.col("cnt") / F.col("_n")).drop("_n")
+
+
+def category_texts(rows: DataFrame, text: str, label: str, category: str, targets: dict[str, list[str]]) -> DataFrame:
+    """Rows whose label is a target of the category, a null text as ''; blank texts are kept, an unknown category is an error."""
+    if category not in targets:
+        raise ValueError(f"unknown category {category!r}; there are {sorted(targets)}")
+    return rows.where(F.col(label).isin(targets[category])).withColumn(text, F.coalesce(text, F.lit("")))
+
+
 def prepared_texts(judged: DataFrame) -> DataFrame:
     """(doc_id, text): the kept cleaned sentences of each document, joined in order by ' / '."""
     kept = judged.where("reason = 'kept'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "cleaned"))).alias("s"))

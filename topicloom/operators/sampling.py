@@ -36,12 +36,38 @@ def per_label(df: DataFrame, label: str, key: str, n: int, seed: str = "42") ->
     return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
 
 
-def limited_train(df: DataFrame, label: str, key: str, ratio: float, seed: str = "42") -> DataFrame:
-    """max(1, floor(ratio * n)) rows of each label."""
+def limited_train(df: DataFrame, label: str, key: str, ratio: float | None = None, seed: str = "42", count: int | None = None, stratified: bool = True) -> DataFrame:
+    """A smaller training set: floor(ratio * n) rows of each label, one at least, or count rows shared out by the labels' sizes likewise.
+
+    Not stratified, as many rows of all, whatever their label. A ratio of 1 or more and a count of all
+    rows or more give the whole set, 0 gives none.
+    """
+    if ratio is not None and ratio >= 1:
+        return df
+    if (ratio or 0) <= 0 and (count or 0) <= 0:
+        return df.limit(0)
+    if not stratified:
+        rows = _exact_places(df.withColumn("_all", F.lit(0)), ["_all"], key, seed)
+        most = F.lit(count) if ratio is None else F.greatest(F.lit(1), F.floor(F.lit(ratio) * F.col("size") + F.lit(1e-9)))
+        return rows.where(F.col("place") <= most).drop("place", "size", "_all")
     rows = _exact_places(df, [label], key, seed)
+    if ratio is None:
+        total = df.agg(F.count(F.lit(1)).alias("_t"))
+        rows = rows.crossJoin(F.broadcast(total))  # one row
+        part = F.lit(float(count)) * F.col("size") / F.col("_t")
+        return rows.where((F.col("_t") <= count) | (F.col("place") <= F.greatest(F.lit(1), F.floor(part + F.lit(1e-9))))).drop("place", "size", "_t")
     return rows.where(F.col("place") <= F.greatest(F.lit(1), F.floor(F.lit(ratio) * F.col("size") + F.lit(1e-9)))).drop("place", "size")
 
 
+def until_two_classes(sample, label: str, seeds: list[str]) -> tuple[DataFrame, int]:
+    """(the first sample(seed) that has two labels or more, attempts); an error if no seed gives one."""
+    for attempt, seed in enumerate(seeds, 1):
+        rows = sample(seed)
+        if rows.select(label).distinct().limit(2).count() == 2:
+            return rows, attempt
+    raise ValueError(f"one label only in all of {len(seeds)} samples")
+
+
 def fixed_size(df: DataFrame, key: list[str], n: int, seed: str = "42") -> DataFrame:
     """n rows, each equally likely; executors keep only the n first of their rows."""
     return df.orderBy(hash_order(seed, *[F.col(k) for k in key]), *key).limit(n)

@@ -306,7 +306,7 @@ def greedy_unique(pairs: DataFrame, order: list, a: str = "a", b: str = "b", mos
                 used |= {r[a], r[b]}
                 out.append(r)
         return spark.createDataFrame(out, pairs.schema)
-    left = cut(pairs.distinct().withColumn("_o", F.struct(*order, F.col(a), F.col(b))), "pairs")
+    left = cut(pairs.distinct().withColumn("_o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.col(a), F.col(b)])])), "pairs")
     taken = []
     while not left.isEmpty():
         ends = left.select(F.col(a).alias("_d"), "_o").unionByName(left.select(F.col(b).alias("_d"), "_o"))

@@ -42,6 +42,31 @@ def top_words(scores: DataFrame, n: int, score: str = "score") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def dictionary_top_words(scores: DataFrame, dictionary: DataFrame, n: int, score: str = "score") -> DataFrame:
+    """(data_run, topic_id, rank, term, score): the n best words of a dictionary (term) for each topic by rounded score, ties by term.
+
+    Words of the dictionary that a topic has no score for stand last, with a null score; only as many
+    of them as the ranks need are put beside a topic, never the whole dictionary.
+    """
+    words = dictionary.select("term").distinct()
+    known = top_words(scores.join(words, "term", "left_semi"), n, score)
+    # a topic's own words among the first n of the dictionary leave at most n others to fill up with
+    first = words.orderBy("term").limit(2 * n)
+    short = scores.select(*AXES).distinct().join(known.groupBy(*AXES).agg(F.count(F.lit(1)).alias("_have")), AXES, "left").withColumn("_have", F.coalesce("_have", F.lit(0))).where(F.col("_have") < n)
+    spare = short.crossJoin(F.broadcast(first)).join(known.select(*AXES, "term"), [*AXES, "term"], "left_anti")  # 2 n words for each topic that lacks some
+    order = W.partitionBy(*AXES).orderBy("term")
+    filled = spare.withColumn("rank", (F.col("_have") + F.row_number().over(order)).cast("int")).where(F.col("rank") <= n)
+    return known.select(*AXES, "rank", "term", "score").unionByName(filled.select(*AXES, "rank", "term", F.lit(None).cast("double").alias("score")))
+
+
+def matrix_diversity(tops: DataFrame, runs: DataFrame, topics: DataFrame, n: int) -> DataFrame:
+    """(data_run, diversity): distinct top words over all entries of the topics x n matrix; 0 for a run without topics or words."""
+    size = topics.groupBy("data_run").agg(F.count_distinct("topic_id").alias("_k"))
+    unique = tops.where(F.col("rank") <= n).groupBy("data_run").agg(F.count_distinct("term").alias("_u"), F.count(F.lit(1)).alias("_c"))
+    rows = runs.select("data_run").distinct().join(size, "data_run", "left").join(unique, "data_run", "left")
+    return rows.select("data_run", F.coalesce(F.try_divide(F.col("_u"), F.col("_c")), F.lit(0.0)).alias("diversity"), F.coalesce("_k", F.lit(0).cast("long")).alias("topics"))
+
+
 def row_normal(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """value over its sum in by; 0 where the sum is 0. Sums are made first and joined, so no group is gathered."""
     mass = df.groupBy(*by).agg(F.sum(value).alias("_mass"))

@@ -8,7 +8,7 @@ from topicloom.functions import text as X
 from topicloom.functions.numeric import r6 as R
 from topicloom.operators import corpus, sampling
 from topicloom.plans.base import BOW, DOCS, SENTS, TRAIN, VOCAB, Base, r6
-from topicloom.session import shared_dir
+from topicloom.session import scratch
 from topicloom.sources import readers, writers
 
 
@@ -28,10 +28,10 @@ def _clean_sql(x: str) -> str:
     return f"trim(regexp_replace({sql}, {quote(X.SPACE_BEFORE_MARK)}, '\\1', 'g'))"
 
 
-def _judged_sql() -> str:
+def _judged_sql(source: str = SENTS) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     lim = X.LIMITS
-    return f"""{SENTS},
+    return f"""{source},
 cl AS MATERIALIZED (SELECT doc_id, sent_id, {_clean_sql('raw')} AS cleaned FROM sents),
 me AS (SELECT *, length(cleaned) AS char_count, len(regexp_extract_all(cleaned, '[A-Za-z]+|[0-9]+')) AS word_count,
   len(regexp_extract_all(cleaned, '[A-Za-z]')) AS alpha_count, len(regexp_extract_all(cleaned, '[^A-Za-z0-9\\s]')) AS marks,
@@ -61,7 +61,7 @@ GROUP = "CASE WHEN reason <> 'kept' THEN 'drop' WHEN word_count <= 5 THEN 'short
 def _csv_corpus(b: Base):
     """Writes the training rows as CSV and scans them again, targets pushed into the scan."""
     rows = b.table("train").select("row_id", F.regexp_replace("data", "\r", "").alias("data"), F.lower(F.trim("target_str")).alias("target_str"))
-    path = f"{shared_dir(b.spark).rstrip('/')}/topicloom/csv-{abs(hash(b.dir)) % 10**8}"
+    path = scratch(b.spark, "csv")
     writers.csv_dataset(rows, path)
     out = readers.csv_corpus(b.spark, path, "data", "target_str", ["comp.shading", "sci.orbit", "rec.velo"])
     return out.select("text", "label")
@@ -191,7 +191,7 @@ SELECT row_id, label FROM r WHERE i <= greatest(1, floor(0.25::DOUBLE * n + 1e-9
     ),
     "label_slugs": (
         lambda b: b.train().where("label is not null").select("label").distinct().select("label", X.slug(F.col("label"), 9).alias("slug"), X.selector_key(F.col("label")).alias("selector"), X.with_prefix(F.col("label"), "comp").alias("prefixed")),
-        lambda: f"""WITH {TRAIN} SELECT DISTINCT label, regexp_replace(substr(regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 9), '-+$', '') AS slug,
+        lambda: f"""WITH {TRAIN} SELECT DISTINCT label, regexp_replace(substr(regexp_replace(regexp_replace(lower(strip_accents(label)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 9), '-+$', '') AS slug,
 regexp_replace(lower(label), '[^a-z0-9]', '', 'g') AS selector, CASE WHEN starts_with(label, 'comp') THEN label ELSE 'comp' || label END AS prefixed FROM tr WHERE label IS NOT NULL""",
     ),
     "document_availability": (

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from topicloom.functions.numeric import r6 as R
-from topicloom.models import clustering, gibbs, words
-from topicloom.operators import corpus, topics
+from topicloom.models import clustering, encoders, gibbs, words
+from topicloom.operators import corpus, sampling, topics
 from topicloom.plans.base import SENTS, SENT_TOPIC, TOPS, Base, r6
-from topicloom.session import cut, shared_dir
+from topicloom.session import cut, scratch
 from topicloom.sources import writers
 from topicloom.streaming import cooccurrence
 
@@ -36,10 +34,25 @@ def _vmf_parameters(b: Base):
     return gibbs.parameters(model, b.spark).select("topic_id", "n", "alpha", "kappa")
 
 
+def _component_topics(b: Base):
+    """Topics of two components each: weight and concentration of every component."""
+    model, _ = gibbs.train(cut(_units(b), "units"), "doc_id", "unit", "vec", 5, "vmf", 3, components=2)
+    return gibbs.parameters(model, b.spark).select("topic_id", "component", "weight", "kappa")
+
+
+def _encoded_documents(b: Base):
+    """Sentences encoded, grouped by document and modelled: from text to topics in one plan."""
+    sents = b.sentences().select("doc_id", "sent_id", F.array_join(corpus.usable("tokens"), " ").alias("text")).where("text <> ''")
+    docs = encoders.document_vectors(encoders.encoded(sents, "text", encoders.HashEncoder(16)))
+    units = docs.select("doc_id", F.explode(F.arrays_zip("units", "vecs")).alias("u")).select("doc_id", F.col("u.units").cast("long").alias("unit"), F.col("u.vecs").cast("array<double>").alias("vec"))
+    _, state = gibbs.train(units, "doc_id", "unit", "vec", 8, "vmf", 2, 2, 1)
+    return state.select("doc_id", F.explode(F.arrays_zip("units", "z")).alias("c")).select("doc_id", F.col("c.units").alias("sent_id"), F.col("c.z").alias("topic_id"))
+
+
 def _cluster(kind: str):
     def run(b: Base):
         v = cut(b.vectors(), "vectors")
-        return clustering.predict(v, "vec_id", "vec", clustering.fit(v, "vec_id", "vec", K, kind), kind)
+        return clustering.predict(v, "vec_id", "vec", clustering.fit(v, "vec_id", "vec", K, kind, starts=2), kind)
 
     return run
 
@@ -69,35 +82,54 @@ def _mvtm(b: Base):
     return state.select("doc_id", F.explode("z").alias("topic_id")).groupBy("doc_id", "topic_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _classify(b: Base):
-    from topicloom.operators import sampling
-
+def _labelled_vectors(b: Base):
     rows = b.vectors().select("vec_id", "vec", F.col("topic_id").cast("string").alias("label"))
-    split = cut(sampling.stratified_split(rows, "label", "vec_id"), "split")
+    return cut(sampling.stratified_split(rows, "label", "vec_id"), "split")
+
+
+def _classify(b: Base):
+    split = _labelled_vectors(b)
     guesses = words.logistic(split.where("split = 'train'"), split.where("split = 'test'"), "vec", "label", "vec_id")
     return topics.confusion_metrics(guesses, "truth", "guess")
 
 
-def _limited_classify(b: Base):
-    from topicloom.operators import sampling
-
-    rows = b.vectors().select("vec_id", "vec", F.col("topic_id").cast("string").alias("label"))
-    split = cut(sampling.stratified_split(rows, "label", "vec_id"), "split")
+def _classify_documents(b: Base):
+    """The topic shares of the first run's documents as features of their source, by two classifiers."""
+    theta = cut(b.theta(), "theta")
+    one = theta.join(F.broadcast(theta.agg(F.min("data_run").alias("data_run"))), "data_run")  # one row
+    k = one.agg(F.max("topic_id")).first()[0] + 1
+    shares = one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("topic_id", "theta"))).alias("m"))
+    dense = shares.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vec"))
+    split = cut(sampling.stratified_split(dense.join(b.labels(), "doc_id"), "label", "doc_id"), "split")
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
     out = None
-    for ratio in (0.25, 0.5):
-        small = sampling.limited_train(split.where("split = 'train'").drop("split"), "label", "vec_id", ratio)
-        one = topics.confusion_metrics(words.logistic(small, split.where("split = 'test'"), "vec", "label", "vec_id"), "truth", "guess").withColumn("ratio", F.lit(ratio))
+    for name, classify in (("logistic", words.logistic), ("svm", words.linear_svm)):
+        one = topics.confusion_metrics(classify(train, test, "vec", "label", "doc_id"), "truth", "guess").withColumn("classifier", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _limited_classify(b: Base):
+    """Ratios and counts of training rows, each drawn twice, with another draw where only one class came out."""
+    split = _labelled_vectors(b)
+    train, test = split.where("split = 'train'").drop("split"), split.where("split = 'test'")
+    out = None
+    for mode, value in (("ratio", 0.25), ("ratio", 0.5), ("count", 50)):
+        for repeat in range(2):
+            size = {mode: value}
+            small, tries = sampling.until_two_classes(lambda seed, size=size: sampling.limited_train(train, "label", "vec_id", seed=seed, **size), "label", [str(42 + repeat * 1000 + retry * 100_000) for retry in range(2)])
+            one = topics.confusion_metrics(words.logistic(small, test, "vec", "label", "vec_id"), "truth", "guess")
+            one = one.select(F.lit(mode).alias("mode"), F.lit(float(value)).alias("value"), F.lit(repeat).alias("repeat"), F.lit(tries).alias("tries"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _stream(b: Base, target: list[str] | None = None):
     """The stream reads the documents in several files; batch and stream must agree. It counts TARGET_WORDS or the words given."""
-    base = f"{shared_dir(b.spark).rstrip('/')}/topicloom/stream-{uuid.uuid4().hex[:10]}"
+    base = scratch(b.spark, "stream")
     docs = b.docs("document_tokens").select("doc_id", "document_tokens")
     docs.repartition(4, "doc_id").write.parquet(f"{base}/in")
-    name = f"pairs_{uuid.uuid4().hex[:10]}"
-    return cooccurrence.stream_pairs(b.spark, f"{base}/in", docs.schema, TARGET_WORDS if target is None else target, name, f"{base}/checkpoint")
+    return cooccurrence.stream_pairs(b.spark, f"{base}/in", docs.schema, TARGET_WORDS if target is None else target, f"{base}/out", f"{base}/checkpoint")
 
 
 def _stream_topics(b: Base):
@@ -131,7 +163,7 @@ def _usif_sentences(b: Base):
 
 
 def _jsonl_round_trip(b: Base):
-    path = f"{shared_dir(b.spark).rstrip('/')}/topicloom/jsonl-{uuid.uuid4().hex[:10]}"
+    path = scratch(b.spark, "jsonl")
     writers.jsonl(topics.from_counts(topics.assignments(b.sentence_topic())).select("data_run", "doc_id", "topic_id", "n"), path)
     return b.spark.read.schema("data_run STRING, doc_id LONG, n LONG, topic_id INT").json(path)
 
@@ -146,24 +178,6 @@ def _topic_count_grid(b: Base):
     return b.spark.createDataFrame(rows, "topics INT, rounds INT, log_perplexity DOUBLE, overflow BOOLEAN")
 
 
-def _prepared_dataset(b: Base):
-    """Cleaned documents, those without a kept sentence dropped, split by label and written as CSV with a manifest; read back."""
-    from topicloom.operators import sampling
-    from topicloom.sources import readers
-
-    judged = cut(corpus.judged_sentences(b.sentences(), unicode=False), "judged")
-    texts = corpus.prepared_texts(judged).join(b.labels(), "doc_id")
-    split = cut(sampling.stratified_split(texts, "label", "doc_id"), "split")
-    base = f"{shared_dir(b.spark).rstrip('/')}/topicloom/prepared-{uuid.uuid4().hex[:10]}"
-    stats = corpus.quality_stats(judged).first().asDict()
-    out = None
-    for part in ("train", "test"):
-        writers.csv_dataset(split.where(F.col("split") == part).select("doc_id", F.col("text").alias("data"), F.col("label").alias("target_str")), f"{base}/{part}", {"split": part, "stats": stats})
-        one = readers.csv_corpus(b.spark, f"{base}/{part}", "data", "target_str").select(F.lit(part).alias("split"), "text", "label")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def _feature_importance(b: Base):
     """The dimensions of largest and smallest weight for each class of a multinomial classifier."""
     from pyspark.ml.classification import LogisticRegression
@@ -171,8 +185,12 @@ def _feature_importance(b: Base):
 
     rows = b.vectors().select(F.col("topic_id").cast("double").alias("label"), array_to_vector(F.col("vec")).alias("features"))
     m = LogisticRegression(family="multinomial", maxIter=20, regParam=1e-3).fit(rows).coefficientMatrix.toArray()
-    out = [(int(c), int(d), float(m[c, d]), rank + 1) for c in range(m.shape[0]) for rank, d in enumerate(sorted(range(m.shape[1]), key=lambda d, c=c: -m[c, d])[:5])]
-    return b.spark.createDataFrame(out, "class INT, dimension INT, weight DOUBLE, rank INT")
+    out = []
+    for c in range(m.shape[0]):
+        order = sorted(range(m.shape[1]), key=lambda d, c=c: (-m[c, d], d))
+        for side, chosen in (("largest", order[:5]), ("smallest", order[::-1][:5])):
+            out += [(c, side, rank, int(d), float(m[c, d])) for rank, d in enumerate(chosen, 1)]
+    return b.spark.createDataFrame(out, "class INT, side STRING, rank INT, dimension INT, weight DOUBLE")
 
 
 def _soft_inference(b: Base):
@@ -182,17 +200,20 @@ def _soft_inference(b: Base):
 
 QUERIES = {
     "topic_count_grid": (_topic_count_grid, None),
-    "prepared_dataset": (_prepared_dataset, None),
     "feature_importance": (_feature_importance, None),
     "vmf_soft_inference": (_soft_inference, None),
     "vmf_sentence_topics": (_gibbs("vmf", 4), None),
     "vmf_topic_parameters": (_vmf_parameters, None),
+    "vmf_component_topics": (_component_topics, None),
+    "vmf_encoded_documents": (_encoded_documents, None),
+    "euclidean_kmeans": (_cluster("kmeans"), None),
+    "document_classification": (_classify_documents, None),
     "gaussian_sentence_topics": (_gibbs("gaussian", 2), None),
     "word_vector_topics": (_mvtm, None),
     "spherical_kmeans": (_cluster("skmeans"), None),
     "direction_mixture": (_cluster("movmf"), None),
     "diagonal_gaussian_mixture": (_cluster("gmm"), None),
-    "spark_kmeans": (lambda b: clustering.spark_kmeans(cut(b.vectors(), "vectors"), "vec_id", "vec", K), None),
+    "spark_kmeans": (lambda b: clustering.spark_kmeans(cut(b.vectors(), "vectors"), "vec_id", "vec", K, cosine=False), None),
     "sentence_cluster_topics": (_senclu, None),
     "sentence_lda": (lambda b: words.sentence_lda(_sentence_words(b), K, 3)[0], None),
     "online_lda": (lambda b: words.online_lda(cut(_doc_words(b), "doc-words"), K)[0], None),

@@ -136,6 +136,10 @@ def _whitened(b: Base):
     return v.select("vec_id", "vec").mapInPandas(apply, "vec_id LONG, vec ARRAY<DOUBLE>")
 
 
+_PAIRS_SQL = f"""WITH {VECTORS}, p AS (SELECT q.vec_id AS query, v.vec_id AS neighbour, round(list_cosine_similarity(q.vec, v.vec), 9) AS s, list_cosine_similarity(q.vec[1:{DIM // 2}], v.vec[1:{DIM // 2}]) AS h FROM vecs q JOIN vecs v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS r FROM p)
+SELECT DISTINCT least(query, neighbour) AS a, greatest(query, neighbour) AS b, {r6('1.0 - s')} AS close, {r6('1.0 - h')} AS far FROM k WHERE r <= 30"""
+
 QUERIES = {
     "vmf_sufficient_stats": (
         lambda b: _params(b).select("topic_id", "n", R("resultant").alias("resultant"), R4(F.col("kappa")).alias("kappa")),
@@ -202,9 +206,13 @@ SELECT * FROM (SELECT query, neighbour, CAST(row_number() OVER (PARTITION BY que
     ),
     "cross_model_pairs": (
         _pairs,
-        lambda: f"""WITH {VECTORS}, p AS (SELECT q.vec_id AS query, v.vec_id AS neighbour, round(list_cosine_similarity(q.vec, v.vec), 9) AS s, list_cosine_similarity(q.vec[1:{DIM // 2}], v.vec[1:{DIM // 2}]) AS h FROM vecs q JOIN vecs v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS r FROM p)
-SELECT DISTINCT least(query, neighbour) AS a, greatest(query, neighbour) AS b, {r6('1.0 - s')} AS close, {r6('1.0 - h')} AS far FROM k WHERE r <= 30""",
+        lambda: _PAIRS_SQL,
+    ),
+    "greedy_unique_pairs": (
+        _greedy_pairs,
+        lambda: f"""WITH RECURSIVE base AS ({_PAIRS_SQL}), o AS (SELECT *, far - close AS gap, row_number() OVER (ORDER BY far - close DESC, far DESC, a, b) AS r FROM base),
+g AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS used, false AS taken UNION ALL
+  SELECT o.r, CASE WHEN list_contains(used, a) OR list_contains(used, b) THEN used ELSE used || [a, b] END, NOT (list_contains(used, a) OR list_contains(used, b)) FROM g JOIN o ON o.r = g.r + 1)
+SELECT a, b, close, far, gap FROM g JOIN o USING (r) WHERE taken""",
     ),
-    "greedy_unique_pairs": (_greedy_pairs, None),
 }

@@ -113,8 +113,20 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     return df.repartition(2 * cores, *keys) if small else df
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows, else without one. df should be cheap to read twice."""
+#: Bytes up to which a side may be broadcast by its plan's statistics.
+BROADCAST_BYTES = 64 << 20
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is known to be small, else without one.
+
+    The plan's own upper bound of its bytes is asked first, which runs nothing; only if that is too
+    large is df written once, counted and measured, and read back by the join.
+    """
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = lambda x: int(str(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size(df) <= max_bytes:
+        return F.broadcast(df)
+    df = cut(df, "side")
+    return F.broadcast(df) if size(df) <= max_bytes and df.count() <= max_rows else df

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from topicloom.session import cut
 
 
 def csv_corpus(spark: SparkSession, paths: str | list[str], text_column: str = "data", target_column: str | None = None, targets: list[str] | None = None, strip: bool = True) -> DataFrame:
@@ -28,14 +29,59 @@ def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def numbered(files: list[DataFrame]) -> DataFrame:
-    """The union of frames with doc_id from 0 in the order of the list and of their rows; counts per partition give the offsets, no row is gathered."""
-    both = None
-    for i, df in enumerate(files):
-        one = df.withColumn("_file", F.lit(i))
-        both = one if both is None else both.unionByName(one, allowMissingColumns=True)
-    schema = T.StructType([T.StructField("doc_id", T.LongType(), False), *both.drop("_file").schema])
-    rows = both.drop("_file").rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    return both.sparkSession.createDataFrame(rows, schema)
+    """The union of frames with doc_id from 0 in the order of the list and of their rows. Rows are counted per partition, and each partition's rows count on from those before: nothing is gathered or shuffled."""
+    both = files[0]
+    for df in files[1:]:
+        both = both.unionByName(df, allowMissingColumns=True)
+    rows = cut(both.withColumn("_i", F.monotonically_increasing_id()), "numbered")
+    part, inside = F.shiftright("_i", 33), F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("_p", before.alias("_before")))  # one row per partition
+    return rows.join(starts, part == F.col("_p")).select((F.col("_before") + inside).alias("doc_id"), *both.columns)
+
+
+def dataset_split(spark: SparkSession, folder: str, catalog: dict[str, list[str]], name: str) -> DataFrame:
+    """The rows of all tables of a data set by name, with the table's name as split where they have none; an unknown name is an error."""
+    if name not in catalog:
+        raise ValueError(f"unknown data set {name!r}; there are {sorted(catalog)}")
+    out = None
+    for part in catalog[name]:
+        rows = spark.read.parquet(f"{folder}/{part}.parquet")
+        rows = rows if "split" in rows.columns else rows.withColumn("split", F.lit(part))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def labelled_frame(rows: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
+    """(text, label) of the rows that have both; a missing column is an error."""
+    for name in (text, label):
+        if name not in rows.columns:
+            raise ValueError(f"no column {name!r}; there are {rows.columns}")
+    return rows.select(F.col(text).alias("text"), F.col(label).alias("label")).na.drop()
+
+
+def fiscal_years(rows: DataFrame, at: str, years: list[int], first_month: int = 4, per_year: bool = True) -> DataFrame:
+    """Rows of the fiscal years named, each year once, with a column run: one per year, or one for all together."""
+    years = list(dict.fromkeys(years))
+    year = F.year(F.add_months(F.col(at).cast("date"), 1 - first_month))
+    found = rows.withColumn("fiscal_year", year).where(F.col("fiscal_year").isin(years))
+    joined = "-".join(map(str, years))
+    return found.withColumn("run", F.col("fiscal_year").cast("string") if per_year else F.lit(joined))
+
+
+def stopwords(spark: SparkSession, path: str) -> DataFrame:
+    """(word) of a text file, once each: blank lines and those that start with # are skipped, NFKC."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def compat(words: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return words.map(lambda w: unicodedata.normalize("NFKC", w).strip())
+
+    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
+    return lines.select(compat("value").alias("word")).where("word <> ''").distinct()
 
 
 def tokenized_jsonl(lines: DataFrame, column: str = "value", min_tokens: int = 1, max_docs: int | None = None, strict: bool = False) -> DataFrame:

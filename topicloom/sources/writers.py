@@ -42,6 +42,25 @@ def evaluation_json(df: DataFrame, path: str, meta: dict) -> None:
     _put(df.sparkSession, path, json.dumps(payload, sort_keys=True, default=str))
 
 
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Adds run results to the table of all runs; what is latest is a view over it, latest_view()."""
+    runs.write.mode("append").parquet(path)
+
+
+def latest_view(spark, path: str, key: list[str]) -> DataFrame:
+    """The last run of every key of a table of runs."""
+    from topicloom.sources.readers import latest_per_key
+
+    return latest_per_key(spark.read.parquet(path), key)
+
+
+def marked_cell(value, mark, digits: int = 2):
+    """A number with digits decimals, bold if it is best and underlined if second, '--' for null."""
+    text = F.format_string(f"%.{digits}f", value)
+    shown = F.when(mark == "best", F.concat(F.lit("\\textbf{"), text, F.lit("}"))).when(mark == "second", F.concat(F.lit("\\underline{"), text, F.lit("}"))).otherwise(text)
+    return F.when(value.isNull(), "--").otherwise(shown)
+
+
 def latex_rows(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """One LaTeX table row per row, in a column latex, with the sort columns."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("--")) for c in columns]

@@ -20,9 +20,18 @@ def document_pairs(docs: DataFrame, words: list[str] | None = None) -> DataFrame
     return singles.unionByName(pairs).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"))
 
 
-def stream_pairs(spark: SparkSession, path: str, schema, words: list[str], name: str, checkpoint: str) -> DataFrame:
-    """Runs the counts over all files there are, as a stream that can be resumed, and returns its table."""
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    query = document_pairs(source, words).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_pairs(spark: SparkSession, path: str, schema, words: list[str] | None, out: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
+    """Runs the counts over all files there are, as a stream that can be resumed, and returns their table.
+
+    Each micro-batch is counted by itself and written under its own number, so a batch that runs again
+    after a failure replaces its own counts; no state is kept, and the table is the sum over batches.
+    """
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+    def add(batch: DataFrame, number: int) -> None:
+        document_pairs(batch, words).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    parts = spark.read.schema("w1 STRING, w2 STRING, c LONG, batch LONG").parquet(out)
+    return parts.groupBy("w1", "w2").agg(F.sum("c").alias("c"))
