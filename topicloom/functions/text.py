@@ -130,10 +130,18 @@ def quality(cleaned: Column) -> dict[str, Column]:
     return {"reason": reason, "char_count": size, "word_count": words, "alpha_count": letters, "punctuation_ratio": ratio}
 
 
-def english_tokens(text: Column, min_length: int = 2, number: str | None = "<NUM>", fold: bool = False) -> Column:
-    """Lower-case words of letters and a sign for each number (None keeps numbers), in order; words shorter than min_length are dropped. fold reads letters without accents."""
+def english_tokens(text: Column, min_length: int = 2, number: str | None = "<NUM>", fold: bool = False, lemmas: dict[str, str] | None = None) -> Column:
+    """Lower-case words of letters and a sign for each number (None keeps numbers), in order; words shorter than min_length are dropped. fold reads letters without accents.
+
+    lemmas replace words from a small table, which becomes part of the plan; a table of more than 1,000 words is joined by corpus.lemmatised().
+    """
     found = F.regexp_extract_all(folded(text) if fold else text, F.lit(r"([A-Za-z]+|[0-9]+(?:[.,][0-9]+)?)"), F.lit(1))
     words = F.transform(found, lambda w: F.when(w.rlike("^[0-9]"), w if number is None else F.lit(number)).otherwise(F.lower(w)))
+    if lemmas:
+        if len(lemmas) > 1000:
+            raise ValueError("join more than 1,000 lemmas by corpus.lemmatised()")
+        table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
+        words = F.transform(words, lambda w: F.coalesce(table[w], w))
     return F.filter(words, lambda w: w.rlike("^[0-9<]") | (F.length(w) >= min_length))
 
 
