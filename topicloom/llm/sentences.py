@@ -53,7 +53,11 @@ _CLOSE = {v: k for k, v in _OPEN.items()}
 _BRACKETS = set("([{（【［〔")
 _PAIRED = re.compile("[" + re.escape("".join({*_OPEN, *_CLOSE, *"„\"＂'‘’"})) + "]")
 _EMOJI = "[\U0001f000-\U0001faff☀-➿⭐⭕⌚⌛❤]"
-_FACE = re.compile(rf"(?:{_EMOJI}[️‍\U0001f3fb-\U0001f3ff]*)+|(?<!\S)(?:[:;=][-'^o]?[)(DPp\]\[|/\\*]|\^_\^|<3|xD|XD)(?!\w)")
+#: It begins with one class of signs, which the search runs to; what stands before and after is asked then.
+_FACE = re.compile(
+    rf"[:;=^<xX{_EMOJI[1:-1]}](?:(?<={_EMOJI})[️‍\U0001f3fb-\U0001f3ff]*(?:{_EMOJI}[️‍\U0001f3fb-\U0001f3ff]*)*"
+    r"|(?<!\S[:;=^<xX])(?:(?<=[:;=])[-'^o]?[)(DPp\]\[|/\\*]|(?<=\^)_\^|(?<=<)3|(?<=[xX])D)(?!\w))"
+)
 _ENDS = re.compile(rf"[{re.escape(TERMINATORS)}{_PAUSE}]+")
 _BLANK = re.compile(r"(?:\r\n|\r|\n| | |\x0b|\x0c)[^\S\r\n]*(?:\r\n|\r|\n| )| ")
 _LINE = re.compile(r"\r\n|\r|\n| |\x0b|\x0c|\x85")
