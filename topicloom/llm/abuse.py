@@ -234,7 +234,7 @@ VOTERS: list[tuple[str, int, list[str]]] = [
     ("handwork", -1, [rf"\b{_words('dust dusty bolt bolts nut nuts tighten mount mounted bracket lid wall plug tray hinge drill')}\b"]),
     ("medicine", -1, [rf"\b{_words('clinic cancer doctor doctors patient patients hospital health education screening therapy vaccine disease hotline eye safe ratio cáncer sein mama mamografía')}\b", r"(?:brustkrebs|vorsorge|dépistage|癌|がん)"]),
     ("animals", -1, [rf"\b{_words('puppy puppies breeder breeders fish egg eggs species adult herd kennel jar jars crowed crows hen farm farmer stable zoo insect insects larva pond birds wings')}\b", r"(?:貝|魚|飼育|駆除|防除|杀虫)"]),
-    ("arts", -1, [rf"\b{_words('novel film opera painting statue gallery museum act scene comic parts role roles character chorus hero ballet actor nude estatua modell modelo')}\b", r"(?:роман|小説|映画|aktkurs)", r"\b(?:the|a|this|his|her) (?:\w+ )?plays?\b"]),
+    ("arts", -1, [rf"\b{_words('novel film opera painting statue gallery museum act scene comic parts role roles character chorus hero ballet actor estatua modell modelo')}\b", r"(?:роман|小説|映画|aktkurs)", r"\b(?:the|a|this|his|her) (?:\w+ )?plays?\b"]),
     ("own_mistake", -1, [r"(?:^|[—:;–-])\W*(?:oh )?(?:shit|damn|crap|fuck|hell)\b,? (?:i|the|my|that|it|we)\b", r"\bmy (?:\w+ )?mistake\b", r"\bthe wrong\b"]),
     ("fans", -1, [rf"\b{_words('fan fans queued concert goal tournament killer sick game score beat')}\b"]),
     ("peoples", -1, [rf"\b{_words('language languages speakers dialect dialects festival cuisine culture population tradition visitors folk music drew')}\b", r"(?:sprache|langue|lengua|язык|言語|语言)"]),
