@@ -145,6 +145,16 @@ def english_tokens(text: Column, min_length: int = 2, number: str | None = "<NUM
     return F.filter(words, lambda w: w.rlike("^[0-9<]") | (F.length(w) >= min_length))
 
 
+#: Runs of one Japanese script, of Latin letters, or a number.
+JAPANESE_TOKEN = "[一-龯々〆]+|[ァ-ヶー]+|[ぁ-ゖ]+|[A-Za-z]+|[0-9]+"
+
+
+def script_runs(text: Column) -> Column:
+    """Japanese text as runs of one script, Latin words in lower case, <NUM> for numbers. It is no morphological analysis: a word of two scripts is two tokens."""
+    found = F.regexp_extract_all(text, F.lit(f"({JAPANESE_TOKEN})"), F.lit(1))
+    return F.transform(found, lambda w: F.when(w.rlike("^[0-9]"), F.lit("<NUM>")).otherwise(F.lower(w)))
+
+
 def whitespace_terms(text: Column, stopwords: list[str] = (), fold: bool = False) -> Column:
     """Lower-case terms with punctuation and digits read as spaces, without stopwords; fold reads letters without accents."""
     spaced = F.regexp_replace(F.lower(folded(text) if fold else text), r"[^a-z]+", " ")

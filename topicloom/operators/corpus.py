@@ -166,6 +166,28 @@ def labels(rows: DataFrame, column: str, allowed: list[str] | None = None, exclu
     return out.where(~F.col("label").isin(list(excluded))) if excluded else out
 
 
+def extracted_labels(docs: DataFrame, label: str, sentences_: str, allowed: list[str] | None = None) -> DataFrame:
+    """Documents with a sentence that is not blank and a label that is not, trimmed; only allowed ones if a category is known (None: all)."""
+    said = F.coalesce(F.exists(sentences_, lambda s: F.coalesce(F.trim(s), F.lit("")) != ""), F.lit(False))
+    return labels(docs.where(said), label, allowed)
+
+
+def targets_of(category: str, explicit: dict[str, list[str]] | None = None, built_in: dict[str, list[str]] | None = None, rows: DataFrame | None = None, column: str = "label", excluded: list[str] = ()) -> list[str] | None:
+    """The targets of a category: those given for it, else no filter for 'unfiltered', else the built-in ones, else, for 'all', all labels of rows without the excluded; a KeyError otherwise."""
+    if explicit and category in explicit:
+        return explicit[category]
+    if category == "unfiltered":
+        return None
+    if built_in and category in built_in:
+        return built_in[category]
+    if category == "all" and rows is not None:
+        found = labels(rows, column, None, excluded).select("label").distinct().limit(10_001).collect()  # the classes of a data set
+        if len(found) > 10_000:
+            raise ValueError(f"{column} has more than 10,000 values; it is no label")
+        return sorted(r["label"] for r in found)
+    raise KeyError(category)
+
+
 def all_targets(rows: DataFrame, column: str, category: Column, excluded: list[str] = ()) -> DataFrame:
     """(category, targets): the sorted labels of each category, and of 'all' without the excluded."""
     named = rows.select(category.alias("category"), F.col(column).alias("label")).distinct()

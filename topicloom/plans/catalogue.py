@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.plans import corpus_queries, model_queries, preparation_queries, run_queries, step_queries, topic_queries, vector_queries
+from topicloom.plans import corpus_queries, model_queries, preparation_queries, run_queries, selection_queries, step_queries, topic_queries, vector_queries
 from topicloom.plans.base import Base
 
-ALL = {**topic_queries.QUERIES, **corpus_queries.QUERIES, **vector_queries.QUERIES, **run_queries.QUERIES, **model_queries.QUERIES, **preparation_queries.QUERIES, **step_queries.QUERIES}
+ALL = {**topic_queries.QUERIES, **corpus_queries.QUERIES, **vector_queries.QUERIES, **run_queries.QUERIES, **model_queries.QUERIES, **preparation_queries.QUERIES, **step_queries.QUERIES, **selection_queries.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,14 +72,9 @@ def fiscal_years(rows: DataFrame, at: str, years: list[int], first_month: int =
 
 def stopwords(spark: SparkSession, path: str) -> DataFrame:
     """(word) of a text file, once each: blank lines and those that start with # are skipped, NFKC."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def compat(words: pd.Series) -> pd.Series:
-        import unicodedata
-
-        return words.map(lambda w: unicodedata.normalize("NFKC", w).strip())
+    import unicodedata
 
+    compat = F.udf(lambda w: unicodedata.normalize("NFKC", w).strip(), "string", useArrow=True)
     lines = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("#"))
     return lines.select(compat("value").alias("word")).where("word <> ''").distinct()
 
@@ -87,14 +82,14 @@ def stopwords(spark: SparkSession, path: str) -> DataFrame:
 def tokenized_jsonl(lines: DataFrame, column: str = "value", min_tokens: int = 1, max_docs: int | None = None, strict: bool = False) -> DataFrame:
     """tokens of each JSON line that is an object with tokens or a bare list; tokens are trimmed and empty ones dropped, short documents too.
 
-    strict raises an error for a line that is neither; else such lines are left out.
+    strict raises an error for a line that is neither, with its number if the frame has a column line_no; else such lines are left out.
     """
     whole = F.col(column).rlike(r"^\s*(\{[\s\S]*\}|\[[\s\S]*\])\s*$")
     given = F.coalesce(F.from_json(column, "tokens ARRAY<STRING>")["tokens"], F.from_json(column, "ARRAY<STRING>"))
     tokens = F.filter(F.transform(given, lambda t: F.trim(t)), lambda t: t != "")
     rows = lines.withColumn("tokens", F.when(whole, tokens))
     if strict:
-        rows = rows.withColumn("tokens", F.when(F.col("tokens").isNull(), F.raise_error(F.concat(F.lit("not a tokenized document: "), F.col(column)))).otherwise(F.col("tokens")))
+        rows = rows.withColumn("tokens", F.when(F.col("tokens").isNull(), F.raise_error(F.concat(F.lit("not a tokenized document"), F.concat(F.lit(" in line "), F.col("line_no").cast("string")) if "line_no" in lines.columns else F.lit(""), F.lit(": "), F.coalesce(column, F.lit("null"))))).otherwise(F.col("tokens")))
     rows = rows.where(F.size("tokens") >= min_tokens)
     return rows if max_docs is None else rows.limit(max_docs)
 
@@ -116,6 +111,42 @@ def word_vectors(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("p")[0].alias("word"), F.slice("p", 2, F.size("p") - 1).cast("array<float>").alias("vec"))
 
 
+def word_vectors_binary(spark: SparkSession, path: str, name: str = "word") -> DataFrame:
+    """(word, vec) of word2vec binary files, plain or compressed by gzip: a line with two sizes, then each word, a blank and its numbers in single precision. A file is read by one task."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def read(batches):
+        import gzip
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                head, at = data.index(b"\n"), 0
+                n, d = map(int, data[:head].split())
+                at, words, rows = head + 1, [], []
+                for _ in range(n):
+                    end = data.index(b" ", at)
+                    words.append(data[at:end].lstrip(b"\n").decode("utf-8", "replace"))
+                    rows.append(np.frombuffer(data, "<f4", d, end + 1).tolist())
+                    at = end + 1 + 4 * d
+                    if len(words) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(rows, pa.list_(pa.float32()))], names=[name, "vec"])
+                        words, rows = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(rows, pa.list_(pa.float32()))], names=[name, "vec"])
+
+    return files.mapInArrow(read, f"{name} STRING, vec ARRAY<FLOAT>")
+
+
+def entity_vectors(spark: SparkSession, path: str, prefix: str = "ENTITY/") -> DataFrame:
+    """(name, is_entity, vec) of a text file of word and entity vectors: entities begin with a prefix and have _ for blanks. Bz2 and gzip files are read as they are."""
+    rows = word_vectors(spark, path)
+    entity = F.startswith("word", F.lit(prefix))
+    return rows.select(F.when(entity, F.translate(F.substring("word", len(prefix) + 1, 10_000), "_", " ")).otherwise(F.col("word")).alias("name"), entity.alias("is_entity"), "vec")
+
+
 def latest_per_key(runs: DataFrame, key: list[str], at: str = "started_at", tie: str = "execution_id") -> DataFrame:
     """The last run of every key by start, then by execution."""
     order = W.partitionBy(*key).orderBy(F.col(at).desc_nulls_last(), F.col(tie).desc_nulls_last())
