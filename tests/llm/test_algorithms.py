@@ -78,6 +78,7 @@ def test_word_distance():
         b = [x for x in a if rng.random() > 0.2] + [rng.randrange(6) for _ in range(rng.randrange(4))]
         want, most = edit(a, b), rng.randrange(12)
         assert overlap.word_distance(a, b, most) == min(want, most + 1)
+        assert overlap.fewest_edits(a, b) <= want
 
 
 def test_reader_words():
