@@ -187,3 +187,28 @@ def test_components_of_directions(spark):
     single = gibbs.Topics("vmf", np.ones(2), model.mean[:, :1], model.kappa[:, :1], weights=np.ones((2, 1)))
     assert single.log_density(x) == pytest.approx(plain.log_density(x))
     assert {len(set(r["z"])) for r in state.collect()} <= {1, 2}
+
+
+def test_names_and_tokenized_documents(spark):
+    from topicloom.functions import names
+
+    assert names.language(" English ") == "en" and names.language("German") == "ge" and names.tokenizer("Japanese") == "scripts" and names.tokenizer("en", "gensim") == "words"
+    for call in (lambda: names.tokenizer("en", "mecab"), lambda: names.tokenizer("ja", "simple"), lambda: names.tokenizer("en", "x"), lambda: names.sentences(F.lit("a"), "x")):
+        with pytest.raises(ValueError):
+            call()
+    docs = spark.createDataFrame([(1, "The old box. It fell on 3 mats!"), (2, None), (3, " ")], "doc_id INT, t STRING")
+    got = {r["doc_id"]: (r["sentences_raw"], r["sentences_tokenized"], r["document_tokens"]) for r in corpus.tokenized(docs, "t", "en").collect()}
+    assert got[1] == (["The old box.", "It fell on 3 mats!"], [["the", "old", "box"], ["it", "fell", "on", "<NUM>", "mats"]], ["the", "old", "box", "it", "fell", "on", "<NUM>", "mats"])
+    assert got[2] == got[3] == ([], [], [])
+
+
+def test_cholesky_updates():
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(5, 5))
+    a, x = a @ a.T + np.eye(5), rng.normal(size=5)
+    up = gibbs.cholesky_update(np.linalg.cholesky(a), x)
+    assert up @ up.T == pytest.approx(a + np.outer(x, x))
+    down = gibbs.cholesky_update(up, x, -1.0)
+    assert down @ down.T == pytest.approx(a)
+    with pytest.raises(ValueError):
+        gibbs.cholesky_update(np.eye(2), np.array([2.0, 0.0]), -1.0)

@@ -30,6 +30,21 @@ def hash_uniforms(seed: int, iteration: int, sweep: int, doc: int, n: int) -> np
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+def cholesky_update(low: np.ndarray, x: np.ndarray, sign: float = 1.0) -> np.ndarray:
+    """The lower Cholesky factor of A + sign x x' from that of A, in D^2 steps; a ValueError if nothing positive is left."""
+    low, x = low.copy(), x.astype(float).copy()
+    for k in range(len(x)):
+        square = low[k, k] ** 2 + sign * x[k] ** 2
+        if square <= 0:
+            raise ValueError("the matrix would not be positive definite")
+        r = math.sqrt(square)
+        c, s = r / low[k, k], x[k] / low[k, k]
+        low[k, k] = r
+        low[k + 1 :, k] = (low[k + 1 :, k] + sign * s * x[k + 1 :]) / c
+        x[k + 1 :] = c * x[k + 1 :] - s * low[k + 1 :, k]
+    return low
+
+
 def gibbs_sweep(z: np.ndarray, log_density: np.ndarray, alpha: np.ndarray, uniforms: np.ndarray) -> np.ndarray:
     """One pass over a document: each unit leaves its topic and draws one in proportion to density times (count + alpha)."""
     counts = np.bincount(z[z >= 0], minlength=len(alpha)).astype(float)

@@ -122,6 +122,18 @@ def segmented(docs: DataFrame, text: str = "raw_text", delimiter: str = " / ") -
     return docs.select("doc_id", F.array_join(X.split_sentences(F.coalesce(text, F.lit("")), None), delimiter).alias("text"))
 
 
+def tokenized(docs: DataFrame, text: str, language: str, tokenizer: str = "default", segmenter: str = "pysbd") -> DataFrame:
+    """(doc_id, sentences_raw, sentences_tokenized, document_tokens) of whole texts: sentences by a segmenter, each with its tokens, and all tokens in order."""
+    from topicloom.functions import names
+
+    rows = docs.select("doc_id", names.sentences(F.coalesce(text, F.lit("")), segmenter).alias("sentences_raw"))
+    each = rows.select("doc_id", "sentences_raw", F.posexplode_outer("sentences_raw").alias("_i", "_s"))
+    each = each.select("doc_id", "sentences_raw", "_i", names.tokens(F.coalesce("_s", F.lit("")), language, tokenizer).alias("_t"))
+    lists = each.groupBy("doc_id").agg(F.first("sentences_raw").alias("sentences_raw"), F.array_sort(F.collect_list(F.struct("_i", "_t"))).alias("_l"))
+    lists = lists.withColumn("sentences_tokenized", F.transform(F.filter("_l", lambda x: x["_i"].isNotNull()), lambda x: x["_t"]))
+    return lists.select("doc_id", "sentences_raw", "sentences_tokenized", F.flatten("sentences_tokenized").alias("document_tokens"))
+
+
 def lemmatised(rows: DataFrame, lemmas: DataFrame, term: str = "term") -> DataFrame:
     """The rows with each term replaced by its lemma in (term, lemma), if it has one; of several the least. A table of checked size is broadcast."""
     table = lemmas.groupBy(F.col("term").alias(term)).agg(F.min("lemma").alias("_lemma"))

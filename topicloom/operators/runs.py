@@ -111,3 +111,8 @@ def check_rows(before: DataFrame, after: DataFrame, what: str) -> DataFrame:
     if a != b:
         raise ValueError(f"{what}: {a} rows became {b}")
     return after
+
+
+def aligned(left: DataFrame, right: DataFrame, key: str, at: str = "place") -> DataFrame:
+    """The keys that both sides have, with their places on both, in the left one's order: what index maps between two tables of rows say."""
+    return left.select(key, F.col(at).alias("left_place")).join(right.select(key, F.col(at).alias("right_place")), key)

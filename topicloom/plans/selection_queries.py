@@ -9,10 +9,11 @@ from topicloom.functions.numeric import r6 as R
 from topicloom.operators import corpus, runs, topics
 from topicloom.plans.base import BOW, DOCS, LABELS, RUNS, SENT_TOPIC, SENTS, THETA, VOCAB, Base, r6
 from topicloom.plans.corpus_queries import SELECT_SQL
+from topicloom.plans.preparation_queries import _raw_sql
 from topicloom.plans.topic_queries import ASSIGNED
 from topicloom.plans.vector_queries import _PAIRS_SQL, _pairs
 from topicloom.session import scratch
-from topicloom.sources import writers
+from topicloom.sources import readers, writers
 
 
 def _predicates(b: Base):
@@ -72,6 +73,17 @@ def _whitespace_documents(b: Base, size: int = 300, max_df: float = 0.8):
     return corpus.bag_of_words(corpus.restrict(rows, kept), ["doc_id"])
 
 
+def _places(b: Base):
+    """Where the documents of the first run stand in the last one, each run's documents in order of their ids."""
+    docs = b.theta().select("data_run", "doc_id").distinct()
+    ends = docs.agg(F.min("data_run").alias("first"), F.max("data_run").alias("last"))
+    sides = []
+    for side in ("first", "last"):
+        ids = docs.join(F.broadcast(ends.select(F.col(side).alias("data_run"))), "data_run").select("doc_id")  # one row
+        sides.append(readers.numbered([ids.orderBy("doc_id")], "place"))
+    return runs.aligned(*sides, "doc_id")
+
+
 JAPANESE = X.JAPANESE_TOKEN
 QUERIES = {
     "document_predicates": (
@@ -120,6 +132,16 @@ SELECT doc_id, term, count(*) AS cnt FROM r WHERE term IN (SELECT term FROM k) G
         _results,
         lambda: f"WITH {ASSIGNED} SELECT data_run, topic_id, count(*) AS sentences, count(DISTINCT doc_id) AS documents FROM asg GROUP BY ALL",
     ),
+    "aligned_places": (
+        _places,
+        lambda: f"""WITH {THETA}, d AS (SELECT DISTINCT data_run, doc_id FROM theta), f AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM d WHERE data_run = (SELECT min(data_run) FROM d)),
+l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM d WHERE data_run = (SELECT max(data_run) FROM d)) SELECT f.doc_id, f.p AS left_place, l.p AS right_place FROM f JOIN l USING (doc_id)""",
+    ),
+    "tokenized_documents": (
+        lambda b: corpus.tokenized(b.docs("raw_text", "lang").where("lang = 'ja'"), "raw_text", "japanese").select("doc_id", F.size("sentences_raw").alias("sentences"), F.array_join("document_tokens", " ").alias("tokens")),
+        lambda: f"""WITH {_raw_sql().replace('FROM docs)', "FROM docs WHERE lang = 'ja')", 1)}, t AS (SELECT doc_id, sent_id, list_transform(regexp_extract_all(raw, '{JAPANESE}'), lambda w: CASE WHEN regexp_matches(w, '^[0-9]') THEN '<NUM>' ELSE lower(w) END) AS a FROM sents)
+SELECT p.doc_id, CAST(len(p.a) AS INTEGER) AS sentences, coalesce((SELECT string_agg(array_to_string(t.a, ' '), ' ' ORDER BY sent_id) FROM t WHERE t.doc_id = p.doc_id AND len(t.a) > 0), '') AS tokens FROM parts p""",
+    ),
     "labelled_shares": (
         lambda b: b.theta().join(b.labels(), "doc_id").groupBy("data_run", "label", "topic_id").agg(R(F.sum("theta")).alias("mass"), F.count(F.lit(1)).alias("documents")),
         lambda: f"WITH {DOCS}, {LABELS}, {THETA} SELECT data_run, label, topic_id, {r6('sum(theta)')} AS mass, count(*) AS documents FROM theta JOIN labels USING (doc_id) GROUP BY ALL",

@@ -28,8 +28,8 @@ def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths).where(F.trim("value") != "").select(F.trim("value").alias("text"))
 
 
-def numbered(files: list[DataFrame]) -> DataFrame:
-    """The union of frames with doc_id from 0 in the order of the list and of their rows. Rows are counted per partition, and each partition's rows count on from those before: nothing is gathered or shuffled."""
+def numbered(files: list[DataFrame], name: str = "doc_id") -> DataFrame:
+    """The union of frames with numbers, doc_id, from 0 in the order of the list and of their rows. Rows are counted per partition, and each partition's rows count on from those before: nothing is gathered or shuffled."""
     both = files[0]
     for df in files[1:]:
         both = both.unionByName(df, allowMissingColumns=True)
@@ -38,7 +38,7 @@ def numbered(files: list[DataFrame]) -> DataFrame:
     counts = rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(counts.select("_p", before.alias("_before")))  # one row per partition
-    return rows.join(starts, part == F.col("_p")).select((F.col("_before") + inside).alias("doc_id"), *both.columns)
+    return rows.join(starts, part == F.col("_p")).select((F.col("_before") + inside).alias(name), *both.columns)
 
 
 def dataset_split(spark: SparkSession, folder: str, catalog: dict[str, list[str]], name: str) -> DataFrame:
