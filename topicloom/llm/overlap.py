@@ -264,7 +264,8 @@ def _rarity(texts: DataFrame, theirs: DataFrame) -> Rarity:
 
 
 def _prefixes(texts: DataFrame, given) -> DataFrame:
-    """(fingerprint, length, shingle, place, rarest) of the rare prefix of every text; rarest marks the part that serves partners no longer than the text.
+    """(text_id, shingle, spot) of the rare prefix of every text. spot packs the text's length, the shingle's place and whether it is in
+    the part that serves partners no longer than the text: 31, 31 and 1 bits.
 
     Shingles of the prefix that no evaluation text holds can't meet a partner and are left out once the prefix is known.
     """
@@ -274,23 +275,20 @@ def _prefixes(texts: DataFrame, given) -> DataFrame:
 
         rarity = given.value
         for batch in batches:
-            prints, lengths = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            names, lengths = np.asarray(batch.column(0)), batch.column(2).to_pylist()
             shingles, at = _shingles_of(batch.column(1).to_pylist())
             marked = rarity.marked(shingles)
             out: list[tuple] = []
-            for i, (fingerprint, length) in enumerate(zip(prints, lengths, strict=True)):
+            for i, length in enumerate(lengths):
                 own = shingles[at[i] : at[i + 1]]
                 places, few = rare_prefix(own, rarity.order(own), length)
                 held = marked[at[i] : at[i + 1]][places]
-                places, rarest = places[held], (np.arange(len(places)) < few)[held]
-                out.append((np.full(len(places), length, np.int32), own[places].view(np.int64), places.astype(np.int32), rarest, [fingerprint] * len(places)))
+                spots = (length << 32) + (places << 1) + (np.arange(len(places)) < few)
+                out.append((np.full(len(held), names[i])[held], own[places[held]].view(np.int64), spots[held]))
             if out:
-                lengths_, shingle, place, rarest = (np.concatenate([o[k] for o in out]) for k in range(4))
-                names = [f for o in out for f in o[4]]
-                columns = [pa.array(names, pa.binary()), pa.array(lengths_), pa.array(shingle), pa.array(place), pa.array(rarest)]
-                yield pa.RecordBatch.from_arrays(columns, names=["fingerprint", "length", "shingle", "place", "rarest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["text_id", "shingle", "spot"])
 
-    return texts.select("fingerprint", "words", "length").mapInArrow(run, "fingerprint BINARY, length INT, shingle LONG, place INT, rarest BOOLEAN")
+    return texts.select("text_id", "words", "length").mapInArrow(run, "text_id LONG, shingle LONG, spot LONG")
 
 
 def _verified(candidates: DataFrame) -> DataFrame:
@@ -320,17 +318,21 @@ def overlapping_texts(train: DataFrame, test: DataFrame) -> tuple[DataFrame, Dat
     rows = _distinct_texts(train, "train", ["row_id"]).unionByName(_distinct_texts(test, "test", ["row_id", "split", "source"]), allowMissingColumns=True)
     rows = cut(rows, "rows")
     members = rows.drop("words", "length").dropDuplicates(["side", "row_id", "fingerprint"])
-    texts = cut(rows.groupBy("side", "fingerprint").agg(F.first("words").alias("words"), F.first("length").alias("length")), "texts")
-    ours, theirs = (texts.where(F.col("side") == s).select("fingerprint", "words", "length") for s in ("train", "test"))
+    texts = rows.groupBy("side", "fingerprint").agg(F.first("words").alias("words"), F.first("length").alias("length"))
+    texts = cut(texts.withColumn("text_id", F.monotonically_increasing_id()), "texts")  # written, so a text keeps its number
+    ours, theirs = (texts.where(F.col("side") == s).drop("side") for s in ("train", "test"))
     rarity = spark.sparkContext.broadcast(_rarity(texts, theirs))  # at most 24 MB
-    ours_, theirs_ = ours.select("fingerprint", "words"), theirs.select("fingerprint", "words")
-    probe = _prefixes(ours, rarity).toDF("train_print", "train_length", "shingle", "train_place", "train_rarest")
-    index = _prefixes(theirs, rarity).toDF("test_print", "test_length", "shingle", "test_place", "test_rarest")
-    most = F.floor(F.greatest("train_length", "test_length") * F.lit(EDITS) / F.lit(PER_WORDS))
-    near = (F.abs(F.col("train_length") - F.col("test_length")) <= most) & (F.abs(F.col("train_place") - F.col("test_place")) <= most)
-    longer = F.when(F.col("train_length") >= F.col("test_length"), F.col("train_rarest")).otherwise(F.col("test_rarest"))
-    pairs = probe.join(index, "shingle").where(longer & near).select("train_print", "test_print").distinct()
-    pairs = pairs.join(ours_.toDF("train_print", "a"), "train_print").join(theirs_.toDF("test_print", "b"), "test_print")
+    probe = _prefixes(ours, rarity).toDF("train_id", "shingle", "train_spot")
+    index = _prefixes(theirs, rarity).toDF("test_id", "shingle", "test_spot")
+    length, place, rarest = (lambda c: F.shiftright(c, 32)), (lambda c: F.shiftright(c, 1).bitwiseAND(F.lit(0x7FFFFFFF))), (lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1)
+    ours_long, theirs_long = length("train_spot"), length("test_spot")
+    most = F.floor(F.greatest(ours_long, theirs_long) * F.lit(EDITS) / F.lit(PER_WORDS))
+    near = (F.abs(ours_long - theirs_long) <= most) & (F.abs(place("train_spot") - place("test_spot")) <= most)
+    serves = F.when(ours_long >= theirs_long, rarest("train_spot")).otherwise(rarest("test_spot"))
+    pairs = probe.join(index, "shingle").where(serves & near).select("train_id", "test_id").distinct()
+    a = ours.select(F.col("text_id").alias("train_id"), F.col("fingerprint").alias("train_print"), F.col("words").alias("a"))
+    b = theirs.select(F.col("text_id").alias("test_id"), F.col("fingerprint").alias("test_print"), F.col("words").alias("b"))
+    pairs = pairs.join(a, "train_id").join(b, "test_id")
     return _verified(pairs.select("train_print", "test_print", "a", "b")), members
 
 
