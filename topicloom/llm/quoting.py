@@ -249,10 +249,17 @@ def _looks_signed(line: str) -> bool:
     return bool(_NAME.match(line) or any(p.match(line) for p in _SIG_LINE) or _ORG.match(line)) and not _TERMINAL.search(line.rstrip('"”')) or any(p.match(line) for p in _SIG_LINE)
 
 
+#: Parts that the alternatives of _NOTICE_WORDS begin with: a text without any has no notice word.
+_NOTICE_STEMS = [w for x in _NOTICE_WORDS.pattern.split("|") if (w := re.match(r"[^\[(?]*", x.replace("s?", "")).group())]
+
+
 def _is_notice(lines: list[str]) -> bool:
     text = " ".join(x.strip() for x in lines)
     if any(p.search(text) for p in _NOTICE):
         return True
+    low = text.casefold()
+    if not any(w in low for w in _NOTICE_STEMS):
+        return False
     return len({m.lower() for m in _NOTICE_WORDS.findall(text)}) >= 2
 
 
