@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from topicloom.plans import catalogue
+from topicloom.plans import catalogue, preparation_queries, selection_queries, step_queries
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = """coherence_doc_npmi coherence_c_npmi topic_diversity proxy_word_npmi_words class_tfidf_words doc_topic_from_posteriors sentence_given_topic label_topic_profile_pmi
@@ -14,6 +14,11 @@ sentence_quality audit_review_sample modelable_selection drop_reasons vocabulary
 predictive_perplexity whitening_moments nearest_vectors run_coverage best_and_second usif_word_weights streaming_cooccurrence""".split()
 
 
+#: The queries of these modules, all that have SQL.
+NAMES += [n for m in (preparation_queries, selection_queries, step_queries) for n, (_, sql) in m.QUERIES.items() if sql]
+NAMES += ["greedy_unique_pairs", "whitened_covariance", "assignment_word_scores", "sliding_window_counts"]
+
+
 @pytest.fixture(scope="module")
 def duck():
     duckdb = pytest.importorskip("duckdb")

@@ -195,6 +195,10 @@ SELECT topic_id, n, {r6('resultant')} AS resultant, {r4.format(f'CASE WHEN n <=
         lambda: f"WITH {VECTORS}, el AS (SELECT vec_id, unnest(vec) AS x, unnest(range(0, len(vec))) AS i FROM vecs) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, {r6('sum(a.x) / count(*)')} AS mean_i, {r6('(sum(a.x * b.x) - sum(a.x) * sum(b.x) / count(*)) / (count(*) - 1)')} AS covariance FROM el a JOIN el b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL",
     ),
     "whitened_vectors": (_whitened, None),
+    "whitened_covariance": (
+        lambda b: topics.moments(cut(_whitened(b), "whitened"), "vec_id").select("i", "j", (F.floor(F.abs("mean_i") * 100 + 0.5) / 100).alias("mean_i"), (F.floor(F.abs("covariance") * 100 + 0.5) / 100).alias("covariance")),
+        lambda: f"SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, 0.0::DOUBLE AS mean_i, CASE WHEN a.i = b.j THEN 1.0 ELSE 0.0 END::DOUBLE AS covariance FROM range(0, {DIM}) a(i), range(0, {DIM}) b(j) WHERE a.i <= b.j",
+    ),
     "unit_interval_scores": (
         lambda b: _scores(b).groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("topic_id", "dot"))), lambda x: x["dot"]).alias("s")).select("vec_id", F.posexplode(N.unit_interval("s")).alias("topic_no", "u")).select("vec_id", "topic_no", R("u").alias("u")),
         lambda: f"WITH {SCORES} SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY topic_id) - 1 AS INTEGER) AS topic_no, {r6('least(greatest((dot - min(dot) OVER (PARTITION BY vec_id)) / (max(dot) OVER (PARTITION BY vec_id) - min(dot) OVER (PARTITION BY vec_id) + 1e-12), 0.0), 1.0)')} AS u FROM sc",
