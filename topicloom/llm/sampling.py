@@ -129,6 +129,10 @@ def reservoir_sample(stream: DataFrame, k: int = 64, min_tokens: int = 5, seed:
         at = bisect.bisect_right(ends, block) - 1
         return files[at][0], block - ends[at]
 
+    def by_file(df: DataFrame) -> DataFrame:
+        """One task for every file named, up to 64: a file's footer is read once."""
+        return df.repartition(min(df.select("file").distinct().count(), 64), "file") if len(files) > 1 else df.coalesce(1)
+
     def sizes(blocks: list[int]) -> dict[int, int]:
         """The sizes of some blocks, a few per slot of the sample, from the footers of their files."""
         import pandas as pd
@@ -141,7 +145,7 @@ def reservoir_sample(stream: DataFrame, k: int = 64, min_tokens: int = 5, seed:
                     found = _group_sizes(name)
                     yield pd.DataFrame({"block": part["block"], "n": [found[g] for g in part["row_group"]]})
 
-        return {r["block"]: r["n"] for r in asked.repartition(min(len(blocks), 64), "file").mapInPandas(look, "block LONG, n LONG").collect()}
+        return {r["block"]: r["n"] for r in by_file(asked).mapInPandas(look, "block LONG, n LONG").collect()}
 
     wanted: dict[tuple[str, int], list[tuple[int, int]]] = {}
     for slot, (block, offset) in enumerate(draw_slots(ends[-1], max(f[2] for f in files), k, seed, sizes)):
@@ -155,17 +159,19 @@ def reservoir_sample(stream: DataFrame, k: int = 64, min_tokens: int = 5, seed:
         import pyarrow.parquet as pq
 
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                system, inner = fs.FileSystem.from_uri(row.file)
+            for name, rows in pdf.groupby("file"):
+                system, inner = fs.FileSystem.from_uri(name)
                 with system.open_input_file(inner) as handle:
-                    part = pq.ParquetFile(handle).read_row_group(row.row_group, columns=["page_id", "piece_id", "line_no"])
-                picked = part.take(pa.array(list(row.offsets))).to_pandas()
-                picked.insert(0, "slot", list(row.slots))
-                yield picked
+                    table = pq.ParquetFile(handle)
+                    for row in rows.itertuples(index=False):
+                        part = table.read_row_group(row.row_group, columns=["page_id", "piece_id", "line_no"])
+                        picked = part.take(pa.array(list(row.offsets))).to_pandas()
+                        picked.insert(0, "slot", list(row.slots))
+                        yield picked
 
     tasks = [(f, g, [o for o, _ in v], [s for _, s in v]) for (f, g), v in sorted(wanted.items())]
     drawn = spark.createDataFrame(tasks, "file STRING, row_group INT, offsets ARRAY<INT>, slots ARRAY<INT>")
-    sample = drawn.repartition(min(len(tasks), 64)).mapInPandas(fetch, "slot INT, page_id STRING, piece_id INT, line_no INT")
+    sample = by_file(drawn).mapInPandas(fetch, "slot INT, page_id STRING, piece_id INT, line_no INT")
     places = sorted(((r["piece_id"], r["line_no"], r["page_id"], r["slot"]) for r in sample.collect()))  # at most k
     counts = _counts_before(pages, places)
     index, seen = [], 0
@@ -175,6 +181,7 @@ def reservoir_sample(stream: DataFrame, k: int = 64, min_tokens: int = 5, seed:
     chosen = F.broadcast(spark.createDataFrame(index, "piece_id INT, line_no INT, page_id STRING, slot INT, eligible_index LONG"))  # at most k rows; only their lines are parsed again
     last = F.lit(2**31 - 1)
     near = stream.join(chosen.select(F.col("piece_id").alias("_p"), F.col("line_no").alias("_n")).distinct(), (F.coalesce("piece_id", last) == F.col("_p")) & (F.coalesce("line_no", last) == F.col("_n")), "left_semi")
+    near = cut(near, "drawn")  # a few rows: written, so that no text is parsed before the join
     texts = _eligible_deliveries(near, min_tokens).join(chosen, ["piece_id", "line_no", "page_id"])
     return texts.groupBy("slot", "eligible_index").agg(F.min("row_json").alias("row_json"))  # a line that came twice counts once
 
