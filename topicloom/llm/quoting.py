@@ -595,20 +595,25 @@ def inherited_in_threads(messages: DataFrame, quoting: DataFrame | None = None)
     quoting gives the index if it is to be made of other readings of the rows than messages.
     """
     source = messages if quoting is None else quoting
-    quotes = source.where(F.size("keys") > 0).select("row_id", F.explode("keys").alias("key"), "quoted").select("row_id", "key", F.explode("quoted").alias("span"))
-    owned = source.where(F.size("own_keys") > 0).select("row_id", F.explode("own_keys").alias("key"), F.concat(F.array("body"), "quoted").alias("_s"))
-    owned = owned.select("row_id", "key", F.explode("_s").alias("span")).where("span <> ''")
+    keyed = messages.where((F.size("keys") > 0) & (F.size("lines") > 0))
+    # only keys that some row cites and another row cites or is known by can show anything; the others, most of all, carry no text
+    named = keyed.select("row_id", F.explode("keys").alias("key"), F.lit(1).alias("c"))
+    for keys in ("keys", "own_keys"):
+        named = named.unionByName(source.select("row_id", F.explode(keys).alias("key"), F.lit(0).alias("c")))
+    wanted = named.groupBy("key").agg(F.min("row_id").alias("_a"), F.max("row_id").alias("_b"), F.max("c").alias("_c"))
+    wanted = cut(wanted.where("_a <> _b and _c = 1").select("key"), "keys")
+
+    def under(rows: DataFrame, keys: str, *columns) -> DataFrame:
+        return rows.select("row_id", F.explode(keys).alias("key"), *columns).join(wanted, "key", "left_semi")
+
+    quotes = under(source, "keys", "quoted").select("row_id", "key", F.explode("quoted").alias("span"))
+    owned = under(source, "own_keys", F.concat(F.array("body"), "quoted").alias("_s")).select("row_id", "key", F.explode("_s").alias("span")).where("span <> ''")
     # of equal spans one entry is left, with its owner only if no other row has it: a row is not compared with what it alone holds
     spans = quotes.unionByName(owned).groupBy("key", "span").agg(F.min("row_id").alias("_a"), F.max("row_id").alias("_b"))
-    keyed = messages.where((F.size("keys") > 0) & (F.size("lines") > 0))
-    # keys that other rows cite too; the rest, most of all, never reach the index
-    citing = keyed.select("row_id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("row_id").alias("_c"), F.max("row_id").alias("_d"))
-    spans = spans.join(citing, "key").where("_a <> _b or _c <> _d or _a <> _c")
     spans = spans.select("key", "span", F.when(F.col("_a") == F.col("_b"), F.col("_a")).alias("only"), F.xxhash64("key", "span").alias("span_id"))
     spans = cut(spans, "spans")
     index = _hashed(spans, ["key", "span_id", "only"], "span")
-    wanted = spans.select("key").distinct()
-    lines = keyed.select("row_id", F.explode("keys").alias("key"), F.col("lines").alias("_l")).join(wanted, "key", "left_semi")
+    lines = under(keyed, "keys", F.col("lines").alias("_l"))
     lines = lines.select("row_id", "key", F.explode("_l").alias("_l")).select("row_id", "key", "_l.line")
     probe = _hashed(lines, ["row_id", "key"], "line").distinct()
     hits = probe.join(index, ["key", "shingle"]).where("only is null or only <> row_id").select("row_id", "span_id").distinct()
