@@ -67,7 +67,9 @@ def test_disguised_words_of_any_length_are_decoded():
     assert abuse.decoded("d1p$h1t") == "dipshit" and abuse.decoded("6l0ckhead") == "blockhead" and abuse.decoded("6l0ckhaed") is None
 
 
-def test_features_do_not_depend_on_the_batch():
+@pytest.mark.parametrize("chunk", [1 << 20, 10])
+def test_features_do_not_depend_on_the_batch(chunk, monkeypatch):
+    monkeypatch.setattr(abuse, "CHUNK", chunk)
     texts = ["you absolute walnut", "", "死ね、二度と来るな。", "no. 5 of 12", "x" * 5000 + " end"]
     at, flat = abuse.features(texts)
     for i, t in enumerate(texts):

@@ -106,8 +106,9 @@ def corpus_for_overlap(seed):
     return train + [(500, None), (501, "")] + train[:9] + [(900 + i, t) for i, t in train[:5]], test + [(2000, None)] + test[:4]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_overlap_loses_nothing(spark, seed):
+@pytest.mark.parametrize("seed,chunk", [(1, 1 << 20), (2, 300)])
+def test_overlap_loses_nothing(spark, seed, chunk, monkeypatch):
+    monkeypatch.setattr(overlap, "CHUNK", chunk)
     train, test = corpus_for_overlap(seed)
     a = spark.createDataFrame([(i, t, "src") for i, t in train], "row_id LONG, data STRING, source STRING").withColumn("side", F.lit(1))
     b = spark.createDataFrame([(i, t, "dev" if i % 2 else "test", None) for i, t in test], "row_id LONG, data STRING, split STRING, source STRING")

@@ -399,6 +399,8 @@ def votes(text: str, hidden: int = 0) -> int:
     return mask
 
 
+#: Letters that are hashed at once; it bounds the memory, and changes nothing else.
+CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -448,12 +450,18 @@ def _class_table() -> tuple[np.ndarray, np.ndarray]:
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every distinct feature of every text, ordered by row: words, pairs and gapped pairs of words, the
     same with the words of CLASSES read as their class, first letters of longer words, and two and three neighbouring
-    letters in scripts without spaces. All numbers are one word. Votes are no features.
-
-    Hashes of all words come at once from the prefix sums of one polynomial over the joined texts.
+    letters in scripts without spaces. All numbers are one word. Votes are no features. Texts are read in runs of about CHUNK letters.
     """
-    if not texts:
+    ends = np.cumsum([len(t) for t in texts])
+    cuts = [0, *(np.flatnonzero(np.diff(ends // CHUNK)) + 1).tolist(), len(texts)] if len(texts) else [0]
+    parts = [(a, *_features(texts[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+    if not parts:
         return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([rows + a for a, rows, _ in parts]), np.concatenate([flat for *_, flat in parts])
+
+
+def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """features() of one run: hashes of all words come at once from the prefix sums of one polynomial over the joined texts."""
     codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)
     row_of = np.cumsum(codes == 10)
     kind = _kinds()[codes]

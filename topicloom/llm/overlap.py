@@ -79,6 +79,17 @@ def text_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(first, np.arange(len(texts) + 1))
 
 
+#: Letters of texts that are hashed at once; it bounds the memory of a task.
+CHUNK = 1 << 20
+
+
+def _runs_of_texts(texts: list[str]):
+    """(first, end) of runs of texts of about CHUNK letters."""
+    ends = np.cumsum([len(t) for t in texts])
+    cuts = [0, *(np.flatnonzero(np.diff(ends // CHUNK)) + 1).tolist(), len(texts)] if texts else [0]
+    return zip(cuts, cuts[1:], strict=False)
+
+
 def shingle_hashes(words: np.ndarray) -> np.ndarray:
     """One 64-bit hash per shingle of neighbouring words; equal shingles always have equal hashes."""
     n = len(words) - SHINGLE + 1
@@ -236,7 +247,9 @@ def _rarity(texts: DataFrame, theirs: DataFrame) -> Rarity:
 
         marks = np.zeros(n_marks, bool)
         for batch in batches:
-            marks[_shingles_of(batch.column(0).to_pylist())[0] >> shift] = True
+            texts_ = batch.column(0).to_pylist()
+            for a, b in _runs_of_texts(texts_):
+                marks[_shingles_of(texts_[a:b])[0] >> shift] = True
         packed = np.packbits(marks, bitorder="little").view(np.int64)
         used = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(packed[used])], names=["place", "bits"])
@@ -251,9 +264,10 @@ def _rarity(texts: DataFrame, theirs: DataFrame) -> Rarity:
 
         rarity, total = given.value, np.zeros(n_counters, np.int64)
         for batch in batches:
-            shingles = _shingles_of(batch.column(0).to_pylist())[0]
-            shingles = shingles[rarity.marked(shingles)] >> rarity.counter_shift
-            total += np.bincount(shingles.astype(np.int64), minlength=n_counters)
+            texts_ = batch.column(0).to_pylist()
+            for a, b in _runs_of_texts(texts_):
+                shingles = _shingles_of(texts_[a:b])[0]
+                np.add.at(total, (shingles[rarity.marked(shingles)] >> rarity.counter_shift).astype(np.int64), 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["counter", "n"])
 
@@ -274,18 +288,19 @@ def _prefixes(texts: DataFrame, given) -> DataFrame:
         import pyarrow as pa
 
         rarity = given.value
-        for batch in batches:
-            names, lengths = np.asarray(batch.column(0)), batch.column(2).to_pylist()
-            shingles, at = _shingles_of(batch.column(1).to_pylist())
-            marked = rarity.marked(shingles)
-            out: list[tuple] = []
-            for i, length in enumerate(lengths):
-                own = shingles[at[i] : at[i + 1]]
-                places, few = rare_prefix(own, rarity.order(own), length)
-                held = marked[at[i] : at[i + 1]][places]
-                spots = (length << 32) + (places << 1) + (np.arange(len(places)) < few)
-                out.append((np.full(len(held), names[i])[held], own[places[held]].view(np.int64), spots[held]))
-            if out:
+        for whole in batches:
+            words = whole.column(1).to_pylist()
+            for a, b in _runs_of_texts(words):
+                names, lengths = np.asarray(whole.column(0))[a:b], whole.column(2).slice(a, b - a).to_pylist()
+                shingles, at = _shingles_of(words[a:b])
+                marked = rarity.marked(shingles)
+                out: list[tuple] = []
+                for i, length in enumerate(lengths):
+                    own = shingles[at[i] : at[i + 1]]
+                    places, few = rare_prefix(own, rarity.order(own), length)
+                    held = marked[at[i] : at[i + 1]][places]
+                    spots = (length << 32) + (places << 1) + (np.arange(len(places)) < few)
+                    out.append((np.full(len(held), names[i])[held], own[places[held]].view(np.int64), spots[held]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["text_id", "shingle", "spot"])
 
     return texts.select("text_id", "words", "length").mapInArrow(run, "text_id LONG, shingle LONG, spot LONG")
