@@ -151,7 +151,7 @@ def senclu_choice(x: np.ndarray, topics: np.ndarray, share: np.ndarray, offset:
 
 
 def senclu_shares(units: DataFrame, doc: str, vec: str, topics: np.ndarray, assigned: DataFrame, unit: str, offset: float) -> DataFrame:
-    """(doc_id, unit, topic_id, p): one choice from given assignments (doc, unit, topic_id), with the soft weights of the chosen topic."""
+    """(doc_id, unit, topic_id, p): one choice from given assignments (doc, unit, topic_id), with the soft weight of the chosen topic: 0, and the first topic, for a unit that no topic is similar to."""
     k = len(topics)
     rows = units.join(assigned.select(unit, "topic_id"), unit)
     docs = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(unit, "topic_id", vec))).alias("s"))

@@ -242,7 +242,7 @@ e AS (SELECT *, exp(w - max(w) OVER (PARTITION BY vec_id)) AS e FROM w) SELECT d
         _senclu,
         lambda: f"""WITH {SCORES}, u AS (SELECT vec_id // 8 AS doc_id, topic_id, count(*) AS n FROM vecs GROUP BY ALL), d AS (SELECT vec_id // 8 AS doc_id, count(*) AS m FROM vecs GROUP BY 1),
 w AS (SELECT sc.vec_id, sc.vec_id // 8 AS doc_id, sc.topic_id, greatest(dot, 0) * (coalesce(n, 0) / m + 8.0) AS w FROM sc JOIN d ON d.doc_id = sc.vec_id // 8 LEFT JOIN u ON u.doc_id = sc.vec_id // 8 AND u.topic_id = sc.topic_id),
-r AS (SELECT *, w / sum(w) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY round(w, 9) DESC, topic_id) AS r FROM w) SELECT doc_id, vec_id, topic_id, {r6('p')} AS p FROM r WHERE r = 1""",
+r AS (SELECT *, coalesce(w / nullif(sum(w) OVER (PARTITION BY vec_id), 0), 0.0) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY round(w, 9) DESC, topic_id) AS r FROM w) SELECT doc_id, vec_id, topic_id, {r6('p')} AS p FROM r WHERE r = 1""",
     ),
     "sentence_topic_weights": (
         _sentence_inference,
