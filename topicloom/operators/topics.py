@@ -173,6 +173,18 @@ def scored_against(vectors: DataFrame, topics: DataFrame, key: str, vec: str = "
     return out
 
 
+def word_distributions(words: DataFrame, topics: DataFrame, word: str = "term", vec: str = "vec", by: str = "topic_id") -> DataFrame:
+    """(topic_id, term, p): soft maximum over all words of the products of word and topic vectors, as topic models in an embedding space have it.
+
+    The largest product and the sum of exponentials are made per topic first, on the map side, and joined; no topic's words are gathered.
+    """
+    scores = scored_against(words, topics.select(by, F.col(vec).alias("mean"), F.lit(1.0).alias("kappa")), word, vec, by)
+    top = scores.groupBy("topic_id").agg(F.max("dot").alias("_m"))
+    raised = scores.join(top, "topic_id").withColumn("_e", F.exp(F.col("dot") - F.col("_m")))
+    mass = raised.groupBy("topic_id").agg(F.sum("_e").alias("_s"))
+    return raised.join(mass, "topic_id").select("topic_id", word, (F.col("_e") / F.col("_s")).alias("p"))
+
+
 def hard_topic(scores: DataFrame, key: str, score: str) -> DataFrame:
     """The topic of highest rounded score of each key, the smallest of several."""
     best = F.max(F.struct(N.r6(score).alias("s"), (-F.col("topic_id")).alias("t"))).alias("_b")

@@ -9,7 +9,7 @@ from topicloom.functions import numeric as N
 from topicloom.functions.numeric import r6 as R
 from topicloom.models import clustering, encoders, gibbs, words
 from topicloom.operators import corpus, topics
-from topicloom.plans.base import SENTS, Base, r6
+from topicloom.plans.base import SENTS, VOCAB, Base, r6
 from topicloom.plans.topic_queries import ASSIGNED, SBOW
 from topicloom.plans.vector_queries import DIM, LOG_C, R4, SCORES, VECTORS, r4
 from topicloom.session import cut
@@ -169,6 +169,31 @@ def _weighted_means(b: Base):
     return rows.select("doc_id", "sent_id", F.posexplode("vec").alias("i", "x")).select("doc_id", "sent_id", "i", R("x").alias("x"))
 
 
+def _embedding_topic_words(b: Base):
+    """The ten likeliest words of topics in an embedding space: words and four topics as vectors that digests give."""
+    digest = lambda i, key: (F.conv(F.substring(F.md5(F.concat(F.lit(f"e|{i}|"), key)), 1, 8), 16, 10).cast("double") / F.lit(2147483648.0) - F.lit(1.0)) * F.lit(2.0)
+    rows = b.vocab().select("term", F.array(*[digest(i, F.col("term")) for i in range(4)]).alias("vec"))
+    centres = b.spark.range(4).select(F.col("id").cast("int").alias("topic_id")).select("topic_id", F.array(*[digest(i, F.concat(F.lit("t"), F.col("topic_id").cast("string"))) for i in range(4)]).alias("vec"))
+    p = topics.word_distributions(rows, centres).select("topic_id", "term", R("p").alias("p"))
+    return topics.ranked(p, ["topic_id"], "p", ["term"], 10).select("topic_id", "rank", "term", "p")
+
+
+def _training_curve(b: Base):
+    """Mean log likelihood of the units after each iteration of the direction model."""
+    units = b.vectors().select(F.floor(F.col("vec_id") / 8).cast("long").alias("doc_id"), F.col("vec_id").alias("unit"), "vec")
+    model, _ = gibbs.train(cut(units, "units"), "doc_id", "unit", "vec", 10, "vmf", 5)
+    return b.spark.createDataFrame([(h["iteration"], float(h["units"]), float(h["mean_log_likelihood"])) for h in model.history], "iteration INT, units DOUBLE, mean_log_likelihood DOUBLE")
+
+
+def _points(b: Base):
+    """Every vector on the two directions of largest variance, as a scatter plot shows them; each direction points to where its largest number is positive."""
+    v = cut(b.vectors(), "vectors")
+    directions, _ = words.principal(v.select(F.col("vec_id").alias("sent_id"), "vec"), 2)
+    directions = directions * np.sign(directions[np.arange(2), np.abs(directions).argmax(1)])[:, None]
+    x, y = (N.dot("vec", F.array(*[F.lit(float(c)) for c in d])) for d in directions)
+    return v.select("vec_id", "topic_id", R(x).alias("x"), R(y).alias("y"))
+
+
 def _encoded(b: Base):
     """Sentences of the prepared documents as vectors of their words' digests."""
     sents = b.sentences().select("doc_id", "sent_id", F.array_join(corpus.usable("tokens"), " ").alias("text"))
@@ -177,6 +202,16 @@ def _encoded(b: Base):
 
 
 QUERIES = {
+    "training_curve": (_training_curve, None),
+    "scatter_points": (_points, None),
+    "embedding_topic_words": (
+        _embedding_topic_words,
+        lambda: f"""WITH {VOCAB}, d AS (SELECT term, i, (('0x' || substr(md5('e|' || i || '|' || term), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1.0) * 2.0 AS x FROM vocab, range(0, 4) r(i)),
+t AS (SELECT k, i, (('0x' || substr(md5('e|' || i || '|t' || k), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1.0) * 2.0 AS y FROM range(0, 4) q(k), range(0, 4) r(i)),
+s AS (SELECT k, term, sum(x * y) AS s FROM d JOIN t USING (i) GROUP BY ALL), e AS (SELECT k, term, exp(s - max(s) OVER (PARTITION BY k)) AS e FROM s),
+p AS (SELECT CAST(k AS INTEGER) AS topic_id, term, {r6('e / sum(e) OVER (PARTITION BY k)')} AS p FROM e)
+SELECT * FROM (SELECT topic_id, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY p DESC, term) AS INTEGER) AS rank, term, p FROM p) WHERE rank <= 10""",
+    ),
     "encoded_sentences": (
         _encoded,
         lambda: f"""WITH {SENTS}, w AS (SELECT doc_id, sent_id, unnest(list_filter(list_transform(tokens, lambda t: lower(trim(t))), lambda t: t <> '')) AS t FROM sents),
