@@ -134,6 +134,14 @@ def tokenized(docs: DataFrame, text: str, language: str, tokenizer: str = "defau
     return lists.select("doc_id", "sentences_raw", "sentences_tokenized", F.flatten("sentences_tokenized").alias("document_tokens"))
 
 
+def reference_corpus(articles: DataFrame, key: str, text: str, n: int, min_tokens: int = 5, seed: str = "42", fold: bool = True) -> DataFrame:
+    """(key, tokens) of n articles of at least min_tokens English tokens, each as likely as any other; all of them if there are fewer."""
+    from topicloom.operators.sampling import fixed_size
+
+    rows = articles.select(key, X.english_tokens(F.coalesce(text, F.lit("")), fold=fold).alias("tokens")).where(F.size("tokens") >= min_tokens)
+    return fixed_size(rows, [key], n, seed)
+
+
 def lemmatised(rows: DataFrame, lemmas: DataFrame, term: str = "term") -> DataFrame:
     """The rows with each term replaced by its lemma in (term, lemma), if it has one; of several the least. A table of checked size is broadcast."""
     table = lemmas.groupBy(F.col("term").alias(term)).agg(F.min("lemma").alias("_lemma"))

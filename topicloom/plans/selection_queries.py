@@ -8,8 +8,8 @@ from topicloom.functions import text as X
 from topicloom.functions.numeric import r6 as R
 from topicloom.operators import corpus, runs, topics
 from topicloom.plans.base import BOW, DOCS, LABELS, RUNS, SENT_TOPIC, SENTS, THETA, VOCAB, Base, r6
-from topicloom.plans.corpus_queries import SELECT_SQL
-from topicloom.plans.preparation_queries import _raw_sql
+from topicloom.plans.corpus_queries import MD5, SELECT_SQL
+from topicloom.plans.preparation_queries import TOKEN_SQL, _raw_sql
 from topicloom.plans.topic_queries import ASSIGNED
 from topicloom.plans.vector_queries import _PAIRS_SQL, _pairs
 from topicloom.session import scratch
@@ -141,6 +141,11 @@ l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM d WHERE d
         lambda b: corpus.tokenized(b.docs("raw_text", "lang").where("lang = 'ja'"), "raw_text", "japanese").select("doc_id", F.size("sentences_raw").alias("sentences"), F.array_join("document_tokens", " ").alias("tokens")),
         lambda: f"""WITH {_raw_sql().replace('FROM docs)', "FROM docs WHERE lang = 'ja')", 1)}, t AS (SELECT doc_id, sent_id, list_transform(regexp_extract_all(raw, '{JAPANESE}'), lambda w: CASE WHEN regexp_matches(w, '^[0-9]') THEN '<NUM>' ELSE lower(w) END) AS a FROM sents)
 SELECT p.doc_id, CAST(len(p.a) AS INTEGER) AS sentences, coalesce((SELECT string_agg(array_to_string(t.a, ' '), ' ' ORDER BY sent_id) FROM t WHERE t.doc_id = p.doc_id AND len(t.a) > 0), '') AS tokens FROM parts p""",
+    ),
+    "reference_corpus": (
+        lambda b: corpus.reference_corpus(b.table("documents"), "doc_id", "text", 200, 20, fold=False).select("doc_id", F.array_join("tokens", " ").alias("tokens")),
+        lambda: f"""WITH t AS (SELECT doc_id, {TOKEN_SQL.format(x="coalesce(text, '')")} AS a FROM documents)
+SELECT doc_id, array_to_string(a, ' ') AS tokens FROM t WHERE len(a) >= 20 ORDER BY {MD5.format(seed=42, key='doc_id::VARCHAR')}, doc_id LIMIT 200""",
     ),
     "labelled_shares": (
         lambda b: b.theta().join(b.labels(), "doc_id").groupBy("data_run", "label", "topic_id").agg(R(F.sum("theta")).alias("mass"), F.count(F.lit(1)).alias("documents")),
