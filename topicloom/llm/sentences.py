@@ -58,7 +58,12 @@ _FACE = re.compile(
     rf"[:;=^<xX{_EMOJI[1:-1]}](?:(?<={_EMOJI})[️‍\U0001f3fb-\U0001f3ff]*(?:{_EMOJI}[️‍\U0001f3fb-\U0001f3ff]*)*"
     r"|(?<!\S[:;=^<xX])(?:(?<=[:;=])[-'^o]?[)(DPp\]\[|/\\*]|(?<=\^)_\^|(?<=<)3|(?<=[xX])D)(?!\w))"
 )
+_FACE_ASCII = re.compile(r"[:;=^<xX](?<!\S[:;=^<xX])(?:(?<=[:;=])[-'^o]?[)(DPp\]\[|/\\*]|(?<=\^)_\^|(?<=<)3|(?<=[xX])D)(?!\w)")
 _ENDS = re.compile(rf"[{re.escape(TERMINATORS)}{_PAUSE}]+")
+#: The same for texts without signs beyond 16 bits, and for plain ASCII: shorter classes are faster, and hold all that can occur.
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+_ENDS_BMP = re.compile(rf"[{re.escape(''.join(c for c in TERMINATORS if c <= chr(0xFFFF)))}{_PAUSE}]+")
+_ENDS_ASCII = re.compile(f"[{re.escape(''.join(c for c in TERMINATORS if c.isascii()))}]+")
 _BLANK = re.compile(r"(?:\r\n|\r|\n| | |\x0b|\x0c)[^\S\r\n]*(?:\r\n|\r|\n| )| ")
 _LINE = re.compile(r"\r\n|\r|\n| |\x0b|\x0c|\x85")
 _ITEM = re.compile(r"\s*(?:[-*•·–—‣◦▪●○■]|\(?\d{1,3}[.)]|\([a-zA-Zа-я]\)|[a-z]\)|\(?[ivx]{1,4}\)|（\d{1,3}）)\s+\S")
@@ -127,7 +132,7 @@ def _first_word(text: str, at: int, end: int) -> tuple[str, str]:
 class _Block:
     """A stretch of text without blank lines and list items inside, in which sentences are sought."""
 
-    def __init__(self, text: str, start: int, end: int, pairs: dict[int, int], item: bool = False):
+    def __init__(self, text: str, start: int, end: int, pairs: dict[int, int], item: bool = False, ends: re.Pattern = _ENDS):
         self.text, self.start, self.end, self.item = text, start, end, item
         self.closed = {b: a for a, b in pairs.items()}
         spans = sorted((a, b) for a, b in pairs.items())
@@ -137,6 +142,7 @@ class _Block:
                 self.spans.append((a, b))
         self.opens = [a for a, _ in self.spans]
         self._spaces = self._is_german = None
+        self.ends, self.faces = ends, _FACE_ASCII if text.isascii() else _FACE
 
     def inside(self, at: int) -> bool:
         k = bisect.bisect_right(self.opens, at) - 1
@@ -144,8 +150,8 @@ class _Block:
 
     def sentences(self) -> list[tuple[int, int]]:
         text, out, begin, at = self.text, [], self.start, self.start
-        marks = [(m.start(), m.end(), False) for m in _ENDS.finditer(text, self.start, self.end)]
-        marks += [(m.start(), m.end(), True) for m in _FACE.finditer(text, self.start, self.end)]
+        marks = [(m.start(), m.end(), False) for m in self.ends.finditer(text, self.start, self.end)]
+        marks += [(m.start(), m.end(), True) for m in self.faces.finditer(text, self.start, self.end)]
         marks += [(m.start(), m.start(), None) for m in self._thai_spaces()]
         for s, e, kind in sorted(marks, key=lambda x: x[:2]):
             if s < at:
@@ -436,6 +442,7 @@ def split(text: str | None) -> list[tuple[int, int]]:
     if not text or not text.strip():
         return []
     out: list[tuple[int, int]] = []
+    ends = _ENDS_ASCII if text.isascii() else _ENDS if _ASTRAL.search(text) else _ENDS_BMP
     for a, b in _paragraphs(text):
         for s, e, item in _blocks(text, a, b):
             if item:
@@ -443,7 +450,7 @@ def split(text: str | None) -> list[tuple[int, int]]:
                 if t[1] > t[0]:
                     out.append(t)
             else:
-                out += _Block(text, s, e, _pairs(text, s, e)).sentences()
+                out += _Block(text, s, e, _pairs(text, s, e), ends=ends).sentences()
     return out
 
 
