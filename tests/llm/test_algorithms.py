@@ -123,6 +123,60 @@ def test_overlap_loses_nothing(spark, seed, chunk, monkeypatch):
     assert sum(p for _, p in by.values()) == len(want) and sum(n for n, _ in by.values()) == len({j for _, j in want})
 
 
+def phrased(rng, phrases):
+    return " ".join(rng.choice(phrases) for _ in range(20))
+
+
+def test_pairs_that_share_phrases_only_do_not_travel(spark, monkeypatch):
+    rng = random.Random(4)
+    phrases = [" ".join(f"w{rng.randrange(400)}" for _ in range(5)) for _ in range(60)]
+    train = [(i, phrased(rng, phrases)) for i in range(300)]
+    test = [(1000 + i, phrased(rng, phrases)) for i in range(100)] + [(2000 + i, "new " * 5 + " ".join(t.split()[5:])) for i, t in train[:5]]
+    sent, verified = [], overlap._verified
+    monkeypatch.setattr(overlap, "_verified", lambda pairs: sent.append(pairs.count()) or verified(pairs))
+    a = spark.createDataFrame(train, "row_id LONG, data STRING")
+    b = spark.createDataFrame([(i, t, "test", "s") for i, t in test], "row_id LONG, data STRING, split STRING, source STRING")
+    got = {tuple(r) for r in overlap.found(a, b).collect()}
+    want = {(i, j) for (i, x), (j, y) in itertools.product(train, test) if overlap.word_distance(x.split(), y.split(), 20) <= 20}
+    assert got == want >= {(i, 2000 + i) for i in range(5)} and len(want) <= sent[0] <= len(want) + 20
+
+
+@pytest.mark.parametrize("rows,compared", [(150, 1 << 20), (1 << 20, 9), (150, 9)])
+def test_overlap_in_small_blocks(spark, monkeypatch, rows, compared):
+    for name, value in (("INDEX_ROWS", rows), ("PROBE_ROWS", rows), ("COMPARED", compared), ("CHUNK", 500)):
+        monkeypatch.setattr(overlap, name, value)
+    train, test = corpus_for_overlap(3)
+    a = spark.createDataFrame(train, "row_id LONG, data STRING")
+    b = spark.createDataFrame([(i, t, "test", "s") for i, t in test], "row_id LONG, data STRING, split STRING, source STRING")
+    want = set()
+    for (i, x), (j, y) in itertools.product(set(train), set(test)):
+        u, v = overlap.reader_words(x), overlap.reader_words(y)
+        if min(len(u), len(v)) >= 20 and overlap.word_distance(u, v, 100) * 100 <= 20 * max(len(u), len(v)):
+            want.add((i, j))
+    assert {tuple(r) for r in overlap.found(a, b).collect()} == want
+    assert sum(r["pairs"] for r in overlap.report(a, b).collect()) == len(want)
+
+
+@pytest.mark.parametrize("compared", [1, 8, 50])
+def test_compared_pairs_do_not_depend_on_their_number_at_once(monkeypatch, compared):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(20, 60))) for _ in range(40)]
+    texts += [t + " w1" for t in texts[:20]]
+    rarity = overlap.Rarity(np.full(8, 255, np.uint8), np.zeros(64, np.uint32))
+    both = []
+    for side in (texts[:30], texts[30:]):
+        side = [t.split() for t in side]
+        both.append(overlap._rare_places([" ".join(t) for t in side], [len(t) for t in side], rarity) + (np.array([len(t) for t in side]),))
+    (*rows, sketches, lengths), (text, shingle, place, served, theirs, long) = both
+    keys = overlap._keys(shingle, long[text])
+    order = np.argsort(keys)
+    block = [np.arange(30), long, theirs, keys[order], text[order], (place[order] << 1) | served[order]]
+    near = lambda: {p for a, b in overlap._near(block, lengths, sketches, rows[1], rows[0], *rows[2:]) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    whole = near()
+    monkeypatch.setattr(overlap, "COMPARED", compared)
+    assert near() == whole >= {(i, i + 10) for i in range(20)}
+
+
 def test_rows_of_several_texts_are_counted_once(spark):
     x, y, z = ("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty " + t for t in ("a", "b", "c"))
     train = spark.createDataFrame([(1, x), (1, y), (2, x), (3, z), (3, None)], "row_id LONG, data STRING")

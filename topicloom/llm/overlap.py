@@ -21,6 +21,10 @@ MIN_WORDS = 20
 EDITS, PER_WORDS = 20, 100
 #: Most bits of the table that marks the shingles of evaluation texts (8 MB), and most counters of their frequencies (16 MB); both are sized to the evaluation texts.
 MARK_BITS, COUNTER_BITS = 26, 22
+#: Rows of a block of the index of evaluation texts (16 bytes each), rows of training texts that probe it at once, and pairs of rows that are compared at once; they bound the memory of a task.
+INDEX_ROWS, PROBE_ROWS, COMPARED = 1 << 21, 1 << 20, 1 << 20
+#: Bits of the sketch of a text's words.
+SKETCH = 512
 
 
 def reader_words(text: str | None) -> list[str]:
@@ -194,6 +198,24 @@ def word_distance(a: list, b: list, most: int) -> int:
     return min(score, most + 1)
 
 
+def word_sketches(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row of SKETCH bits per text, as 64-bit numbers: the first, second... occurrence of each word sets one bit.
+
+    A bit that only one of two texts has stands for a word that the other doesn't hold as often, which takes an edit.
+    """
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((words, text))
+    sorted_words, sorted_text = words[order], text[order]
+    first = np.append(True, (sorted_words[1:] != sorted_words[:-1]) | (sorted_text[1:] != sorted_text[:-1]))[: len(order)]
+    starts = np.flatnonzero(first)
+    nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    with np.errstate(over="ignore"):
+        items = (sorted_words ^ (nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(_BASE)
+    bits = np.zeros((len(at) - 1, SKETCH), bool)
+    bits[sorted_text, items >> np.uint64(64 - (SKETCH - 1).bit_length())] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
 def _distinct_texts(rows: DataFrame, side: str, keep: list[str]) -> DataFrame:
     """(side, fingerprint, words, length, keep...) of every row with enough words; words as one string. Rows with null data have none."""
 
@@ -218,9 +240,9 @@ def _distinct_texts(rows: DataFrame, side: str, keep: list[str]) -> DataFrame:
     return spread(rows.select(*keep, "data")).mapInArrow(run, schema)
 
 
-def _shingles_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all shingles of all texts in order, where each text starts among them and where the last ends)."""
-    words, at = text_hashes(texts)
+def _shingles_of(texts: list[str], hashed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all shingles of all texts in order, where each text starts among them and where the last ends). hashed: the texts' text_hashes, if they are known."""
+    words, at = hashed or text_hashes(texts)
     shingles = shingle_hashes(words)
     inside = np.ones(len(shingles), bool)  # all but those that run over the end of a text
     for back in range(1, SHINGLE):
@@ -277,33 +299,169 @@ def _rarity(texts: DataFrame, theirs: DataFrame) -> Rarity:
     return Rarity(packed.view(np.uint8), total)
 
 
-def _prefixes(texts: DataFrame, given) -> DataFrame:
-    """(text_id, shingle, spot) of the rare prefix of every text. spot packs the text's length, the shingle's place and whether it is in
-    the part that serves partners no longer than the text: 31, 31 and 1 bits.
+def _rare_places(texts: list[str], lengths: list[int], rarity: Rarity) -> tuple[np.ndarray, ...]:
+    """(text, shingle, place, served) of the rare prefix of every text, and the sketches of the texts. Texts are numbered from 0;
+    served tells whether a row is in the part that serves partners no longer than the text.
 
     Shingles of the prefix that no evaluation text holds can't meet a partner and are left out once the prefix is known.
     """
+    words, ends = text_hashes(texts)
+    shingles, at = _shingles_of(texts, (words, ends))
+    marked = rarity.marked(shingles)
+    out: list[tuple] = []
+    for i, length in enumerate(lengths):
+        own = shingles[at[i] : at[i + 1]]
+        places, few = rare_prefix(own, rarity.order(own), length)
+        held = marked[at[i] : at[i + 1]][places]
+        out.append((np.full(len(held), i)[held], own[places[held]], places[held], (np.arange(len(places)) < few)[held]))
+    return *(np.concatenate([o[k] for o in out]) for k in range(4)), word_sketches(words, ends)
 
-    def run(batches):
+
+class _Gathered:
+    """Texts and the rows of their rare prefixes, gathered over several batches."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.n_texts = self.n_rows = 0
+
+    def add(self, ids: np.ndarray, words: list[str], lengths: list[int], rarity: Rarity) -> None:
+        text, shingle, place, served, sketches = _rare_places(words, lengths, rarity)
+        self.parts.append((ids, np.asarray(lengths, np.int64), sketches, shingle, text + self.n_texts, place, served))
+        self.n_texts, self.n_rows = self.n_texts + len(ids), self.n_rows + len(text)
+
+    def arrays(self) -> list[np.ndarray]:
+        """ids, lengths and sketches of the texts; shingles, texts, places and parts of the rows."""
+        return [np.concatenate([p[k] for p in self.parts]) for k in range(7)]
+
+
+def _keys(shingles: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sort keys: 48 bits of the shingle, then the length, so rows of like length are together."""
+    return (shingles & np.uint64(0xFFFFFFFFFFFF0000)) | np.minimum(lengths, 0xFFFF).astype(np.uint64)
+
+
+def _index(texts: DataFrame, given) -> DataFrame:
+    """The rare prefixes of evaluation texts in blocks of at most about INDEX_ROWS rows, each a row of packed arrays: ids, lengths and
+    sketches of its texts, and of its rows, sorted, the key, the text and the place with the part it is in."""
+    names = ["ids", "lengths", "sketches", "keys", "texts", "spots"]
+
+    def packed(gathered: _Gathered):
         import pyarrow as pa
 
-        rarity = given.value
+        ids, lengths, sketches, shingle, text, place, served = gathered.arrays()
+        keys = _keys(shingle, lengths[text])
+        order = np.argsort(keys)
+        cells = [ids, lengths, sketches, keys[order], text[order].astype(np.uint32), ((place[order] << 1) | served[order]).astype(np.uint32)]
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], names=names)
+
+    def run(batches):
+        gathered = _Gathered()
         for whole in batches:
             words = whole.column(1).to_pylist()
             for a, b in _runs_of_texts(words):
-                names, lengths = np.asarray(whole.column(0))[a:b], whole.column(2).slice(a, b - a).to_pylist()
-                shingles, at = _shingles_of(words[a:b])
-                marked = rarity.marked(shingles)
-                out: list[tuple] = []
-                for i, length in enumerate(lengths):
-                    own = shingles[at[i] : at[i + 1]]
-                    places, few = rare_prefix(own, rarity.order(own), length)
-                    held = marked[at[i] : at[i + 1]][places]
-                    spots = (length << 32) + (places << 1) + (np.arange(len(places)) < few)
-                    out.append((np.full(len(held), names[i])[held], own[places[held]].view(np.int64), spots[held]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["text_id", "shingle", "spot"])
+                gathered.add(np.asarray(whole.column(0))[a:b], words[a:b], whole.column(2).slice(a, b - a).to_pylist(), given.value)
+                if gathered.n_rows >= INDEX_ROWS:
+                    yield packed(gathered)
+                    gathered = _Gathered()
+        if gathered.n_rows:
+            yield packed(gathered)
+
+    return texts.select("text_id", "words", "length").mapInArrow(run, ", ".join(f"{n} BINARY" for n in names))
+
+
+def _near(block: list[np.ndarray], lengths: np.ndarray, sketches: np.ndarray, shingle: np.ndarray, text: np.ndarray, place: np.ndarray, served: np.ndarray):
+    """Pairs (number of the training text, number of the text in the block) that share a shingle of their rare prefixes and pass the bounds; a pair may come again.
+
+    The edits before a shared shingle are at least the difference of its places, those after it at
+    least the difference of what follows, and all are at least the bits that one sketch has alone.
+    """
+    _, their_lengths, their_sketches, keys, their_texts, spots = block
+    own = lengths[text]
+    least = np.where(served, own - own * EDITS // PER_WORDS, own + 1)  # a longer text serves with its short prefix only
+    start = np.searchsorted(keys, _keys(shingle, least))
+    counts = np.searchsorted(keys, _keys(shingle, own * PER_WORDS // (PER_WORDS - EDITS) + 1), "right") - start
+    used = np.flatnonzero(counts > 0)
+    upto = np.cumsum(counts[used])
+    i = 0
+    while i < len(used):
+        done = upto[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(upto, done + COMPARED, "right")))
+        rows, n = used[i:j], counts[used[i:j]]
+        at = np.arange(upto[j - 1] - done) + np.repeat(start[rows] - (upto[i:j] - n - done), n)
+        mine = np.repeat(rows, n)
+        theirs, spot = their_texts[at], spots[at].astype(np.int64)
+        longer, shorter = own[mine], their_lengths[theirs]
+        apart, shift = longer - shorter, place[mine] - (spot >> 1)
+        most = np.maximum(longer, shorter) * EDITS // PER_WORDS
+        ok = np.flatnonzero((np.abs(shift) + np.abs(apart - shift) <= most) & np.where(apart >= 0, served[mine], (spot & 1).astype(bool)))
+        mine, theirs, most = text[mine[ok]], theirs[ok].astype(np.int64), most[ok]
+        step = COMPARED // 8 + 1  # a sketch is eight numbers
+        for k in range(0, len(ok), step):
+            a, b = sketches[mine[k : k + step]], their_sketches[theirs[k : k + step]]
+            alone = np.maximum(np.bitwise_count(a & ~b).sum(1, np.int64), np.bitwise_count(b & ~a).sum(1, np.int64))
+            like = np.flatnonzero(alone <= most[k : k + step]) + k
+            yield mine[like], theirs[like]
+        i = j
+
+
+def _candidates(texts: DataFrame, index: DataFrame, given) -> DataFrame:
+    """(train_print, test_id, a): the pairs of texts that may be near, with the words of the training text; a pair may come again if there are very many.
+
+    Every task reads the index block by block beside the rows of its training texts, so nothing is
+    shuffled, and what leaves a task are the pairs that no bound rules out.
+    """
+    files = index.inputFiles()
+
+    def blocks():
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        kinds = (np.int64, np.int64, np.uint64, np.uint64, np.uint32, np.uint32)
+        for name in files:
+            system, inner = fs.FileSystem.from_uri(name)
+            with system.open_input_file(inner) as handle:
+                for batch in pq.ParquetFile(handle).iter_batches(1):
+                    block = [np.frombuffer(batch.column(k)[0].as_buffer(), kind) for k, kind in enumerate(kinds)]
+                    block[2] = block[2].reshape(len(block[0]), -1)
+                    yield block
+
+    def probed(gathered: _Gathered, prints: list, words: list):
+        import pyarrow as pa
+
+        _, lengths, sketches, *rows = gathered.arrays()
+        order = np.argsort(rows[0])  # neighbours are sought in neighbouring places
+        rows = [r[order] for r in rows]
+
+        def put(block, pairs):
+            for k in range(0, len(pairs), 5000):
+                mine, theirs = pairs[k : k + 5000] // len(block[0]), pairs[k : k + 5000] % len(block[0])
+                out = [pa.array([x[i] for i in mine.tolist()], kind) for x, kind in ((prints, pa.binary()), (words, pa.string()))]
+                yield pa.RecordBatch.from_arrays([out[0], pa.array(block[0][theirs]), out[1]], names=["train_print", "test_id", "a"])
+
+        for block in blocks():
+            pairs = np.empty(0, np.int64)
+            for mine, theirs in _near(block, lengths, sketches, *rows):
+                if len(mine):
+                    pairs = np.unique(np.append(pairs, mine * len(block[0]) + theirs))
+                    if len(pairs) >= COMPARED:  # what comes again after that is dropped once it is verified
+                        yield from put(block, pairs)
+                        pairs = np.empty(0, np.int64)
+            yield from put(block, pairs)
+
+    def run(batches):
+        gathered, prints, words = _Gathered(), [], []
+        for whole in batches:
+            texts_ = whole.column(1).to_pylist()
+            for a, b in _runs_of_texts(texts_):
+                gathered.add(np.empty(b - a, np.int64), texts_[a:b], whole.column(2).slice(a, b - a).to_pylist(), given.value)
+                prints += whole.column(0).slice(a, b - a).to_pylist()
+                words += texts_[a:b]
+                if gathered.n_rows >= PROBE_ROWS:
+                    yield from probed(gathered, prints, words)
+                    gathered, prints, words = _Gathered(), [], []
+        if gathered.n_rows:
+            yield from probed(gathered, prints, words)
 
-    return texts.select("text_id", "words", "length").mapInArrow(run, "text_id LONG, shingle LONG, spot LONG")
+    return spread(texts.select("fingerprint", "words", "length")).mapInArrow(run, "train_print BINARY, test_id LONG, a STRING")
 
 
 def _verified(candidates: DataFrame) -> DataFrame:
@@ -327,28 +485,22 @@ def overlapping_texts(train: DataFrame, test: DataFrame) -> tuple[DataFrame, Dat
 
     Copies of a text are one text here, however many rows they are, so a text that a third of all
     rows hold is joined once. Evaluation texts are indexed by their rare prefixes, training texts
-    probe them; length and places filter, and the word distance of what is left is computed exactly.
+    probe them in place; lengths, places and sketches filter, and the word distance of what is left is computed exactly.
+    Only these few pairs travel: where texts share phrases, pairs that share a rare shingle grow with the square of the rows.
     """
     spark = train.sparkSession
     rows = _distinct_texts(train, "train", ["row_id"]).unionByName(_distinct_texts(test, "test", ["row_id", "split", "source"]), allowMissingColumns=True)
-    rows = cut(rows, "rows")
+    rows = cut(rows, "rows", compression="zstd")
     members = rows.drop("words", "length").dropDuplicates(["side", "row_id", "fingerprint"])
     texts = rows.groupBy("side", "fingerprint").agg(F.first("words").alias("words"), F.first("length").alias("length"))
-    texts = cut(texts.withColumn("text_id", F.monotonically_increasing_id()), "texts")  # written, so a text keeps its number
+    texts = cut(texts.withColumn("text_id", F.monotonically_increasing_id()), "texts", compression="zstd")  # written, so a text keeps its number
     ours, theirs = (texts.where(F.col("side") == s).drop("side") for s in ("train", "test"))
     rarity = spark.sparkContext.broadcast(_rarity(texts, theirs))  # at most 24 MB
-    probe = _prefixes(ours, rarity).toDF("train_id", "shingle", "train_spot")
-    index = _prefixes(theirs, rarity).toDF("test_id", "shingle", "test_spot")
-    length, place, rarest = (lambda c: F.shiftright(c, 32)), (lambda c: F.shiftright(c, 1).bitwiseAND(F.lit(0x7FFFFFFF))), (lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1)
-    ours_long, theirs_long = length("train_spot"), length("test_spot")
-    most = F.floor(F.greatest(ours_long, theirs_long) * F.lit(EDITS) / F.lit(PER_WORDS))
-    near = (F.abs(ours_long - theirs_long) <= most) & (F.abs(place("train_spot") - place("test_spot")) <= most)
-    serves = F.when(ours_long >= theirs_long, rarest("train_spot")).otherwise(rarest("test_spot"))
-    pairs = probe.join(index, "shingle").where(serves & near).select("train_id", "test_id").distinct()
-    a = ours.select(F.col("text_id").alias("train_id"), F.col("fingerprint").alias("train_print"), F.col("words").alias("a"))
+    index = cut(_index(theirs, rarity), "index", compression="zstd")
+    pairs = cut(_candidates(ours, index, rarity), "candidates", compression="zstd")
     b = theirs.select(F.col("text_id").alias("test_id"), F.col("fingerprint").alias("test_print"), F.col("words").alias("b"))
-    pairs = pairs.join(a, "train_id").join(b, "test_id")
-    return _verified(pairs.select("train_print", "test_print", "a", "b")), members
+    pairs = pairs.join(b, "test_id")
+    return _verified(pairs.select("train_print", "test_print", "a", "b")).distinct(), members
 
 
 def found(train: DataFrame, test: DataFrame) -> DataFrame:
