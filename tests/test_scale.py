@@ -1,6 +1,7 @@
 """Ways beyond former limits: blocks, rounds and runs give what the plain computation gives."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -8,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from topicloom.operators import topics, topicwords
+from topicloom.plans import preparation_queries
+from topicloom.plans.base import Base
 
 
 def vectors(spark, n, d=3, seed=0):
@@ -55,6 +58,44 @@ def test_nearest_with_ties_in_small_blocks(spark, kept, monkeypatch):
     assert topics.nearest(df, df.limit(0), "k", 4).count() == 0
 
 
+@pytest.mark.parametrize("seed,runs,cells", [(1, "abc", 1 << 22), (2, "abc", 7), (3, "a", 1 << 22)])
+def test_documents_near_in_one_run_and_apart_in_another(spark, seed, runs, cells, monkeypatch):
+    monkeypatch.setattr(topics, "CELLS", cells)
+    rng = random.Random(seed)
+    rows = [(r, d, t, rng.choice([0.0, 0.1, 0.5, 0.9])) for r in runs for d in range(-4, 60) for t in rng.sample(range(9), 3) if rng.random() < 0.9]
+    rows += [(r, d, None, 0.3) for r in runs for d in (3, 8, 300)] + [(r, None, 2, 0.4) for r in runs] + [(None, 4, 5, 0.5), ("c", 8, 100, math.inf), ("a", 4, 50, math.inf)]
+    rows = [(r, d, t, v) for i, (r, d, t, v) in enumerate(rows) if (r, d, t) not in {x[:3] for x in rows[:i]}]
+    used = [x for x in rows if x[3] > 0 and x[0] is not None]
+    sides = []
+    for run in (min(x[0] for x in used), max(x[0] for x in used)):
+        docs = {}
+        for _, d, t, v in (x for x in used if x[0] == run and x[1] is not None):
+            docs.setdefault(d, {})[t] = v
+        length = {d: math.sqrt(sum(v * v for v in x.values())) for d, x in docs.items()}
+        sides.append({d: {t: v / length[d] for t, v in x.items()} for d, x in docs.items()})
+    cosine = lambda x, y: sum((x[t] * y[t] for t in x if t is not None and t in y), 0.0)
+    want = {}
+    for q, d in itertools.product(range(-4, 61), repeat=2):
+        if q % 4 == 0 and q != d and all(i in x for i in (q, d) for x in sides) and 1 - (s := cosine(sides[0][q], sides[0][d])) <= 0.3 + 1e-9 and s > 0:
+            if not 1 - (t := cosine(sides[1][q], sides[1][d])) < 0.4 - 1e-9:
+                want[min(q, d), max(q, d)] = (round(1 - s, 9), round(1 - t, 9))
+    theta = spark.createDataFrame(rows, "data_run STRING, doc_id LONG, topic_id INT, theta DOUBLE").repartition(3)
+    got = topics.near_and_apart(theta, 0.3, 0.4, every=4, block=5).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == set(want)
+    for r in got:
+        assert (r["close"], r["far"]) == pytest.approx(want[r["a"], r["b"]], abs=1e-8, nan_ok=True)
+    assert want or runs == "a"
+
+
+def test_pairs_of_documents_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(r, d, t, rng.random()) for r in "ab" for d in range(300) for t in rng.sample(range(6), 3)]
+    theta = spark.createDataFrame(rows, "data_run STRING, doc_id LONG, topic_id INT, theta DOUBLE").withColumn("loaded_at", F.lit("2024-01-01").cast("timestamp"))
+    theta.write.parquet(f"{tmp_path}/doc_topic.parquet")
+    df = preparation_queries.QUERIES["cross_model_theta_pairs"][0](Base(spark, str(tmp_path)))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString() and df.count() > 0
+
+
 def test_mean_vectors_of_null_keys_and_vectors(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0]), (None, [5.0, 6.0]), ("b", None)], "g STRING, vec ARRAY<DOUBLE>")
     assert {(r["g"], r["n"], tuple(r["total"]), r["dim"]) for r in topics.mean_vectors(df, "g").collect()} == {("a", 2, (4.0, 6.0), 2), (None, 1, (5.0, 6.0), 2)}
